@@ -77,6 +77,11 @@ _ROLES = {
            'Branch ' || CAST(p_partkey + 1 AS VARCHAR) AS BranchName,
            CAST(p_size AS BIGINT) AS AddressID
     FROM part WHERE p_partkey < 50""",
+}
+
+# -- derived tables over the role tables (also used on hand-made fixtures) ------
+
+_DERIVED = {
     "transactions_clean": """
     SELECT TransactionID, AccountOriginID, AccountDestinationID, TransactionTypeID,
            Amount, TransactionDate, BranchID, Description
@@ -118,13 +123,29 @@ _ROLES = {
     FROM loans l JOIN loan_statuses ls ON ls.LoanStatusID = l.LoanStatusID""",
 }
 
-_PREFIX = "WITH " + ",\n".join(f"{name} AS ({body}\n)" for name, body in _ROLES.items())
+ROLE_TABLES = ("customers", "accounts", "loans", "transactions", "branches")
+
+
+def _with(ctes: dict[str, str]) -> str:
+    return "WITH " + ",\n".join(f"{name} AS ({body}\n)" for name, body in ctes.items())
+
+
+_PREFIX = _with({**_ROLES, **_DERIVED})
+_DERIVED_PREFIX = _with(_DERIVED)
 
 
 def _sql(body: str) -> str:
     return f"{_PREFIX}\n{body.strip()}"
 
 
+def over_roles(sql: str) -> str:
+    """The same oracle query over role tables registered under their role
+    names (customers, accounts, loans, transactions with SourceRow,
+    branches) instead of the generated tables."""
+    assert sql.startswith(_PREFIX)
+    return _DERIVED_PREFIX + sql[len(_PREFIX):]
+
+
 # -- output shaping ----------------------------------------------------------------
 
 def _m(x: str) -> str:
