@@ -1,0 +1,168 @@
+"""Hand-made edge inputs (FIXTURES.md section 4)."""
+
+from __future__ import annotations
+
+import datetime as dt
+from decimal import Decimal
+
+import pytest
+
+from riskbook.operators import integrity, portfolio, quality, ranking, scenario, scoring, solvency, trend
+
+from .fixtures import role_book
+
+D = Decimal
+T0 = dt.datetime(2024, 1, 1)
+
+
+def cust(i, t=1, first="A", last="B"):
+    return (i, first, last, dt.date(1980, 1, 1), 1, t)
+
+
+def loan(lid, acct, status=1, p="100.00", r="0.0500", sd=T0, ed=None):
+    return (lid, acct, status, D(p), None if r is None else D(r), sd, ed or (sd and sd + dt.timedelta(days=30)))
+
+
+def tx(tid, acct, amount="1.00", ts=T0, branch=1, row=0):
+    return (tid, acct, acct, 1, D(amount), ts, branch, "", row)
+
+
+def test_empty_tables_give_null_sums(spark):
+    b = role_book(spark, {})
+    r = quality.null_audit_customers(b).collect()[0]
+    assert r["total_rows"] == 0 and r["null_first_name"] is None
+    assert quality.null_audit_loans(b).collect()[0]["null_rate"] is None
+    assert quality.blank_audit_customers(b).collect()[0].asDict() == {
+        "empty_first_name": None, "empty_last_name": None, "total_bad_name_rows": None}
+
+
+def test_null_names_skip_blank_tests(spark):
+    b = role_book(spark, {"customers": [cust(1, first=None, last=None), cust(2, first=None, last=None)]})
+    assert quality.blank_audit_customers(b).collect()[0].asDict() == {
+        "empty_first_name": None, "empty_last_name": None, "total_bad_name_rows": None}
+
+
+def test_clean_names_trim_spaces_only(spark):
+    b = role_book(spark, {"customers": [cust(1, first="\t\t", last="  "), cust(2, first=None, last=" Lee ")]})
+    got = {r["CustomerID"]: (r["FirstName"], r["LastName"]) for r in quality.clean_customers(b).collect()}
+    assert got == {1: ("\t\t", "Unknown"), 2: ("Unknown", "Lee")}
+    assert quality.placeholder_name_count(b).collect()[0]["bad_name_rows"] == 2
+
+
+def test_risk_bucket_edges(spark):
+    b = role_book(spark, {"loans": [loan(1, 1, r="0.0500"), loan(2, 1, r="0.1000"), loan(3, 1, r=None),
+                                    loan(4, 1, r="0.0499")]})
+    got = {r["LoanID"]: r["RiskCategory"] for r in quality.loan_risk_bucket(b).collect()}
+    assert got == {1: "Medium Risk", 2: "High Risk", 3: "High Risk", 4: "Low Risk"}
+
+
+def test_date_checks(spark):
+    today = "2024-03-01"
+    b = role_book(spark, {"loans": [
+        loan(1, 1, sd=dt.datetime(2024, 3, 1, 10), ed=dt.datetime(2025, 1, 1)),   # later today: future
+        loan(2, 1, sd=dt.datetime(2024, 6, 1), ed=dt.datetime(2024, 1, 1)),       # both: first label
+        loan(3, 1, sd=dt.datetime(2023, 6, 1), ed=dt.datetime(2023, 1, 1)),       # end before start
+        loan(4, 1, sd=None, ed=dt.datetime(2023, 1, 1)),                          # NULL: never
+        loan(5, 1, sd=dt.datetime(2024, 3, 1), ed=dt.datetime(2025, 1, 1)),       # midnight: not future
+    ]})
+    got = {r["LoanID"]: r["DateCheck"] for r in quality.loan_date_anomalies(b, today).collect()}
+    assert got == {1: "Future Start — Anomaly", 2: "Future Start — Anomaly", 3: "End Before Start — Anomaly"}
+
+
+def test_dedupe_tie_breaks_and_null_ids(spark):
+    rows = [tx(7, 1, "5.00", row=3), tx(7, 1, "9.00", row=1), tx(7, 1, "1.00", ts=None, row=9),
+            tx(None, 1, "2.00", row=4), tx(None, 1, "3.00", row=2), tx(8, 2, row=5)]
+    b = role_book(spark, {"transactions": rows})
+    got = {r["TransactionID"]: r["Amount"] for r in quality.dedupe_transactions(b).collect()}
+    # NULL date sorts first; equal dates fall to the source row; NULL ids form one group
+    assert got == {7: D("1.00"), None: D("3.00"), 8: D("1.00")}
+    assert quality.verify_dedupe(b).count() == 0
+    assert quality.duplicate_transaction_count(b).collect()[0]["total_duplicate_rows"] == 2
+
+
+def test_null_foreign_keys_are_orphans(spark):
+    b = role_book(spark, {
+        "customers": [cust(1), (2, "A", "B", None, 1, None)],
+        "accounts": [(10, None, 1, 1, D("0")), (11, 1, 1, 1, D("0"))],
+        "loans": [loan(100, None), loan(101, 11), loan(102, 11, status=None)],
+        "transactions": [tx(1, 11, branch=None), (2, None, 1, 1, D("1"), T0, 1, "", 1)],
+        "branches": [(1, "Branch 1", 1)],
+    })
+    assert [r["AccountID"] for r in integrity.orphan_accounts(b).collect()] == [10]
+    assert [r["LoanID"] for r in integrity.orphan_loans(b).collect()] == [100]
+    assert [r["TransactionID"] for r in integrity.orphan_transactions_account(b).collect()] == [2]
+    assert [r["TransactionID"] for r in integrity.orphan_transactions_branch(b).collect()] == [1]
+    assert [r["LoanID"] for r in integrity.invalid_loan_status(b).collect()] == [102]
+    assert [r["CustomerID"] for r in integrity.invalid_customer_type(b).collect()] == [2]
+    summary = {r["relationship"]: r["orphan_count"] for r in integrity.integrity_summary(b).collect()}
+    assert summary == {"accounts → customers": 1, "loans → accounts": 1, "transactions → accounts": 1,
+                       "transactions → branches": 1, "loans → loan_statuses": 1,
+                       "customers → customer_types": 1}
+
+
+def test_equal_balances_count_once_and_zero_assets(spark):
+    b = role_book(spark, {
+        "customers": [cust(1), cust(2), cust(3)],
+        "accounts": [(10, 1, 1, 1, D("50.00")), (11, 1, 1, 1, D("50.00")), (12, 1, 1, 1, D("70.00")),
+                     (20, 2, 1, 1, D("0.00")), (30, 3, 1, 1, D("100000.00"))],
+        "loans": [loan(1, 10, 3, "400.00"), loan(2, 11, 3, "100.00"), loan(3, 20, 3, "900.00"),
+                  loan(4, 30, 3, "100004.00")],
+    })
+    gap = {r["CustomerID"]: r for r in solvency.liquidity_gap(b).collect()}
+    assert gap[1]["TotalLiquidAssets"] == D("50.00")          # 50 counted once; account 12 has no loan
+    assert gap[1]["LiquidityGap"] == D("450.00")
+    dar = {r["CustomerID"]: r["DAR"] for r in solvency.debt_to_asset_ratio(b).collect()}
+    assert dar[1] == D("10.0000") and dar[2] is None and dar[3] == D("1.0000")   # 1.00004 rounds down
+    assert list(dar)[-1] == 2                                 # NULL ratio sorts last
+    flagged = [r["CustomerID"] for r in solvency.red_flag_list(b).collect()]
+    assert flagged == [1]                                     # zero assets and 1.00004 are not flagged
+
+
+def test_rounded_versus_unrounded_rank(spark):
+    # Small Business 1/3 = 33.333..%, Large Enterprise 1333/4000 = 33.325%:
+    # both round (half up) to 33.33, unequal before.
+    customers = [cust(1, 1), cust(2, 2), cust(3, 3)]
+    accounts = [(10, 1, 1, 1, D("1")), (20, 2, 1, 1, D("1")), (30, 3, 1, 1, D("1"))]
+    loans = [loan(1, 10, 3)]
+    loans += [loan(100 + k, 20, 3 if k < 1 else 1) for k in range(3)]
+    loans += [loan(1000 + k, 30, 3 if k < 1333 else 1) for k in range(4000)]
+    b = role_book(spark, {"customers": customers, "accounts": accounts, "loans": loans})
+    r36 = {r["CustomerType"]: (r["DefaultRate_Pct"], r["RankByDefault"]) for r in ranking.segment_rank(b).collect()}
+    r50 = {r["CustomerType"]: (r["DefaultRate_Pct"], r["RiskRank"]) for r in ranking.vw_segment_rankings(b).collect()}
+    assert r36["Small Business"] == (D("33.33"), 2) and r36["Large Enterprise"] == (D("33.33"), 2)
+    assert r36["Individual"] == (D("100.00"), 1)
+    assert r50["Small Business"] == (D("33.33"), 2) and r50["Large Enterprise"] == (D("33.33"), 3)
+
+
+def test_single_month_and_null_month(spark):
+    b = role_book(spark, {"transactions": [tx(1, 1, "2.50"), tx(2, 1, "1.25", row=1)],
+                          "loans": [loan(1, 1, sd=None, p="5.00"), loan(2, 1, p="7.00")]})
+    m = trend.monthly_transaction_trend(b).collect()
+    assert len(m) == 1 and m[0]["TotalVolume"] == D("3.75")
+    assert (m[0]["PrevMonthVolume"], m[0]["NextMonthVolume"], m[0]["MoM_Change"]) == (None, None, None)
+    r = trend.running_exposure(b).collect()
+    assert [(x["LoanMonth"], x["RunningTotalExposure"]) for x in r] == [(None, D("5.00")), ("2024-01", D("12.00"))]
+
+
+def test_account_without_transactions(spark):
+    b = role_book(spark, {
+        "customers": [cust(1)],
+        "accounts": [(10, 1, 1, 1, D("1")), (11, 1, 1, 1, D("1"))],
+        "loans": [loan(1, 10, 2), loan(1, 10, 2), loan(2, 11, 3)],
+        "transactions": [tx(5, 11, "4.00"), tx(6, 11, "6.00", row=1)],
+    })
+    s = {r["LoanID"]: (r["TotalTransactions"], r["TotalTransactionVolume"])
+         for r in portfolio.loan_transaction_summary(b).collect()}
+    assert s == {1: (0, None), 2: (2, D("10.00"))}
+    h = scoring.credit_health_score(b).collect()[0]
+    # paid-off loan rows weigh 1 (no transactions), overdue weighs 2
+    assert (h["TotalLoans"], h["PaidOffLoans"], h["OverdueLoans"], h["TotalTransactions"]) == (2, 2, 2, 2)
+    assert h["CreditHealthScore"] == D("40.20")
+
+
+def test_what_if_shift_rounding_and_range(spark):
+    b = role_book(spark, {"loans": [loan(1, 1, 1, "1000.00", "0.0500")]})
+    r = scenario.what_if(b, D("0.01239")).collect()[0]
+    assert r["SimulatedYield"] == D("62.40")                   # shift rounds to 0.0124
+    with pytest.raises(Exception):
+        scenario.what_if(b, D("12.5")).collect()
