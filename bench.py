@@ -3,7 +3,7 @@
 Each query runs to completion through the ``noop`` sink (the whole plan
 executes; nothing is collected to the driver).  The derived snapshot
 tables (cleaned transactions and customers) are written once first and
-timed as ``prepare``.  Each query runs ``BENCH_RUNS`` times (default 2);
+timed as ``prepare``.  Each query runs ``BENCH_RUNS`` times (default 3);
 the best time is reported.  Prints one JSON line.
 """
 
@@ -23,7 +23,7 @@ from riskbook.session import build_session  # noqa: E402
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    runs = int(os.environ.get("BENCH_RUNS", "2"))
+    runs = int(os.environ.get("BENCH_RUNS", "3"))
     only = [q for q in os.environ.get("BENCH_QUERIES", "").split(",") if q]
     spark = build_session(
         master=f"local[{cpus}]", app="riskbook-bench", shuffle_partitions=cpus,

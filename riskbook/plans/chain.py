@@ -34,10 +34,21 @@ def customer_dim(book, with_type: bool = True) -> DataFrame:
     return c.drop("CustomerTypeID")
 
 
-def account_dim(book, with_type: bool = True, extra: Sequence[str] = ()) -> DataFrame:
-    """One row per account joined to its customer (account scale)."""
-    a = book.accounts.select("AccountID", "CustomerID", "Balance", *extra)
-    return a.join(customer_dim(book, with_type), "CustomerID")
+ACCOUNT_DIM_COLUMNS = ["AccountID", "CustomerID", "Balance", "AccountTypeID", "AccountStatusID",
+                       "FirstName", "LastName", "CustomerName", "CustomerType"]
+
+
+def build_account_customers(book) -> DataFrame:
+    """Accounts joined to customers with a known type (account scale)."""
+    a = book.accounts.select("AccountID", "CustomerID", "Balance", "AccountTypeID", "AccountStatusID")
+    return a.join(customer_dim(book), "CustomerID").select(*ACCOUNT_DIM_COLUMNS)
+
+
+def account_dim(book, extra: Sequence[str] = ()) -> DataFrame:
+    """One row per account with its customer's id, name and type."""
+    return book.account_customers.select(
+        "AccountID", "CustomerID", "Balance", "CustomerName", "CustomerType", *extra
+    )
 
 
 def loans_with_status(book, only: str | None = None) -> DataFrame:

@@ -1,18 +1,28 @@
 """Write a derived table once and read it back (cuts lineage).
 
-The table goes under the shared folder named by ``spark.checkpoint.dir``,
-so a lost executor costs a re-read of written files, not a replay of the
-whole plan.  ``localCheckpoint`` is never used: it dies with the executor.
+Tables go under the shared folder named by ``spark.checkpoint.dir``, so a
+lost executor costs a re-read of written files, not a replay of the whole
+plan.  ``localCheckpoint`` is never used: it dies with the executor.
+
+``write_table`` can also bucket the table on a join key: tables bucketed
+on the same key with the same bucket count join and aggregate on that key
+without a shuffle, which is how the loan book avoids moving loans (its
+largest table) for the account joins.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_path
 
+# Bytes of input per bucket when sizing bucket counts, and the bounds.
+BYTES_PER_BUCKET = 1 << 30
+MAX_BUCKETS = 16384
+
 
 def materialize(spark: SparkSession, df: DataFrame, name: str,
                 partition_by: list[str] | None = None) -> DataFrame:
@@ -22,3 +32,31 @@ def materialize(spark: SparkSession, df: DataFrame, name: str,
         w = w.partitionBy(*partition_by)
     w.parquet(path)
     return spark.read.parquet(path)
+
+
+def bucket_count(spark: SparkSession, input_bytes: int) -> int:
+    """A power of two: about 1 GB of input per bucket, at least the shuffle
+    partition count, at most MAX_BUCKETS."""
+    floor = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    need = max(floor, -(-input_bytes // BYTES_PER_BUCKET))
+    n = 1
+    while n < need:
+        n *= 2
+    return min(n, MAX_BUCKETS)
+
+
+def write_table(spark: SparkSession, df: DataFrame, name: str, bucket_by: str | None = None,
+                n_buckets: int = 0, sort_by: Sequence[str] = (), partition_by: Sequence[str] = ()) -> DataFrame:
+    """Write ``df`` as a catalog table stored in the shared folder and
+    return it read back, with its column order kept."""
+    table = f"riskbook_{name}_{uuid.uuid4().hex[:12]}"
+    path = scratch_path(spark, table)
+    w = df.write.mode("overwrite").format("parquet").option("path", path)
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    if bucket_by:
+        w = w.bucketBy(n_buckets, bucket_by)
+        if sort_by:
+            w = w.sortBy(*sort_by)
+    w.saveAsTable(table)
+    return spark.table(table).select(*df.columns)

@@ -39,6 +39,8 @@ class Book:
     # Tie-break columns after TransactionDate for keep-first de-duplication.
     tx_tiebreak: tuple[str, ...] = ("SourceRow",)
     materialize: bool = False
+    # Bucket count of a prepared Book (0: tables are read as given).
+    _buckets: int = 0
     _cache: dict = field(default_factory=dict, repr=False)
 
     # -- constructors -------------------------------------------------------
@@ -88,6 +90,34 @@ class Book:
             tx_tiebreak=tiebreak,
         )
 
+    # -- load ---------------------------------------------------------------
+    def prepared(self, input_bytes: int = 0) -> "Book":
+        """Write the role tables once with a join-friendly layout and return
+        a Book that reads them (the load step: tables plus their layout).
+
+        Loans, accounts and the cleaned transactions are bucketed on the
+        account key with one bucket count, so per-account aggregates and
+        account joins read co-located buckets instead of shuffling; raw
+        transactions are bucketed on their id (de-duplication and duplicate
+        checks need no shuffle); customers on their id.  Loans are also
+        partitioned by status, so a status filter prunes directories.
+        """
+        from ..plans.materialize import bucket_count, write_table
+
+        n = bucket_count(self.spark, input_bytes)
+        loans = write_table(self.spark, self.loans, "loans", "AccountID", n, ["AccountID"], ["LoanStatusID"])
+        accounts = write_table(self.spark, self.accounts, "accounts", "AccountID", n, ["AccountID"])
+        tx = write_table(self.spark, self.transactions, "transactions", "TransactionID", n)
+        customers = write_table(self.spark, self.customers, "customers", "CustomerID", n)
+        branches = write_table(self.spark, self.branches, "branches")
+        book = Book(self.spark, customers, accounts, loans, tx, branches, self.codes,
+                    fixed_codes=self.fixed_codes, tx_tiebreak=self.tx_tiebreak)
+        book._buckets = n
+        book.transactions_clean  # noqa: B018 - write the snapshots now
+        book.customers_final  # noqa: B018
+        book.account_customers  # noqa: B018
+        return book
+
     # -- dimensions ---------------------------------------------------------
     def code(self, name: str) -> DataFrame:
         """A code table, broadcast when its size is known or checked."""
@@ -108,10 +138,17 @@ class Book:
         return self._cache[key]
 
     # -- derived snapshots --------------------------------------------------
-    def _snapshot(self, name: str, build) -> DataFrame:
+    def _snapshot(self, name: str, build, bucket_by: str) -> DataFrame:
+        """A derived table, built once.  A prepared Book writes it bucketed
+        like the tables it joins; ``materialize`` writes it plainly;
+        otherwise it stays a plan."""
         if name not in self._cache:
             df = build()
-            if self.materialize:
+            if self._buckets:
+                from ..plans.materialize import write_table
+
+                df = write_table(self.spark, df, name, bucket_by, self._buckets, [bucket_by])
+            elif self.materialize:
                 from ..plans.materialize import materialize
 
                 df = materialize(self.spark, df, name)
@@ -122,10 +159,22 @@ class Book:
     def transactions_clean(self) -> DataFrame:
         from ..operators.quality import dedupe_transactions
 
-        return self._snapshot("transactions_clean", lambda: dedupe_transactions(self))
+        return self._snapshot("transactions_clean", lambda: dedupe_transactions(self), "AccountOriginID")
 
     @property
     def customers_final(self) -> DataFrame:
         from ..operators.quality import clean_customers
 
-        return self._snapshot("customers_final", lambda: clean_customers(self))
+        return self._snapshot("customers_final", lambda: clean_customers(self), "CustomerID")
+
+    @property
+    def account_customers(self) -> DataFrame:
+        """Accounts joined to their (cleaned, typed) customer: the account
+        dimension every loan-book report joins on AccountID.  A prepared
+        Book writes it once, bucketed like loans, so those joins are
+        co-located; otherwise it is a plan."""
+        from ..plans.chain import build_account_customers
+
+        if not self._buckets:
+            return build_account_customers(self)
+        return self._snapshot("account_customers", lambda: build_account_customers(self), "AccountID")
