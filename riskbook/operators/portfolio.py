@@ -37,7 +37,7 @@ def customer_accounts(book, limit: int | None = None) -> DataFrame:
 def _loan_book(book, extra_acct=()) -> DataFrame:
     """Loans with status joined to their account and customer."""
     a = chain.account_dim(book, extra=extra_acct)
-    return chain.loans_with_status(book).join(a, "AccountID")
+    return chain.join_accounts(book, chain.loans_with_status(book), a)
 
 
 def customer_loans(book, limit: int | None = None) -> DataFrame:
@@ -58,7 +58,7 @@ def master_portfolio(book, limit: int | None = None) -> DataFrame:
         .join(at, "AccountTypeID")
         .join(ast, "AccountStatusID")
     )
-    out = chain.loans_with_status(book).join(a, "AccountID").select(
+    out = chain.join_accounts(book, chain.loans_with_status(book), a).select(
         "CustomerID", "CustomerName", "CustomerType", "AccountID", "AccountType", "AccountStatus",
         F.col("Balance").alias("AccountBalance"), "LoanID", "PrincipalAmount",
         money(F.col("InterestRate") * 100).alias("InterestRate_Pct"),
@@ -79,7 +79,7 @@ def loan_transaction_summary(book, limit: int | None = None) -> DataFrame:
     groups = chain.loans_with_status(book).groupBy(*keys).agg(count_long("*").alias("_m"))
     acct = chain.account_dim(book).join(chain.tx_per_account(book), "AccountID", "left")
     m = F.col("_m")
-    out = groups.join(acct, "AccountID").select(
+    out = chain.join_accounts(book, groups, acct).select(
         "CustomerID", "CustomerName", "CustomerType", "AccountID",
         F.col("Balance").alias("AccountBalance"), "LoanID", "PrincipalAmount", "LoanStatus",
         (m * F.coalesce(F.col("tx_ids"), F.lit(0))).cast("long").alias("TotalTransactions"),
@@ -96,7 +96,7 @@ def accounts_without_loans(book, limit: int | None = None) -> DataFrame:
     """
     cols = ["CustomerID", "CustomerName", "CustomerType", "AccountID", "Balance"]
     a = chain.account_dim(book)
-    no_match = a.join(book.loans.select("AccountID"), "AccountID", "left_anti").select(*cols)
+    no_match = a.join(chain.loan_accounts(book), "AccountID", "left_anti").select(*cols)
     id_less = book.loans.filter(F.col("LoanID").isNull()).select("AccountID")
     out = no_match.unionByName(a.join(id_less, "AccountID").select(*cols))
     return _limit(out, ["CustomerID", "AccountID"], limit)
@@ -218,8 +218,7 @@ def vw_portfolio_health_sorted(book) -> DataFrame:
 
 def customers_with_loans(book, limit: int | None = None) -> DataFrame:
     """Q52: distinct customers owning an account that has a loan."""
-    loan_accounts = book.loans.select("AccountID")
-    owners = book.accounts.join(loan_accounts, "AccountID", "left_semi").select("CustomerID")
+    owners = book.accounts.join(chain.loan_accounts(book), "AccountID", "left_semi").select("CustomerID")
     out = book.customers_final.join(owners, "CustomerID", "left_semi").select(
         "CustomerID", "FirstName", "LastName"
     ).distinct()

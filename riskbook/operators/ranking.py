@@ -72,10 +72,9 @@ def branch_default_rank(book, n: int | None = TOP_BRANCHES) -> DataFrame:
     Transactions must name an existing account (inner join to accounts).
     """
     tx = (
-        book.transactions_clean.select(F.col("AccountOriginID").alias("AccountID"), "BranchID")
-        .join(book.accounts.select("AccountID"), "AccountID")
-        .groupBy("AccountID", "BranchID")
+        book.transactions_clean.groupBy(F.col("AccountOriginID").alias("AccountID"), "BranchID")
         .agg(F.count(F.lit(1)).alias("_t"))
+        .join(book.accounts.select("AccountID"), "AccountID", "left_semi")
     )
     loans = chain.loans_per_account(chain.loans_with_status(book), [
         F.count("LoanID").alias("_l"),

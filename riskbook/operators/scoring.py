@@ -44,7 +44,7 @@ def credit_health_score(book, customer_id: int | None = None) -> DataFrame:
     )
 
     # Loan side: weight each loan row by its account's transaction rows.
-    rows = loans.join(acct, "AccountID").join(tx, "AccountID", "left")
+    rows = chain.join_accounts(book, loans, acct.join(tx, "AccountID", "left"))
     weight = F.greatest(F.coalesce(F.col("tx_rows"), F.lit(0)), F.lit(1))
     per_loan = rows.groupBy("CustomerID", "LoanID").agg(
         F.sum(F.col("_paid") * weight).alias("_paid"),
@@ -57,7 +57,7 @@ def credit_health_score(book, customer_id: int | None = None) -> DataFrame:
     )
 
     # Transaction side: ids of the accounts that carry a counted loan.
-    loan_accts = loans.select("AccountID").join(acct, "AccountID", "left_semi")
+    loan_accts = loans.select("AccountID").distinct()
     tx_cust = (
         acct.join(loan_accts, "AccountID", "left_semi")
         .join(tx, "AccountID")

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import full_name
 from ..sources.lookups import STATUS_OVERDUE, STATUS_PAID_OFF
+from .skew import split_join
 
 
 def customer_dim(book, with_type: bool = True) -> DataFrame:
@@ -71,6 +72,18 @@ def paid_off_flag() -> Column:
     return is_status(STATUS_PAID_OFF)
 
 
+def join_accounts(book, loans: DataFrame, dim: DataFrame, how: str = "inner") -> DataFrame:
+    """Loan rows joined to a one-row-per-account dimension; the rows of hot
+    accounts (found at load) join a broadcast slice of it."""
+    return split_join(loans, dim, "AccountID", book.hot.get("loans.AccountID"), how)
+
+
+def loan_accounts(book) -> DataFrame:
+    """Distinct AccountIDs that carry a loan (a partial aggregate first, so
+    a hot account is one row per task before the shuffle)."""
+    return book.loans.select("AccountID").distinct()
+
+
 def loans_per_account(loans: DataFrame, aggs: Sequence[Column]) -> DataFrame:
     """Collapse loans to one row per AccountID before any join."""
     return loans.groupBy("AccountID").agg(*aggs)

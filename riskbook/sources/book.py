@@ -41,6 +41,9 @@ class Book:
     materialize: bool = False
     # Bucket count of a prepared Book (0: tables are read as given).
     _buckets: int = 0
+    # Hot keys found at load, by "table.column" (see plans.skew).
+    hot: dict = field(default_factory=dict)
+    hot_key_rows: int = 1_000_000
     _cache: dict = field(default_factory=dict, repr=False)
 
     # -- constructors -------------------------------------------------------
@@ -92,32 +95,49 @@ class Book:
 
     # -- load ---------------------------------------------------------------
     def prepared(self, input_bytes: int = 0) -> "Book":
-        """Write the role tables once with a join-friendly layout and return
-        a Book that reads them (the load step: tables plus their layout).
-
-        Loans, accounts and the cleaned transactions are bucketed on the
-        account key with one bucket count, so per-account aggregates and
-        account joins read co-located buckets instead of shuffling; raw
-        transactions are bucketed on their id (de-duplication and duplicate
-        checks need no shuffle); customers on their id.  Loans are also
-        partitioned by status, so a status filter prunes directories.
+        """Write the role tables once and return a Book that reads them (the
+        load step: tables plus their layout, in the shared folder).
+
+        Fact tables (loans, transactions) are written as evenly sized files,
+        never bucketed on a key: a key holding a third of the rows would make
+        its bucket one task for every read.  Loans are partitioned by status
+        and sorted by account within files (a status filter prunes
+        directories; account ranges skip row groups).  Dimensions with a
+        unique key (the account-customer dimension, the cleaned customers)
+        are bucketed on it, so loan aggregates join them without moving the
+        dimension.  Hot accounts of the loans are found once here.
         """
         from ..plans.materialize import bucket_count, write_table
+        from ..plans.skew import find_hot_keys
 
         n = bucket_count(self.spark, input_bytes)
-        loans = write_table(self.spark, self.loans, "loans", "AccountID", n, ["AccountID"], ["LoanStatusID"])
-        accounts = write_table(self.spark, self.accounts, "accounts", "AccountID", n, ["AccountID"])
-        tx = write_table(self.spark, self.transactions, "transactions", "TransactionID", n)
-        customers = write_table(self.spark, self.customers, "customers", "CustomerID", n)
+
+        def even(df):
+            return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
+
+        loans = write_table(self.spark, even(self.loans).sortWithinPartitions("LoanStatusID", "AccountID"),
+                            "loans", partition_by=["LoanStatusID"])
+        accounts = write_table(self.spark, even(self.accounts), "accounts")
+        tx = write_table(self.spark, even(self.transactions), "transactions")
+        customers = write_table(self.spark, even(self.customers), "customers")
         branches = write_table(self.spark, self.branches, "branches")
         book = Book(self.spark, customers, accounts, loans, tx, branches, self.codes,
-                    fixed_codes=self.fixed_codes, tx_tiebreak=self.tx_tiebreak)
+                    fixed_codes=self.fixed_codes, tx_tiebreak=self.tx_tiebreak,
+                    hot_key_rows=self.hot_key_rows)
         book._buckets = n
         book.transactions_clean  # noqa: B018 - write the snapshots now
         book.customers_final  # noqa: B018
         book.account_customers  # noqa: B018
+        book.hot["loans.AccountID"] = find_hot_keys(book.loans, "AccountID", self.hot_key_rows)
         return book
 
+    def find_hot_keys(self) -> "Book":
+        """Find hot accounts of the loans on this Book as it stands."""
+        from ..plans.skew import find_hot_keys
+
+        self.hot["loans.AccountID"] = find_hot_keys(self.loans, "AccountID", self.hot_key_rows)
+        return self
+
     # -- dimensions ---------------------------------------------------------
     def code(self, name: str) -> DataFrame:
         """A code table, broadcast when its size is known or checked."""
@@ -138,16 +158,19 @@ class Book:
         return self._cache[key]
 
     # -- derived snapshots --------------------------------------------------
-    def _snapshot(self, name: str, build, bucket_by: str) -> DataFrame:
-        """A derived table, built once.  A prepared Book writes it bucketed
-        like the tables it joins; ``materialize`` writes it plainly;
+    def _snapshot(self, name: str, build, bucket_by: str | None = None) -> DataFrame:
+        """A derived table, built once.  A prepared Book writes it (bucketed
+        when it has a unique key); ``materialize`` writes it plainly;
         otherwise it stays a plan."""
         if name not in self._cache:
             df = build()
             if self._buckets:
                 from ..plans.materialize import write_table
 
-                df = write_table(self.spark, df, name, bucket_by, self._buckets, [bucket_by])
+                if bucket_by:
+                    df = write_table(self.spark, df, name, bucket_by, self._buckets, [bucket_by])
+                else:
+                    df = write_table(self.spark, df, name)
             elif self.materialize:
                 from ..plans.materialize import materialize
 
@@ -159,7 +182,7 @@ class Book:
     def transactions_clean(self) -> DataFrame:
         from ..operators.quality import dedupe_transactions
 
-        return self._snapshot("transactions_clean", lambda: dedupe_transactions(self), "AccountOriginID")
+        return self._snapshot("transactions_clean", lambda: dedupe_transactions(self))
 
     @property
     def customers_final(self) -> DataFrame:

@@ -16,10 +16,18 @@ from .fixtures import duck_over, random_tables, role_book
 NAMES = sorted(n for n in BOOK_QUERIES if n != "write_clustered")
 
 
-@pytest.fixture(scope="module", params=[7, 2024])
+@pytest.fixture(scope="module", params=[(7, None), (2024, 20)], ids=["plain", "hot-split"])
 def case(spark, request):
-    tables = random_tables(request.param)
-    return tables, role_book(spark, tables)
+    """The second case marks accounts with more than 20 loans as hot, so
+    loan-level joins take the split (broadcast) path for the hot account."""
+    seed, hot_rows = request.param
+    tables = random_tables(seed)
+    book = role_book(spark, tables)
+    if hot_rows is not None:
+        book.hot_key_rows = hot_rows
+        book.find_hot_keys()
+        assert book.hot["loans.AccountID"].count >= 1
+    return tables, book
 
 
 @pytest.mark.parametrize("name", NAMES)
