@@ -10,9 +10,9 @@ def physical_plan(df: DataFrame) -> str:
 
 
 def formatted(df: DataFrame) -> str:
-    return df._jdf.queryExecution().explainString(
-        df.sparkSession._jvm.org.apache.spark.sql.execution.FormattedMode$.MODULE$
-    )
+    """The text ``df.explain("formatted")`` prints."""
+    jvm = df.sparkSession._jvm
+    return jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
 
 
 def has_cartesian(df: DataFrame) -> bool:
