@@ -139,9 +139,10 @@ def loan_risk_bucket(book, limit: int | None = None) -> DataFrame:
     return out
 
 
-def loan_date_anomalies(book, as_of: str, limit: int | None = None) -> DataFrame:
-    """Q09: loans starting after ``as_of`` (midnight) or ending before they start."""
-    today = ts_literal(as_of)
+def loan_date_anomalies(book, as_of: str | None = None, limit: int | None = None) -> DataFrame:
+    """Q09: loans starting after ``as_of`` (midnight; default today) or
+    ending before they start."""
+    today = ts_literal(as_of) if as_of is not None else F.current_date().cast("timestamp_ntz")
     start, end = F.col("StartDate"), F.col("EstimatedEndDate")
     future, backwards = start > today, end < start
     label = F.when(future, F.lit(FUTURE_START)).when(backwards, F.lit(END_BEFORE_START)).otherwise(F.lit(VALID))

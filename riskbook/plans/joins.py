@@ -26,7 +26,3 @@ def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> tupl
         return F.broadcast(df), True
     return df, False
 
-
-def lookup_join(fact: DataFrame, dim: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """Join a fact to a (pre-checked, broadcast) code table on ``key``."""
-    return fact.join(dim, on=key, how=how)

@@ -31,13 +31,14 @@ def materialize(spark: SparkSession, df: DataFrame, name: str,
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
-    return spark.read.parquet(path)
+    # Read with the written schema: partition columns keep their type and place.
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
 def bucket_count(spark: SparkSession, input_bytes: int) -> int:
-    """A power of two: about 1 GB of input per bucket, at least the shuffle
-    partition count, at most MAX_BUCKETS."""
-    floor = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """A power of two: about 1 GB of input per bucket, at least one per
+    core of the cluster, at most MAX_BUCKETS."""
+    floor = spark.sparkContext.defaultParallelism
     need = max(floor, -(-input_bytes // BYTES_PER_BUCKET))
     n = 1
     while n < need:

@@ -89,7 +89,7 @@ def random_tables(seed: int, n_cust: int = 40, n_acct: int = 90, n_loans: int =
                            Decimal("0.1000"), None])
         sd = None if rnd.random() < 0.05 else start + dt.timedelta(days=rnd.randrange(0, 900))
         ed = None if sd is None or rnd.random() < 0.05 else sd + dt.timedelta(days=rnd.randrange(-40, 700))
-        row = (5000 + k, acct, rnd.choice([1, 1, 2, 3, 9]), d2(rnd.randrange(100, 90000) / 7), rate, sd, ed)
+        row = (5000 + k, acct, rnd.choice([1, 1, 2, 3, 9, None]), d2(rnd.randrange(100, 90000) / 7), rate, sd, ed)
         loans.append(row)
         if rnd.random() < 0.05:
             loans.append(row)  # repeated loan row

@@ -166,3 +166,21 @@ def test_what_if_shift_rounding_and_range(spark):
     assert r["SimulatedYield"] == D("62.40")                   # shift rounds to 0.0124
     with pytest.raises(Exception):
         scenario.what_if(b, D("12.5")).collect()
+
+
+def test_layouts_written_and_pruned(spark):
+    from riskbook.operators import layout
+    from riskbook.plans.inspect import physical_plan
+
+    b = role_book(spark, {
+        "customers": [cust(1, 1), cust(2, 3)],
+        "accounts": [(10, 1, 1, 1, D("5")), (20, 2, 1, 1, D("6"))],
+        "loans": [loan(1, 10, 2), loan(2, 20, 1), loan(3, 20, 2)],
+        "transactions": [tx(1, 10), tx(2, 20, row=1)],
+    })
+    out = layout.write_layouts(b)
+    assert {k: v.count() for k, v in out.items()} == {"loans": 3, "transactions_clean": 2,
+                                                      "customers_final": 2, "accounts": 2}
+    q = layout.loans_by_status_clustered(b, 2)
+    assert sorted(r["LoanID"] for r in q.collect()) == [1, 3]
+    assert "PartitionFilters: [isnotnull(LoanStatusID" in physical_plan(q)

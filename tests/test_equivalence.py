@@ -16,16 +16,19 @@ from .fixtures import duck_over, random_tables, role_book
 NAMES = sorted(n for n in BOOK_QUERIES if n != "write_clustered")
 
 
-@pytest.fixture(scope="module", params=[(7, None), (2024, 20)], ids=["plain", "hot-split"])
+@pytest.fixture(scope="module", params=[(7, None, False), (2024, 20, False), (99, 20, True)],
+                ids=["plain", "hot-split", "prepared"])
 def case(spark, request):
     """The second case marks accounts with more than 20 loans as hot, so
-    loan-level joins take the split (broadcast) path for the hot account."""
-    seed, hot_rows = request.param
+    loan-level joins take the split (broadcast) path for the hot account;
+    the third also writes the tables with the load layout (catalog tables,
+    status partitions, bucketed dimensions) and reads them back."""
+    seed, hot_rows, prepare = request.param
     tables = random_tables(seed)
     book = role_book(spark, tables)
     if hot_rows is not None:
         book.hot_key_rows = hot_rows
-        book.find_hot_keys()
+        book = book.prepared() if prepare else book.find_hot_keys()
         assert book.hot["loans.AccountID"].count >= 1
     return tables, book
 
