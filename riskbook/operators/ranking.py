@@ -44,8 +44,8 @@ def segment_rank(book) -> DataFrame:
     w = Window.orderBy(F.col("DefaultRate_Pct").desc_nulls_last())
     return s.select(
         "CustomerType", "TotalLoans", "OverdueLoans", "DefaultRate_Pct",
-        F.rank().over(w).alias("RankByDefault"),
-        F.dense_rank().over(w).alias("DenseRankByDefault"),
+        F.rank().over(w).cast("long").alias("RankByDefault"),
+        F.dense_rank().over(w).cast("long").alias("DenseRankByDefault"),
     )
 
 
@@ -57,7 +57,7 @@ def vw_segment_rankings(book, register: bool = False) -> DataFrame:
     df = s.select(
         "CustomerType", "TotalLoans", "OverdueLoans",
         money(raw).alias("DefaultRate_Pct"),
-        F.rank().over(w).alias("RiskRank"),
+        F.rank().over(w).cast("long").alias("RiskRank"),
     )
     if register:
         df.createOrReplaceTempView("vw_SegmentRankings")
@@ -91,6 +91,6 @@ def branch_default_rank(book, n: int | None = TOP_BRANCHES) -> DataFrame:
     w = Window.orderBy(F.col("DefaultRate_Pct").desc_nulls_last())
     out = agg.select(
         "BranchID", "BranchName", "TotalLoans", "OverdueLoans", "DefaultRate_Pct",
-        F.rank().over(w).alias("RiskRank"),
+        F.rank().over(w).cast("long").alias("RiskRank"),
     ).orderBy("RiskRank", F.col("BranchID").asc_nulls_first())
     return out if n is None else out.limit(n)

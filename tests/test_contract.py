@@ -35,10 +35,18 @@ def test_every_query_has_an_oracle():
     assert set(entry_mod.oracle_sql()) == set(entry_mod.queries())
 
 
+# Spark type name -> DuckDB type name of the same values.
+_DUCK_TYPE = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "date": "DATE",
+              "timestamp_ntz": "TIMESTAMP"}
+
+
 @pytest.mark.parametrize("name", sorted(entry_mod.queries()))
 def test_query_matches_oracle(spark, duck, name):
     df = entry_mod.queries()[name](spark, SF)
-    res = duck.execute(entry_mod.oracle_sql()[name])
-    cols = [d[0] for d in res.description]
-    problem = diff(df.columns, df.collect(), cols, res.fetchall())
+    rel = duck.sql(entry_mod.oracle_sql()[name])
+    types = dict(zip(rel.columns, [str(t) for t in rel.types]))
+    for f in df.schema.fields:
+        t = f.dataType.simpleString()
+        assert _DUCK_TYPE.get(t, t.upper()) == types.get(f.name), f"{f.name}: {t} vs {types.get(f.name)}"
+    problem = diff(df.columns, df.collect(), rel.columns, rel.fetchall())
     assert problem is None, problem
