@@ -2,9 +2,10 @@
 
 Loans are the largest table, so aggregate queries first collapse loans to
 one row per account (a partial aggregate before the shuffle, which also
-absorbs a hot account), and only then join the account-scale dimension.
-This keeps every large join a single shuffle join between two exchanges,
-which AQE can split when one key is skewed.
+absorbs a hot account), and only then join the account dimension (one row
+per account, bucketed on AccountID in a prepared Book).  Row-level reports
+join loans to that dimension with ``join_accounts``, which sends the rows
+of hot accounts through a broadcast slice of the dimension (``skew.py``).
 
 Inner joins drop rows whose key finds no partner, as in the chained joins
 of the analysis: a customer with an unknown type code, an account with an

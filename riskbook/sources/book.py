@@ -2,10 +2,14 @@
 
 Facts (loans, transactions) may hold repeated rows; parents (customers,
 accounts, branches and the code tables) are keyed by their id.  Derived
-snapshot tables (the de-duplicated transactions and the cleaned customers)
-are built once; with ``materialize=True`` they are written to the shared
-checkpoint folder and read back, as the analysis builds them once and then
-reads the snapshot.
+snapshot tables (the de-duplicated transactions, the cleaned customers and
+the account-customer dimension) are built once per Book.
+
+``prepared()`` is the load step used by the registered queries: it writes
+the role tables and snapshots to the shared checkpoint folder with their
+layout and finds hot keys.  A Book built directly (tests, small inputs)
+keeps every table as a plan; ``materialize=True`` writes just the
+snapshots.
 """
 
 from __future__ import annotations
