@@ -78,6 +78,14 @@ class Book:
             materialize=materialize,
         )
 
+    @classmethod
+    def from_paths(cls, spark: SparkSession, paths: dict[str, str]) -> "Book":
+        """Role tables from files (``.csv`` with a header, else parquet), by
+        role name: customers, accounts, loans, transactions, branches and the
+        code tables.  Every table is read with its fixed schema."""
+        frames = {name: readers.read_table(spark, name, path) for name, path in paths.items()}
+        return cls.from_frames(spark, **frames)
+
     @classmethod
     def from_frames(cls, spark: SparkSession, **frames: DataFrame) -> "Book":
         """Tables given directly (tests); missing ones are empty, code tables

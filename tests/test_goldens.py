@@ -124,3 +124,13 @@ def test_running_exposure(book):
 
 def test_point_filter(book):
     assert portfolio.loans_by_status(book, 2).count() == 57
+
+
+def test_book_from_paths_and_report_api(spark):
+    from riskbook import Book as B, report, report_names
+
+    b = B.from_paths(spark, {"loans": f"{DATA}/loans.csv", "loan_statuses": f"{DATA}/loan_statuses.csv",
+                             "branches": f"{DATA}/branches.csv"})
+    assert "red_flag_list" in report_names() and len(report_names()) == 60
+    rows = {r["LoanStatus"]: r["TotalLoans"] for r in report(b, "baseline_yield").collect()}
+    assert rows == {"Active": 242, "Paid Off": 57, "Overdue": 34}
