@@ -218,7 +218,7 @@ def vw_portfolio_health_sorted(book) -> DataFrame:
 
 def customers_with_loans(book, limit: int | None = None) -> DataFrame:
     """Q52: distinct customers owning an account that has a loan."""
-    owners = book.accounts.join(chain.loan_accounts(book), "AccountID", "left_semi").select("CustomerID")
+    owners = book.accounts.join(chain.loan_accounts(book), "AccountID", "left_semi").select("CustomerID").distinct()
     out = book.customers_final.join(owners, "CustomerID", "left_semi").select(
         "CustomerID", "FirstName", "LastName"
     ).distinct()

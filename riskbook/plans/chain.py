@@ -41,9 +41,15 @@ ACCOUNT_DIM_COLUMNS = ["AccountID", "CustomerID", "Balance", "AccountTypeID", "A
 
 
 def build_account_customers(book) -> DataFrame:
-    """Accounts joined to customers with a known type (account scale)."""
+    """Accounts joined to customers with a known type (account scale).
+
+    Customers holding very many accounts (or one orphan id shared by many)
+    join a broadcast slice of the customer dimension, like hot accounts do
+    for loans; the hot customer ids are found when a prepared Book is built.
+    """
     a = book.accounts.select("AccountID", "CustomerID", "Balance", "AccountTypeID", "AccountStatusID")
-    return a.join(customer_dim(book), "CustomerID").select(*ACCOUNT_DIM_COLUMNS)
+    hot = book.hot.get("accounts.CustomerID")
+    return split_join(a, customer_dim(book), "CustomerID", hot).select(*ACCOUNT_DIM_COLUMNS)
 
 
 def account_dim(book, extra: Sequence[str] = ()) -> DataFrame:

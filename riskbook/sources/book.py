@@ -117,7 +117,9 @@ class Book:
         directories; account ranges skip row groups).  Dimensions with a
         unique key (the account-customer dimension, the cleaned customers)
         are bucketed on it, so loan aggregates join them without moving the
-        dimension.  Hot accounts of the loans are found once here.
+        dimension.  Hot keys are found once here: customers holding many
+        accounts (used while building the account dimension) and accounts
+        holding many loans (used by row-level loan joins).
         """
         from ..plans.materialize import bucket_count, write_table
         from ..plans.skew import find_hot_keys
@@ -137,6 +139,7 @@ class Book:
                     fixed_codes=self.fixed_codes, tx_tiebreak=self.tx_tiebreak,
                     hot_key_rows=self.hot_key_rows)
         book._buckets = n
+        book.hot["accounts.CustomerID"] = find_hot_keys(accounts, "CustomerID", self.hot_key_rows)
         book.transactions_clean  # noqa: B018 - write the snapshots now
         book.customers_final  # noqa: B018
         book.account_customers  # noqa: B018
@@ -144,9 +147,11 @@ class Book:
         return book
 
     def find_hot_keys(self) -> "Book":
-        """Find hot accounts of the loans on this Book as it stands."""
+        """Find hot keys on this Book as it stands (before any snapshot of
+        the account dimension is built)."""
         from ..plans.skew import find_hot_keys
 
+        self.hot["accounts.CustomerID"] = find_hot_keys(self.accounts, "CustomerID", self.hot_key_rows)
         self.hot["loans.AccountID"] = find_hot_keys(self.loans, "AccountID", self.hot_key_rows)
         return self
 

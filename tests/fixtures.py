@@ -75,9 +75,10 @@ def random_tables(seed: int, n_cust: int = 40, n_acct: int = 90, n_loans: int =
         for i in range(1, n_cust + 1)
     ]
     balances = [d2(0), d2(100), d2(250.5), d2(1000), d2(-20)]
+    # customer 1 owns about a third of the accounts
     accounts = [
-        (1000 + j, rnd.choice([*range(1, n_cust + 1), -1, None]), rnd.choice([1, 2, 3, 4, 5, 9]),
-         rnd.choice([1, 2, 3, 9]), rnd.choice(balances))
+        (1000 + j, 1 if rnd.random() < 0.33 else rnd.choice([*range(1, n_cust + 1), -1, None]),
+         rnd.choice([1, 2, 3, 4, 5, 9]), rnd.choice([1, 2, 3, 9]), rnd.choice(balances))
         for j in range(n_acct)
     ]
     hot = 1000  # one account holds about a third of the loans and transactions

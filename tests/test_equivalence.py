@@ -19,8 +19,9 @@ NAMES = sorted(n for n in BOOK_QUERIES if n != "write_clustered")
 @pytest.fixture(scope="module", params=[(7, None, False), (2024, 20, False), (99, 20, True)],
                 ids=["plain", "hot-split", "prepared"])
 def case(spark, request):
-    """The second case marks accounts with more than 20 loans as hot, so
-    loan-level joins take the split (broadcast) path for the hot account;
+    """The second case marks keys with more than 20 rows as hot (an account
+    with many loans, a customer with many accounts), so their joins take
+    the split (broadcast) path;
     the third also writes the tables with the load layout (catalog tables,
     status partitions, bucketed dimensions) and reads them back."""
     seed, hot_rows, prepare = request.param
@@ -30,6 +31,7 @@ def case(spark, request):
         book.hot_key_rows = hot_rows
         book = book.prepared() if prepare else book.find_hot_keys()
         assert book.hot["loans.AccountID"].count >= 1
+        assert book.hot["accounts.CustomerID"].count >= 1
     return tables, book
 
 
