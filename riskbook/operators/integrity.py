@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import count_long
+from ..plans import chain
 
 # --- fixed values: relationship labels of the integrity summary -------------
 REL_ACCOUNTS_CUSTOMERS = "accounts → customers"
@@ -67,18 +68,36 @@ def orphan_transactions_branch(book) -> DataFrame:
                    ["TransactionID", "BranchID"])
 
 
+def _code_orphans(book, child: DataFrame, key: str, table: str, keep: Sequence[str]) -> DataFrame:
+    """Child rows whose code is not in the code table (NULL included)."""
+    unknown = chain.code_unknown(book, table, key)
+    if unknown is None:
+        return orphans(child, key, book.code(table), key, keep)
+    return child.filter(unknown).select(*keep)
+
+
+def _code_orphan_count(book, child: DataFrame, key: str, table: str) -> DataFrame:
+    unknown = chain.code_unknown(book, table, key)
+    if unknown is None:
+        return orphan_count(child, key, book.code(table), key)
+    return child.agg(F.coalesce(F.sum(unknown.cast("int")), F.lit(0)).cast("long").alias("orphan_count"))
+
+
 def invalid_loan_status(book) -> DataFrame:
     """Q16."""
-    return orphans(book.loans, "LoanStatusID", book.code("loan_statuses"), "LoanStatusID",
-                   ["LoanID", "LoanStatusID"])
+    return _code_orphans(book, book.loans, "LoanStatusID", "loan_statuses", ["LoanID", "LoanStatusID"])
 
 
 def invalid_account_codes(book) -> DataFrame:
     """Q17: accounts failing either code table, each test labelled."""
-    types = book.code("account_types").select("AccountTypeID", F.lit(True).alias("_type_ok"))
-    stats = book.code("account_statuses").select("AccountStatusID", F.lit(True).alias("_status_ok"))
-    a = book.accounts.join(types, "AccountTypeID", "left").join(stats, "AccountStatusID", "left")
-    type_bad, status_bad = F.col("_type_ok").isNull(), F.col("_status_ok").isNull()
+    type_bad = chain.code_unknown(book, "account_types", "AccountTypeID")
+    status_bad = chain.code_unknown(book, "account_statuses", "AccountStatusID")
+    a = book.accounts
+    if type_bad is None or status_bad is None:
+        types = book.code("account_types").select("AccountTypeID", F.lit(True).alias("_type_ok"))
+        stats = book.code("account_statuses").select("AccountStatusID", F.lit(True).alias("_status_ok"))
+        a = a.join(types, "AccountTypeID", "left").join(stats, "AccountStatusID", "left")
+        type_bad, status_bad = F.col("_type_ok").isNull(), F.col("_status_ok").isNull()
     return a.filter(type_bad | status_bad).select(
         "AccountID", "AccountTypeID", "AccountStatusID",
         F.when(type_bad, F.lit(INVALID_TYPE)).otherwise(F.lit(VALID)).alias("TypeCheck"),
@@ -88,25 +107,21 @@ def invalid_account_codes(book) -> DataFrame:
 
 def invalid_customer_type(book) -> DataFrame:
     """Q18 (cleaned customers)."""
-    return orphans(book.customers_final, "CustomerTypeID", book.code("customer_types"), "CustomerTypeID",
-                   ["CustomerID", "CustomerTypeID"])
+    return _code_orphans(book, book.customers_final, "CustomerTypeID", "customer_types",
+                         ["CustomerID", "CustomerTypeID"])
 
 
 def integrity_summary(book) -> DataFrame:
     """Q19: one row per relationship, zero counts kept."""
-    checks = [
-        (REL_ACCOUNTS_CUSTOMERS, book.accounts, "CustomerID", book.customers, "CustomerID"),
-        (REL_LOANS_ACCOUNTS, book.loans, "AccountID", book.accounts, "AccountID"),
-        (REL_TX_ACCOUNTS, book.transactions_clean, "AccountOriginID", book.accounts, "AccountID"),
-        (REL_TX_BRANCHES, book.transactions_clean, "BranchID", book.branch_dim(), "BranchID"),
-        (REL_LOANS_STATUSES, book.loans, "LoanStatusID", book.code("loan_statuses"), "LoanStatusID"),
-        (REL_CUSTOMERS_TYPES, book.customers_final, "CustomerTypeID", book.code("customer_types"),
-         "CustomerTypeID"),
-    ]
-    parts = [
-        orphan_count(child, fk, parent, pk).select(F.lit(rel).alias("relationship"), "orphan_count")
-        for rel, child, fk, parent, pk in checks
+    counts = [
+        (REL_ACCOUNTS_CUSTOMERS, orphan_count(book.accounts, "CustomerID", book.customers, "CustomerID")),
+        (REL_LOANS_ACCOUNTS, orphan_count(book.loans, "AccountID", book.accounts, "AccountID")),
+        (REL_TX_ACCOUNTS, orphan_count(book.transactions_clean, "AccountOriginID", book.accounts, "AccountID")),
+        (REL_TX_BRANCHES, orphan_count(book.transactions_clean, "BranchID", book.branch_dim(), "BranchID")),
+        (REL_LOANS_STATUSES, _code_orphan_count(book, book.loans, "LoanStatusID", "loan_statuses")),
+        (REL_CUSTOMERS_TYPES, _code_orphan_count(book, book.customers_final, "CustomerTypeID", "customer_types")),
     ]
+    parts = [df.select(F.lit(rel).alias("relationship"), "orphan_count") for rel, df in counts]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -25,15 +25,19 @@ def _limit(df: DataFrame, order, limit: int | None) -> DataFrame:
 
 def customer_accounts(book, limit: int | None = None) -> DataFrame:
     """Q20: customer, type, account, account type and status, balance."""
-    at = book.code("account_types").select("AccountTypeID", F.col("TypeName").alias("AccountType"))
-    ast = book.code("account_statuses").select("AccountStatusID", F.col("StatusName").alias("AccountStatus"))
-    a = chain.account_dim(book, extra=("AccountTypeID", "AccountStatusID"))
-    out = a.join(at, "AccountTypeID").join(ast, "AccountStatusID").select(
+    a = _account_codes(book, chain.account_dim(book, extra=("AccountTypeID", "AccountStatusID")))
+    out = a.select(
         "CustomerID", "CustomerName", "CustomerType", "AccountID", "AccountType", "AccountStatus", "Balance"
     )
     return _limit(out, ["CustomerID", "AccountID"], limit)
 
 
+def _account_codes(book, a: DataFrame) -> DataFrame:
+    """Accounts with a known type and status: + AccountType, AccountStatus."""
+    a = chain.with_code(book, a, "account_types", "AccountTypeID", "AccountType")
+    return chain.with_code(book, a, "account_statuses", "AccountStatusID", "AccountStatus")
+
+
 def _loan_book(book, extra_acct=()) -> DataFrame:
     """Loans with status joined to their account and customer."""
     a = chain.account_dim(book, extra=extra_acct)
@@ -51,13 +55,7 @@ def customer_loans(book, limit: int | None = None) -> DataFrame:
 
 def master_portfolio(book, limit: int | None = None) -> DataFrame:
     """Q22: every dimension joined, one row per loan."""
-    at = book.code("account_types").select("AccountTypeID", F.col("TypeName").alias("AccountType"))
-    ast = book.code("account_statuses").select("AccountStatusID", F.col("StatusName").alias("AccountStatus"))
-    a = (
-        chain.account_dim(book, extra=("AccountTypeID", "AccountStatusID"))
-        .join(at, "AccountTypeID")
-        .join(ast, "AccountStatusID")
-    )
+    a = _account_codes(book, chain.account_dim(book, extra=("AccountTypeID", "AccountStatusID")))
     out = chain.join_accounts(book, chain.loans_with_status(book), a).select(
         "CustomerID", "CustomerName", "CustomerType", "AccountID", "AccountType", "AccountStatus",
         F.col("Balance").alias("AccountBalance"), "LoanID", "PrincipalAmount",

@@ -20,10 +20,48 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import full_name
+from ..sources import schemas
 from ..sources.lookups import STATUS_OVERDUE, STATUS_PAID_OFF
 from .skew import split_join
 
 
+def with_code(book, df: DataFrame, table: str, key: str, out: str, only: str | None = None) -> DataFrame:
+    """Rows whose ``key`` is listed in code table ``table``, with the code's
+    name as ``out`` (inner-join semantics; ``only`` keeps one name).
+
+    A code table that is the fixed list becomes a CASE expression and an
+    ``isin`` filter evaluated in the scan stage (no join, no broadcast job;
+    on a partition column the filter prunes directories).  A code table read
+    from data is joined (broadcast after its size check).
+    """
+    pairs = book.fixed_code_pairs(table)
+    if pairs is None:
+        name_col = schemas.BY_NAME[table].fields[1].name
+        dim = book.code(table).select(key, F.col(name_col).alias(out))
+        if only is not None:
+            dim = dim.filter(F.col(out) == only)
+        return df.join(dim, key)
+    if only is not None:
+        pairs = [(i, n) for i, n in pairs if n == only]
+    k = F.col(key)
+    if not pairs:
+        return df.filter(F.lit(False)).withColumn(out, F.lit(None).cast("string"))
+    name = F.when(k == pairs[0][0], F.lit(pairs[0][1]))
+    for i, n in pairs[1:]:
+        name = name.when(k == i, F.lit(n))
+    return df.filter(k.isin([i for i, _ in pairs])).withColumn(out, name)
+
+
+def code_unknown(book, table: str, key: str) -> Column | None:
+    """True where ``key`` is NULL or not in the fixed code list (the rows an
+    anti join would keep); None when the code table is read from data."""
+    pairs = book.fixed_code_pairs(table)
+    if pairs is None:
+        return None
+    k = F.col(key)
+    return k.isNull() | ~k.isin([i for i, _ in pairs])
+
+
 def customer_dim(book, with_type: bool = True) -> DataFrame:
     """CustomerID, CustomerName, FirstName, LastName[, CustomerType]."""
     c = book.customers_final.select(
@@ -31,8 +69,7 @@ def customer_dim(book, with_type: bool = True) -> DataFrame:
         full_name("FirstName", "LastName").alias("CustomerName"),
     )
     if with_type:
-        ct = book.code("customer_types").select("CustomerTypeID", F.col("TypeName").alias("CustomerType"))
-        c = c.join(ct, "CustomerTypeID")
+        c = with_code(book, c, "customer_types", "CustomerTypeID", "CustomerType")
     return c.drop("CustomerTypeID")
 
 
@@ -60,11 +97,8 @@ def account_dim(book, extra: Sequence[str] = ()) -> DataFrame:
 
 
 def loans_with_status(book, only: str | None = None) -> DataFrame:
-    """Loans joined to the (broadcast) status table: + LoanStatus."""
-    ls = book.code("loan_statuses").select("LoanStatusID", F.col("StatusName").alias("LoanStatus"))
-    if only is not None:
-        ls = ls.filter(F.col("LoanStatus") == only)
-    return book.loans.join(ls, "LoanStatusID")
+    """Loans with a known status: + LoanStatus (``only`` keeps one status)."""
+    return with_code(book, book.loans, "loan_statuses", "LoanStatusID", "LoanStatus", only)
 
 
 def is_status(name: str) -> Column:

@@ -156,6 +156,11 @@ class Book:
         return self
 
     # -- dimensions ---------------------------------------------------------
+    def fixed_code_pairs(self, name: str) -> list[tuple[int, str]] | None:
+        """The (id, name) list of a code table when it is the fixed list
+        (so ids are unique and the size is known); None when read from data."""
+        return list(lookups.FIXED[name]) if self.fixed_codes else None
+
     def code(self, name: str) -> DataFrame:
         """A code table, broadcast when its size is known or checked."""
         key = ("code", name)

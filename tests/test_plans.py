@@ -5,6 +5,7 @@ aggregates, and hot accounts take the broadcast path."""
 from __future__ import annotations
 
 import os
+import re
 
 import pytest
 
@@ -29,9 +30,11 @@ def test_no_cartesian_product(book, name):
     assert not has_cartesian(BOOK_QUERIES[name](book))
 
 
-def test_status_table_is_broadcast_and_scan_pruned(book):
+def test_status_codes_filter_the_scan_and_prune(book):
     p = plan(book, "exposure_by_status")
-    assert "BroadcastHashJoin" in p
+    # the fixed status list is a CASE plus an IN filter on the partition column: no join
+    assert "Join" not in p
+    assert re.search(r"PartitionFilters: \[[^\]]*LoanStatusID#\d+ IN \(1,2,3\)", p)
     scan = [ln for ln in p.splitlines() if "riskbook_loans" in ln][0]
     assert "StartDate" not in scan and "InterestRate" not in scan   # only needed columns are read
     # the aggregate is split: partial before the exchange, final after
@@ -71,6 +74,6 @@ def test_hot_accounts_join_by_broadcast(spark, book):
     book.hot["loans.AccountID"] = hot
     try:
         p = plan(book, "customer_loans")
-        assert "Union" in p and p.count("BroadcastHashJoin") >= 2
+        assert "Union" in p and p.count("BroadcastHashJoin") >= 1
     finally:
         book.hot["loans.AccountID"] = saved
