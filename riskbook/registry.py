@@ -10,6 +10,7 @@ transactions) are set here, next to the query that uses them.
 from __future__ import annotations
 
 import os
+import warnings
 from collections.abc import Callable
 from decimal import Decimal
 
@@ -46,11 +47,21 @@ def _input_bytes(sf_dir: str) -> int:
 def book_for(spark: SparkSession, sf_dir: str) -> Book:
     """One prepared Book per session and input folder: the role tables and
     the derived snapshots are written once with their layout and reused by
-    every query."""
+    every query.
+
+    If the load step cannot write (no writable shared folder, a read-only
+    catalog), the queries run as plans over the input tables instead: the
+    same results without the layout, and a warning says so.
+    """
     key = (spark.sparkContext.applicationId, id(spark), sf_dir.rstrip("/"))
     if key not in _BOOKS:
-        raw = Book.from_driver(spark, sf_dir)
-        _BOOKS[key] = raw.prepared(_input_bytes(sf_dir))
+        try:
+            book = Book.from_driver(spark, sf_dir).prepared(_input_bytes(sf_dir))
+        except Exception as exc:  # noqa: BLE001 - any failure of the load step
+            warnings.warn(f"riskbook: load step failed ({type(exc).__name__}: {exc}); "
+                          "reading the input tables directly", RuntimeWarning, stacklevel=2)
+            book = Book.from_driver(spark, sf_dir)
+        _BOOKS[key] = book
     return _BOOKS[key]
 
 

@@ -50,3 +50,18 @@ def test_query_matches_oracle(spark, duck, name):
         assert _DUCK_TYPE.get(t, t.upper()) == types.get(f.name), f"{f.name}: {t} vs {types.get(f.name)}"
     problem = diff(df.columns, df.collect(), rel.columns, rel.fetchall())
     assert problem is None, problem
+
+
+def test_queries_survive_a_failed_load_step(spark, duck, monkeypatch):
+    from riskbook import registry
+    from riskbook.sources.book import Book
+
+    def broken(self, input_bytes=0):
+        raise OSError("shared folder not writable")
+
+    monkeypatch.setattr(Book, "prepared", broken)
+    monkeypatch.setattr(registry, "_BOOKS", {})
+    with pytest.warns(RuntimeWarning, match="load step failed"):
+        df = entry_mod.queries()["red_flag_list"](spark, SF)
+    rel = duck.sql(entry_mod.oracle_sql()["red_flag_list"])
+    assert diff(df.columns, df.collect(), rel.columns, rel.fetchall()) is None
