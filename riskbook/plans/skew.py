@@ -30,11 +30,12 @@ class HotKeys:
     count: int
 
 
-def find_hot_keys(df: DataFrame, key: str, min_rows: int = HOT_KEY_ROWS) -> HotKeys:
+def find_hot_keys(df: DataFrame, key: str, min_rows: int = HOT_KEY_ROWS, write: bool = False) -> HotKeys:
     """Keys with more than ``min_rows`` rows, by a partial aggregate.
 
-    The count is taken with a limit, so it costs at most MAX_HOT_KEYS + 1
-    rows of output.
+    With ``write`` the key list is written once to the shared folder and
+    read back, so queries that use it do not aggregate the fact again.  The
+    count is taken with a limit: at most MAX_HOT_KEYS + 1 rows are read.
     """
     keys = (
         df.filter(F.col(key).isNotNull())
@@ -43,6 +44,10 @@ def find_hot_keys(df: DataFrame, key: str, min_rows: int = HOT_KEY_ROWS) -> HotK
         .filter(F.col("_rows") > min_rows)
         .select(key)
     )
+    if write:
+        from .materialize import materialize
+
+        keys = materialize(df.sparkSession, keys, f"hot_{key}")
     return HotKeys(keys, keys.limit(MAX_HOT_KEYS + 1).count())
 
 

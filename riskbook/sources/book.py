@@ -139,11 +139,11 @@ class Book:
                     fixed_codes=self.fixed_codes, tx_tiebreak=self.tx_tiebreak,
                     hot_key_rows=self.hot_key_rows)
         book._buckets = n
-        book.hot["accounts.CustomerID"] = find_hot_keys(accounts, "CustomerID", self.hot_key_rows)
+        book.hot["accounts.CustomerID"] = find_hot_keys(accounts, "CustomerID", self.hot_key_rows, write=True)
         book.transactions_clean  # noqa: B018 - write the snapshots now
         book.customers_final  # noqa: B018
         book.account_customers  # noqa: B018
-        book.hot["loans.AccountID"] = find_hot_keys(book.loans, "AccountID", self.hot_key_rows)
+        book.hot["loans.AccountID"] = find_hot_keys(book.loans, "AccountID", self.hot_key_rows, write=True)
         return book
 
     def find_hot_keys(self) -> "Book":
