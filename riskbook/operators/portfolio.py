@@ -68,20 +68,28 @@ def master_portfolio(book, limit: int | None = None) -> DataFrame:
 def loan_transaction_summary(book, limit: int | None = None) -> DataFrame:
     """Q23: per loan, the transaction count and volume of its account.
 
-    Transactions are first reduced to one row per account; loans are then
-    grouped by their report keys with multiplicity m (repeated loan rows),
-    so count = m * n and volume = m * v without building the loan x
+    Transactions are first reduced to one row per account (rows n, volume
+    v).  Loans then join that account row once, and are grouped by the
+    report keys, which include AccountID, so the grouping reuses the join's
+    partitioning: one shuffle of loans.  Repeated loan rows (multiplicity m)
+    give count m * n and volume m * v, without building the loan x
     transaction fan-out.  No transactions -> 0 and NULL.
     """
-    keys = ["AccountID", "LoanID", "PrincipalAmount", "LoanStatus"]
-    groups = chain.loans_with_status(book).groupBy(*keys).agg(count_long("*").alias("_m"))
+    keys = ["CustomerID", "CustomerName", "CustomerType", "AccountID", "Balance",
+            "LoanID", "PrincipalAmount", "LoanStatus"]
+    loans = chain.loans_with_status(book).select("AccountID", "LoanID", "PrincipalAmount", "LoanStatus")
     acct = chain.account_dim(book).join(chain.tx_per_account(book), "AccountID", "left")
-    m = F.col("_m")
-    out = chain.join_accounts(book, groups, acct).select(
+
+    def per_loan(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*keys).agg(
+            F.sum(F.coalesce(F.col("tx_ids"), F.lit(0))).cast("long").alias("TotalTransactions"),
+            money(F.sum("tx_volume")).alias("TotalTransactionVolume"),
+        )
+
+    out = chain.join_accounts(book, loans, acct, then=per_loan).select(
         "CustomerID", "CustomerName", "CustomerType", "AccountID",
         F.col("Balance").alias("AccountBalance"), "LoanID", "PrincipalAmount", "LoanStatus",
-        (m * F.coalesce(F.col("tx_ids"), F.lit(0))).cast("long").alias("TotalTransactions"),
-        money(m * F.col("tx_volume")).alias("TotalTransactionVolume"),
+        "TotalTransactions", "TotalTransactionVolume",
     )
     return _limit(out, ["CustomerID", "AccountID", "LoanID"], limit)
 

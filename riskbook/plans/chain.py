@@ -113,10 +113,11 @@ def paid_off_flag() -> Column:
     return is_status(STATUS_PAID_OFF)
 
 
-def join_accounts(book, loans: DataFrame, dim: DataFrame, how: str = "inner") -> DataFrame:
+def join_accounts(book, loans: DataFrame, dim: DataFrame, how: str = "inner", then=None) -> DataFrame:
     """Loan rows joined to a one-row-per-account dimension; the rows of hot
-    accounts (found at load) join a broadcast slice of it."""
-    return split_join(loans, dim, "AccountID", book.hot.get("loans.AccountID"), how)
+    accounts (found at load) join a broadcast slice of it.  ``then`` is an
+    aggregate grouped by AccountID (among others), applied per part."""
+    return split_join(loans, dim, "AccountID", book.hot.get("loans.AccountID"), how, then)
 
 
 def loan_accounts(book) -> DataFrame:

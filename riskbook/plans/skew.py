@@ -12,6 +12,7 @@ exact, so the union is the full join.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -51,16 +52,22 @@ def find_hot_keys(df: DataFrame, key: str, min_rows: int = HOT_KEY_ROWS, write:
     return HotKeys(keys, keys.limit(MAX_HOT_KEYS + 1).count())
 
 
-def split_join(fact: DataFrame, dim: DataFrame, key: str, hot: HotKeys | None, how: str = "inner") -> DataFrame:
-    """``fact.join(dim, key, how)`` with hot keys joined by broadcast.
+def split_join(fact: DataFrame, dim: DataFrame, key: str, hot: HotKeys | None, how: str = "inner",
+               then: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``then(fact.join(dim, key, how))`` with hot keys joined by broadcast.
 
     ``dim`` must hold one row per key (a dimension).  ``how`` is "inner" or
-    "left" (rows of the fact are kept).
+    "left" (rows of the fact are kept).  ``then`` (default: nothing) is
+    applied to each part before the union; it must keep rows of different
+    keys apart, as an aggregate grouped by ``key`` (among others) does.  The
+    shuffle join leaves its part partitioned by ``key``, so such an
+    aggregate needs no second shuffle.
     """
+    step = then or (lambda df: df)
     if hot is None or hot.count == 0 or hot.count > MAX_HOT_KEYS:
-        return fact.join(dim, key, how)
+        return step(fact.join(dim, key, how))
     hk = F.broadcast(hot.keys)
     hot_fact = fact.join(hk, key, "left_semi")
     cold_fact = fact.join(hk, key, "left_anti")
     dim_hot = F.broadcast(dim.join(hk, key, "left_semi"))
-    return cold_fact.join(dim, key, how).unionByName(hot_fact.join(dim_hot, key, how))
+    return step(cold_fact.join(dim, key, how)).unionByName(step(hot_fact.join(dim_hot, key, how)))
