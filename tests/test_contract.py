@@ -26,7 +26,7 @@ def duck():
 def test_entry_runs(spark):
     df = entry_mod.entry(spark)
     rows = df.collect()
-    assert len(rows) > 0
+    assert len(rows) == 76      # red-flag borrowers at sf0.001 (FIXTURES.md section 3)
     assert df.columns == ["CustomerID", "CustomerName", "CustomerType", "TotalLoanDebt",
                           "TotalLiquidAssets", "DAR", "UncollateralizedDebt"]
 

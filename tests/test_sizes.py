@@ -74,3 +74,9 @@ def test_transactions_and_ratios(book):
     # (sum of distinct balances = 0 for exactly these customers) gives 122.
     assert whole.count() == 1478 and whole.filter(F.col("DAR").isNull()).count() == 122
     assert BOOK_QUERIES["debt_to_asset_ratio"](book).count() == 20
+
+
+def test_all_branches_ranked(book):
+    from riskbook.operators.ranking import branch_default_rank
+
+    assert branch_default_rank(book, n=None).count() == 50
