@@ -21,6 +21,7 @@ def has_cartesian(df: DataFrame) -> bool:
 
 
 def count_exchanges(df: DataFrame) -> int:
-    """Shuffle exchanges in the (pre-AQE) physical plan."""
-    plan = df._jdf.queryExecution().sparkPlan().toString()
-    return plan.count("Exchange hashpartitioning") + plan.count("Exchange rangepartitioning")
+    """Shuffle exchanges in the initial physical plan (before AQE re-plans)."""
+    plan = physical_plan(df)
+    return sum(plan.count(f"Exchange {kind}") for kind in ("hashpartitioning", "rangepartitioning",
+                                                          "SinglePartition", "RoundRobinPartitioning"))

@@ -7,10 +7,6 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
-# Target bytes per shuffle partition; AQE coalesces small ones at runtime.
-_BYTES_PER_PARTITION = 128 * 1024 * 1024
-
-
 def build_session(master: str = "local[8]", app: str = "riskbook", shuffle_partitions: int = 8,
                   extra: dict[str, str] | None = None) -> SparkSession:
     """A session for tests and local runs (a cluster passes its own)."""
@@ -33,11 +29,6 @@ def build_session(master: str = "local[8]", app: str = "riskbook", shuffle_parti
     return spark
 
 
-def shuffle_partitions_for(input_bytes: int, cores: int) -> int:
-    """Shuffle partitions so each holds ~128 MB, and at least one per core."""
-    return max(cores, -(-input_bytes // _BYTES_PER_PARTITION))
-
-
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for materialized tables.
 

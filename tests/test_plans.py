@@ -77,3 +77,40 @@ def test_hot_accounts_join_by_broadcast(spark, book):
         assert "Union" in p and p.count("BroadcastHashJoin") >= 1
     finally:
         book.hot["loans.AccountID"] = saved
+
+
+def test_status_report_shuffles_only_aggregates(book):
+    from riskbook.plans.inspect import count_exchanges
+
+    # partial aggregate -> one exchange -> final aggregate, then the ordered output
+    assert count_exchanges(BOOK_QUERIES["exposure_by_status"](book)) == 2
+
+
+def _exchanges_above(plan: str, scan: str) -> int:
+    """Exchanges on the path from the first line naming ``scan`` up to the root."""
+    lines = plan.splitlines()
+    at = next(i for i, ln in enumerate(lines) if scan in ln and "Scan" in ln)
+
+    def depth(ln: str) -> int:
+        return len(ln) - len(ln.lstrip(" :|+-"))
+
+    n, level = 0, depth(lines[at])
+    for ln in reversed(lines[:at]):
+        if depth(ln) < level:
+            level = depth(ln)
+            n += "Exchange" in ln and "BroadcastExchange" not in ln
+    return n
+
+
+def test_loan_rows_shuffle_once_in_q23(spark):
+    from riskbook.operators import portfolio
+    from riskbook.sources.book import Book
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = physical_plan(portfolio.loan_transaction_summary(Book.from_driver(spark, SF)))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # loans are shuffled once (by account for the join); the report's
+    # grouping reuses that partitioning
+    assert _exchanges_above(p, "lineitem") == 1
