@@ -18,8 +18,8 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from riskbook.registry import QUERIES, book_for  # noqa: E402
-from riskbook.session import build_session  # noqa: E402
+from riskbook.registry import QUERIES, _input_bytes, book_for  # noqa: E402
+from riskbook.session import build_session, sized_conf  # noqa: E402
 
 
 def main() -> None:
@@ -27,10 +27,11 @@ def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     runs = int(os.environ.get("BENCH_RUNS", "3"))
     only = [q for q in os.environ.get("BENCH_QUERIES", "").split(",") if q]
+    conf = sized_conf(_input_bytes(sf_dir), cpus)
     spark = build_session(
-        master=f"local[{cpus}]", app="riskbook-bench", shuffle_partitions=cpus,
-        extra={"spark.sql.adaptive.advisoryPartitionSizeInBytes": "64m",
-               "spark.driver.extraJavaOptions": "-XX:+UseParallelGC"},
+        master=f"local[{cpus}]", app="riskbook-bench",
+        shuffle_partitions=int(conf.pop("spark.sql.shuffle.partitions")),
+        extra={**conf, "spark.driver.extraJavaOptions": "-XX:+UseParallelGC"},
     )
     jvm_gc = spark.sparkContext._jvm.java.lang.System.gc
     spark.range(1).count()  # JVM warm-up, not timed

@@ -34,6 +34,7 @@ _BOOKS: dict[tuple, Book] = {}
 
 
 def _input_bytes(sf_dir: str) -> int:
+    """Bytes of the generated tables the role mapping reads."""
     total = 0
     for name in ("customer", "orders", "lineitem", "events", "part"):
         p = os.path.join(sf_dir, f"{name}.parquet")

@@ -29,6 +29,28 @@ def build_session(master: str = "local[8]", app: str = "riskbook", shuffle_parti
     return spark
 
 
+# Shuffle sizing: bytes of input per initial shuffle partition, and a cap
+# (AQE coalesces small partitions at runtime and splits skewed joins).
+_INPUT_PER_PARTITION = 256 * 1024 * 1024
+_MAX_SHUFFLE_PARTITIONS = 65536
+
+
+def sized_conf(input_bytes: int, cores: int) -> dict[str, str]:
+    """Settings sized from the input: about one initial shuffle partition
+    per 256 MB of input (at least one per core, at most 65,536), AQE on with
+    128 MB target partitions so coalesced partitions fit executor memory,
+    skew-join splitting on, and 256 MB scan splits."""
+    parts = min(_MAX_SHUFFLE_PARTITIONS, max(cores, -(-input_bytes // _INPUT_PER_PARTITION)))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.files.maxPartitionBytes": "256m",
+    }
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for materialized tables.
 
