@@ -3,7 +3,7 @@
 Each query runs to completion through the ``noop`` sink (the whole plan
 executes; nothing is collected to the driver).  The derived snapshot
 tables (cleaned transactions and customers) are written once first and
-timed as ``prepare``.  Each query runs ``BENCH_RUNS`` times (default 3);
+timed as ``prepare``.  Each query runs ``BENCH_RUNS`` times (default 5);
 the best time is reported.  The JVM collects garbage between runs,
 outside the timed region, so one query's garbage is not billed to the
 next.  Prints one JSON line.
@@ -25,7 +25,7 @@ from riskbook.session import build_session, sized_conf  # noqa: E402
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "5"))
     only = [q for q in os.environ.get("BENCH_QUERIES", "").split(",") if q]
     conf = sized_conf(_input_bytes(sf_dir), cpus)
     spark = build_session(
