@@ -184,3 +184,12 @@ def test_layouts_written_and_pruned(spark):
     q = layout.loans_by_status_clustered(b, 2)
     assert sorted(r["LoanID"] for r in q.collect()) == [1, 3]
     assert "PartitionFilters: [isnotnull(LoanStatusID" in physical_plan(q)
+
+
+def test_sized_conf_bounds():
+    from riskbook.session import sized_conf
+
+    assert sized_conf(10 * 2**20, 8)["spark.sql.shuffle.partitions"] == "8"          # small: one per core
+    assert sized_conf(1 << 40, 8)["spark.sql.shuffle.partitions"] == "4096"           # 1 TB / 256 MB
+    assert sized_conf(100 << 40, 8000)["spark.sql.shuffle.partitions"] == "65536"     # 100 TB: capped
+    assert sized_conf(0, 8)["spark.sql.adaptive.enabled"] == "true"
