@@ -193,3 +193,10 @@ def test_sized_conf_bounds():
     assert sized_conf(1 << 40, 8)["spark.sql.shuffle.partitions"] == "4096"           # 1 TB / 256 MB
     assert sized_conf(100 << 40, 8000)["spark.sql.shuffle.partitions"] == "65536"     # 100 TB: capped
     assert sized_conf(0, 8)["spark.sql.adaptive.enabled"] == "true"
+
+
+def test_clean_book_keeps_zero_count_rows(spark):
+    b = role_book(spark, {})
+    summary = {r["relationship"]: r["orphan_count"] for r in integrity.integrity_summary(b).collect()}
+    assert len(summary) == 6 and set(summary.values()) == {0}
+    assert quality.verify_dedupe(b).count() == 0          # no row at all when clean
