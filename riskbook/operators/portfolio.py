@@ -1,10 +1,11 @@
 """Relationship joins and portfolio exposure (stages 3, 4, 7 and 8a).
 
 Row-level reports (the loan book) are one shuffle join of loans against
-the account-scale dimension.  Status-level reports join the broadcast
-status table in the scan stage and aggregate map-side, so the only
-shuffle carries one row per status per partition.  Segment-level reports
-collapse loans per account first (see ``plans.chain``).
+the account dimension, hot accounts split off (``plans.chain``).
+Status-level reports name each status in the scan stage (a CASE over the
+fixed code list, or a broadcast join for a code table read from data) and
+aggregate map-side, so the only shuffle carries one row per status per
+task.  Segment-level reports collapse loans per account first.
 """
 
 from __future__ import annotations
