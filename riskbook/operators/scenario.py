@@ -1,7 +1,7 @@
 """Interest-rate scenarios (stage 8b).
 
-All scenarios of a report come out of one aggregate pass over loans with
-the broadcast status table joined in the scan stage.  Rate shifts are
+All scenarios of a report come out of one aggregate pass over loans, each
+loan named by its status in the scan stage.  Rate shifts are
 exact decimals: a shift is rounded to 4 places as DECIMAL(5,4), and an
 out-of-range shift raises (ANSI cast).
 """
