@@ -14,7 +14,7 @@ import argparse
 import os
 from collections.abc import Iterable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from .operators import portfolio, ranking, solvency
 from .registry import BOOK_QUERIES
@@ -39,6 +39,12 @@ def register_views(book: Book) -> list[str]:
     return [*tables, "vw_PortfolioHealth", "vw_RedFlagCustomers", "vw_SegmentRankings"]
 
 
+def list_views(spark: SparkSession) -> DataFrame:
+    """The registered views, from the session catalog (namespace, viewName,
+    isTemporary)."""
+    return spark.sql("SHOW VIEWS")
+
+
 def run_all(book: Book, out_dir: str, names: Iterable[str] | None = None) -> dict[str, str]:
     """Write each report as parquet under ``out_dir/<name>``."""
     written = {}

@@ -6,7 +6,7 @@ import os
 import tempfile
 
 from riskbook.registry import BOOK_QUERIES
-from riskbook.run import find_tables, register_views, run_all
+from riskbook.run import find_tables, list_views, register_views, run_all
 
 from .fixtures import random_tables, role_book
 
@@ -24,6 +24,8 @@ def test_run_all_and_views(spark):
     n = spark.sql("SELECT count(*) FROM vw_PortfolioHealth WHERE LoanStatus = 'Overdue'").collect()[0][0]
     assert n == 1
     assert spark.sql("SELECT count(*) FROM loans").collect()[0][0] == book.loans.count()
+    listed = {r["viewName"] for r in list_views(spark).collect()}
+    assert {"vw_portfoliohealth", "vw_redflagcustomers", "vw_segmentrankings"} <= {v.lower() for v in listed}
 
 
 def test_find_tables(tmp_path):
