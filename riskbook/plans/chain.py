@@ -43,13 +43,15 @@ def with_code(book, df: DataFrame, table: str, key: str, out: str, only: str | N
         return df.join(dim, key)
     if only is not None:
         pairs = [(i, n) for i, n in pairs if n == only]
-    k = F.col(key)
     if not pairs:
         return df.filter(F.lit(False)).withColumn(out, F.lit(None).cast("string"))
-    name = F.when(k == pairs[0][0], F.lit(pairs[0][1]))
-    for i, n in pairs[1:]:
-        name = name.when(k == i, F.lit(n))
-    return df.filter(k.isin([i for i, _ in pairs])).withColumn(out, name)
+    arms = " ".join(f"WHEN {int(i)} THEN '{_sql_text(n)}'" for i, n in pairs)
+    name = F.expr(f"CASE `{key}` {arms} END")
+    return df.filter(F.col(key).isin([i for i, _ in pairs])).withColumn(out, name)
+
+
+def _sql_text(s: str) -> str:
+    return s.replace("\\", "\\\\").replace("'", "\\'")
 
 
 def code_unknown(book, table: str, key: str) -> Column | None:

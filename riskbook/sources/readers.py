@@ -41,7 +41,7 @@ def read_parquet_table(spark: SparkSession, name: str, path: str) -> DataFrame:
     """S2: a parquet table projected and cast onto the fixed schema."""
     schema = schemas.BY_NAME[name]
     df = spark.read.parquet(path)
-    return df.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+    return df.select([F.col(f.name).cast(f.dataType.simpleString()).alias(f.name) for f in schema.fields])
 
 
 def read_table(spark: SparkSession, name: str, path: str) -> DataFrame:

@@ -33,7 +33,7 @@ def _key_hits(col: str, modulus: int) -> Column:
 
 
 def _cast_all(df: DataFrame, schema, extra: tuple[str, ...] = ()) -> DataFrame:
-    cols = [F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields]
+    cols = [F.col(f.name).cast(f.dataType.simpleString()).alias(f.name) for f in schema.fields]
     return df.select(*cols, *extra)
 
 
