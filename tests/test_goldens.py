@@ -134,3 +134,14 @@ def test_book_from_paths_and_report_api(spark):
     assert "red_flag_list" in report_names() and len(report_names()) == 60
     rows = {r["LoanStatus"]: r["TotalLoans"] for r in report(b, "baseline_yield").collect()}
     assert rows == {"Active": 242, "Paid Off": 57, "Overdue": 34}
+
+
+def test_prepared_book_from_files_keeps_goldens(spark):
+    """The load step over the published files (code tables read from data,
+    so they are joined after a size check) gives the same figures."""
+    b = Book.from_csv(spark, DATA).prepared()
+    ex = {r["LoanStatus"]: (r["TotalLoans"], r["TotalPrincipal"]) for r in portfolio.exposure_by_status(b).collect()}
+    assert ex == {"Active": (242, D("12570391.68")), "Paid Off": (57, D("3001903.21")),
+                  "Overdue": (34, D("1670617.42"))}
+    assert portfolio.loans_by_status(b, 2).count() == 57
+    assert len(trend.running_exposure(b).collect()) == 30
