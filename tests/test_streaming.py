@@ -5,6 +5,8 @@ from __future__ import annotations
 
 import tempfile
 
+import pytest
+
 from riskbook.operators import quality
 from riskbook.sources.book import Book
 from riskbook.streaming.ingest import append_files
@@ -34,3 +36,16 @@ def test_append_waves_then_dedupe(spark):
     book = Book.from_frames(spark, transactions=tx)
     got = {r["TransactionID"]: str(r["Amount"]) for r in quality.dedupe_transactions(book).collect()}
     assert got == {1: "7.00", 2: "3.50"}
+
+
+def test_malformed_file_stops_the_stream(spark):
+    src = tempfile.mkdtemp(prefix="rb-src-")
+    dst = tempfile.mkdtemp(prefix="rb-dst-")
+    ckpt = tempfile.mkdtemp(prefix="rb-ckpt-")
+    _drop(src, "bad", ["not-a-number,10,11,1,5.00,2024-01-02 00:00:00,1,x\n"])
+    q = append_files(spark, "transactions", src, dst, checkpoint=ckpt)
+    with pytest.raises(Exception):
+        q.awaitTermination(120)
+        if q.exception() is not None:
+            raise RuntimeError(str(q.exception()))
+    assert spark.read.schema("TransactionID long").parquet(dst).count() == 0
