@@ -77,7 +77,7 @@ def overdue_ecl(book) -> DataFrame:
 
 def rate_shift_literal(shift) -> Column:
     """The shift as DECIMAL(5,4): rounded to 4 places, error if too large."""
-    return F.lit(Decimal(str(shift))).cast(RATE)
+    return F.lit(Decimal(str(shift))).cast(RATE.simpleString())
 
 
 def what_if(book, rate_shift) -> DataFrame:
