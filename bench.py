@@ -1,9 +1,10 @@
 """Benchmark: every registered query at $BENCH_SF_DIR on local[$BENCH_CPUS].
 
+Session settings are sized from the input (``session.sized_conf``).  The
+load step (``Book.prepared``: role tables, snapshots and hot-key lists
+written with their layout) runs once first and is timed as ``prepare``.
 Each query runs to completion through the ``noop`` sink (the whole plan
-executes; nothing is collected to the driver).  The derived snapshot
-tables (cleaned transactions and customers) are written once first and
-timed as ``prepare``.  Each query runs ``BENCH_RUNS`` times (default 3);
+executes; nothing is collected to the driver).  Each query runs ``BENCH_RUNS`` times (default 3);
 the best time is reported.  The JVM collects garbage between runs,
 outside the timed region, so one query's garbage is not billed to the
 next.  Prints one JSON line.
