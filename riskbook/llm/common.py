@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,7 +60,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
         if not batch.num_rows:
             continue
         text = batch.column(batch.schema.get_field_index(column))
-        sizes = pa.compute.fill_null(pa.compute.binary_length(text), 0).to_pylist()
+        sizes = pc.fill_null(pc.binary_length(text), 0).to_pylist()
         start = total = 0
         for i, n in enumerate(sizes):
             if i > start and total + n > most:
