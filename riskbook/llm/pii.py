@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .spans import SPAN, bind, joined, ordered
+from .spans import SPAN, bind, find, joined, no_spans, ordered
 
 # The base patterns (Java syntax; a run is read once), the
 # strict forms, the gazetteers and the context words.
@@ -78,9 +78,7 @@ def luhn(value: Column) -> Column:
 
 
 def candidates(text: Column) -> Column:
-    from .spans import NO_SPANS, find
-
-    none, digit = NO_SPANS, text.rlike("[0-9]")
+    none, digit = no_spans(), text.rlike("[0-9]")
     n_digits = lambda v: F.length(F.regexp_replace(v, "[^0-9]", ""))
     octets = lambda v: v.rlike(rf"^(?:{OCTET}\.){{3}}{OCTET}$")
     return F.concat(

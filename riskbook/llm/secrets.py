@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .spans import NO_SPANS, find, joined, ordered
+from .spans import find, joined, no_spans, ordered
 
 # The base patterns of the scan, in Java syntax (possessive, so
 # that a long run costs one pass), and tokens with a vendor's prefix.
@@ -40,7 +40,7 @@ def candidates(text: Column) -> Column:
         find(text, HEX, "hex"),
         find(text, VENDOR, "vendor"),
     )
-    return F.when(text.rlike(ANY), ordered(every, KINDS, by_kind_first=False)).otherwise(NO_SPANS)
+    return F.when(text.rlike(ANY), ordered(every, KINDS, by_kind_first=False)).otherwise(no_spans())
 
 
 def placeholder(value: Column) -> Column:

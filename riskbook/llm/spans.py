@@ -13,7 +13,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPAN = "struct<start:int,end:int,kind:string,value:string>"
-NO_SPANS = F.expr(f"cast(array() as array<{SPAN}>)")
+
+
+def no_spans() -> Column:
+    return F.expr(f"cast(array() as array<{SPAN}>)")
 
 
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -38,7 +41,7 @@ def find(text: Column, pattern: str, kind: str, group: int = 0,
         return F.struct(end.alias("at"), F.when(good, F.concat(acc["out"], F.array(span)))
                         .otherwise(acc["out"]).alias("out"))
 
-    zero = F.struct(F.lit(0).alias("at"), NO_SPANS.alias("out"))
+    zero = F.struct(F.lit(0).alias("at"), no_spans().alias("out"))
     return F.aggregate(rows, zero, step, lambda acc: acc["out"])
 
 
