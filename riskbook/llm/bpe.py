@@ -223,10 +223,10 @@ class Memo:
             start = end
 
 
-def encode(docs: DataFrame, vocabulary: str, keep_ids: bool = False) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, keep_ids: bool = False, keep_text: bool = False) -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``n_tokens``, ``ids_sha256``,
-    ``decoded_sha256``, and with ``keep_ids`` also ``ids`` (array of int) and
-    ``decoded``.
+    ``decoded_sha256``, with ``keep_ids`` also ``ids`` (array of int) and with
+    ``keep_text`` also ``decoded``.
 
     NULL and empty texts have no tokens (the digests are those of nothing).
     Repeated rows give repeated results, a NULL ``doc_id`` stays NULL, an empty
@@ -247,15 +247,21 @@ def encode(docs: DataFrame, vocabulary: str, keep_ids: bool = False) -> DataFram
                 rows["sha"].append(sha256(packed).hexdigest())
                 rows["decoded"].append(sha256(text.encode()).hexdigest())
                 if keep_ids:
-                    rows["ids"].append(memoryview(packed).cast("I").tolist())
+                    rows["ids"].append(packed)
+                if keep_text:
                     rows["text"].append(text)
             cols = [b.column(0), pa.array(rows["n"], pa.int64()), pa.array(rows["sha"], pa.string()),
                     pa.array(rows["decoded"], pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if keep_ids:
-                cols += [pa.array(rows["ids"], pa.list_(pa.int32())), pa.array(rows["text"], pa.string())]
-                names += ["ids", "decoded"]
+                flat = np.frombuffer(b"".join(rows["ids"]), "<i4")
+                cols.append(pa.ListArray.from_arrays(np.r_[0, np.cumsum(rows["n"])].astype(np.int32), flat))
+                names.append("ids")
+            if keep_text:
+                cols.append(pa.array(rows["text"], pa.string()))
+                names.append("decoded")
             yield pa.RecordBatch.from_arrays(cols, names)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return id_text(docs).mapInArrow(run, schema + (", ids array<int>, decoded string" if keep_ids else ""))
+    schema += ", ids array<int>" * keep_ids + ", decoded string" * keep_text
+    return id_text(docs).mapInArrow(run, schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (bpe, decontaminate, language_id, pii, quality_model, quality_rules, secrets, simhash, toxicity)
+from . import (bpe, decontaminate, exact_repeats, language_id, pii, quality_model, quality_rules, secrets, simhash, toxicity)
 from .common import documents, table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -51,6 +51,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir), shingle=3, max_bits=2)
 
 
+def op10_exact_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_repeats.remove_repeats(documents(spark, sf_dir), length=200)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_quality_rules": op2_quality_rules,
@@ -61,5 +65,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_personal_data": op7_personal_data,
     "op8_language": op8_language,
     "op9_simhash": op9_simhash,
+    "op10_exact_repeats": op10_exact_repeats,
 }
 ORACLE: dict[str, str] = {}

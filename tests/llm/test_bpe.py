@@ -41,7 +41,8 @@ def test_matches_the_library(spark, library):
 
 
 def test_ids_and_text(spark, library):
-    r = bpe.encode(table(spark, [(1, "Some ordinary words, 42 of them.")]), PATH, keep_ids=True).first()
+    r = bpe.encode(table(spark, [(1, "Some ordinary words, 42 of them.")]), PATH, keep_ids=True,
+                   keep_text=True).first()
     assert r["ids"] == library.encode("Some ordinary words, 42 of them.", add_special_tokens=False).ids
     assert r["decoded"] == library.decode(r["ids"], skip_special_tokens=False)
 
