@@ -87,11 +87,6 @@ def pct(part: Column, whole: Column) -> Column:
     return money(safe_div(part * F.lit(Decimal("100.0")), whole))
 
 
-def dec(value) -> Column:
-    """An exact decimal literal (a float literal would turn sums into DOUBLE)."""
-    return F.lit(Decimal(str(value)))
-
-
 def month_key(c: str | Column) -> Column:
     """'yyyy-MM' text of a timestamp; NULL stays NULL."""
     return F.date_format(col(c), "yyyy-MM")

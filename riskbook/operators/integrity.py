@@ -1,7 +1,9 @@
 """Referential-integrity operators (stage 2).
 
 An orphan is a child row whose key finds no parent row; a NULL key never
-matches, so it is an orphan too.  Row lists use an anti join; counts first
+matches, so it is an orphan too.  Row lists take NULL keys by a plain filter
+(they would all hash to one partition) and the rest by an anti join that
+sends hot keys through a broadcast slice (``plans.skew``); counts first
 collapse the child to one row per key (a map-side partial aggregate, so a
 key holding a third of the rows costs one row per partition), then anti
 join those keys.
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import count_long
 from ..plans import chain
+from ..plans.skew import HotKeys, split_join
 
 # --- fixed values: relationship labels of the integrity summary -------------
 REL_ACCOUNTS_CUSTOMERS = "accounts → customers"
@@ -34,38 +37,36 @@ def _parent_keys(parent: DataFrame, pk: str, fk: str) -> DataFrame:
     return parent.select(F.col(pk).alias(fk))
 
 
-def orphans(child: DataFrame, fk: str, parent: DataFrame, pk: str, keep: Sequence[str]) -> DataFrame:
+def orphans(child: DataFrame, fk: str, parent: DataFrame, pk: str, keep: Sequence[str],
+            hot: HotKeys | None = None) -> DataFrame:
     """Child rows with no parent row (NULL key included)."""
-    return child.join(_parent_keys(parent, pk, fk), on=fk, how="left_anti").select(*keep)
-
-
-def orphan_count(child: DataFrame, fk: str, parent: DataFrame, pk: str) -> DataFrame:
-    """One row, ``orphan_count``: the number of orphan child rows (0 if none)."""
-    per_key = child.groupBy(fk).agg(count_long("*").alias("_n"))
-    lonely = per_key.join(_parent_keys(parent, pk, fk), on=fk, how="left_anti")
-    return lonely.agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("orphan_count"))
+    child = child.select(*dict.fromkeys([*keep, fk]))
+    keyed = split_join(child.filter(F.col(fk).isNotNull()), _parent_keys(parent, pk, fk), fk, hot, "left_anti")
+    return keyed.select(*keep).unionByName(child.filter(F.col(fk).isNull()).select(*keep))
 
 
 def orphan_accounts(book) -> DataFrame:
     """Q12: accounts whose customer is missing (raw customers)."""
-    return orphans(book.accounts, "CustomerID", book.customers, "CustomerID", ["AccountID", "CustomerID"])
+    return orphans(book.accounts, "CustomerID", book.customers, "CustomerID", ["AccountID", "CustomerID"],
+                   book.hot_keys("accounts.CustomerID"))
 
 
 def orphan_loans(book) -> DataFrame:
     """Q13."""
-    return orphans(book.loans, "AccountID", book.accounts, "AccountID", ["LoanID", "AccountID"])
+    return orphans(book.loans, "AccountID", book.accounts, "AccountID", ["LoanID", "AccountID"],
+                   book.hot_keys("loans.AccountID"))
 
 
 def orphan_transactions_account(book) -> DataFrame:
     """Q14: origin account only; the destination is not checked."""
     return orphans(book.transactions_clean, "AccountOriginID", book.accounts, "AccountID",
-                   ["TransactionID", "AccountOriginID"])
+                   ["TransactionID", "AccountOriginID"], book.hot_keys("transactions.AccountOriginID"))
 
 
 def orphan_transactions_branch(book) -> DataFrame:
     """Q15."""
     return orphans(book.transactions_clean, "BranchID", book.branch_dim(), "BranchID",
-                   ["TransactionID", "BranchID"])
+                   ["TransactionID", "BranchID"], book.hot_keys("transactions.BranchID"))
 
 
 def _code_orphans(book, child: DataFrame, key: str, table: str, keep: Sequence[str]) -> DataFrame:
@@ -76,13 +77,6 @@ def _code_orphans(book, child: DataFrame, key: str, table: str, keep: Sequence[s
     return child.filter(unknown).select(*keep)
 
 
-def _code_orphan_count(book, child: DataFrame, key: str, table: str) -> DataFrame:
-    unknown = chain.code_unknown(book, table, key)
-    if unknown is None:
-        return orphan_count(child, key, book.code(table), key)
-    return child.agg(F.coalesce(F.sum(unknown.cast("int")), F.lit(0)).cast("long").alias("orphan_count"))
-
-
 def invalid_loan_status(book) -> DataFrame:
     """Q16."""
     return _code_orphans(book, book.loans, "LoanStatusID", "loan_statuses", ["LoanID", "LoanStatusID"])
@@ -111,18 +105,40 @@ def invalid_customer_type(book) -> DataFrame:
                          ["CustomerID", "CustomerTypeID"])
 
 
+def _orphans_by_keys(child: DataFrame, checks: dict[str, tuple]) -> DataFrame:
+    """Orphan counts of several keys of one child table in one pass over it:
+    ``relationship``, ``orphan_count``.  ``checks``: label -> (key, parent
+    DataFrame, parent key).  The child is reduced to one row per (key, value)
+    before any join."""
+    arms = [F.struct(F.lit(rel).alias("relationship"), F.col(fk).cast("long").alias("_k"))
+            for rel, (fk, _, _) in checks.items()]
+    per_key = (child.select(F.explode(F.array(*arms)).alias("e")).groupBy("e.relationship", "e._k")
+               .agg(count_long("*").alias("_n")))
+    parents = None
+    for rel, (_, parent, pk) in checks.items():
+        part = parent.select(F.lit(rel).alias("relationship"), F.col(pk).cast("long").alias("_k")).distinct()
+        parents = part if parents is None else parents.unionByName(part)
+    return (per_key.join(parents, ["relationship", "_k"], "left_anti").groupBy("relationship")
+            .agg(F.sum("_n").alias("orphan_count")))
+
+
 def integrity_summary(book) -> DataFrame:
-    """Q19: one row per relationship, zero counts kept."""
-    counts = [
-        (REL_ACCOUNTS_CUSTOMERS, orphan_count(book.accounts, "CustomerID", book.customers, "CustomerID")),
-        (REL_LOANS_ACCOUNTS, orphan_count(book.loans, "AccountID", book.accounts, "AccountID")),
-        (REL_TX_ACCOUNTS, orphan_count(book.transactions_clean, "AccountOriginID", book.accounts, "AccountID")),
-        (REL_TX_BRANCHES, orphan_count(book.transactions_clean, "BranchID", book.branch_dim(), "BranchID")),
-        (REL_LOANS_STATUSES, _code_orphan_count(book, book.loans, "LoanStatusID", "loan_statuses")),
-        (REL_CUSTOMERS_TYPES, _code_orphan_count(book, book.customers_final, "CustomerTypeID", "customer_types")),
-    ]
-    parts = [df.select(F.lit(rel).alias("relationship"), "orphan_count") for rel, df in counts]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Q19: one row per relationship, zero counts kept; each fact is read once."""
+    codes = {n: book.codes[n] for n in ("loan_statuses", "customer_types")}
+    found = (
+        _orphans_by_keys(book.accounts, {REL_ACCOUNTS_CUSTOMERS: ("CustomerID", book.customers, "CustomerID")})
+        .unionByName(_orphans_by_keys(book.loans, {
+            REL_LOANS_ACCOUNTS: ("AccountID", book.accounts, "AccountID"),
+            REL_LOANS_STATUSES: ("LoanStatusID", codes["loan_statuses"], "LoanStatusID")}))
+        .unionByName(_orphans_by_keys(book.transactions_clean, {
+            REL_TX_ACCOUNTS: ("AccountOriginID", book.accounts, "AccountID"),
+            REL_TX_BRANCHES: ("BranchID", book.branches, "BranchID")}))
+        .unionByName(_orphans_by_keys(book.customers_final, {
+            REL_CUSTOMERS_TYPES: ("CustomerTypeID", codes["customer_types"], "CustomerTypeID")}))
+    )
+    labels = [REL_ACCOUNTS_CUSTOMERS, REL_LOANS_ACCOUNTS, REL_TX_ACCOUNTS, REL_TX_BRANCHES, REL_LOANS_STATUSES,
+              REL_CUSTOMERS_TYPES]
+    spark = book.spark
+    every = spark.createDataFrame([(x,) for x in labels], "relationship string")
+    return every.join(found, "relationship", "left").select(
+        "relationship", F.coalesce("orphan_count", F.lit(0)).cast("long").alias("orphan_count"))

@@ -1,67 +1,49 @@
 """Table layout in place of secondary indexes (stage 7, Q43).
 
-A low-cardinality key (a status or type code) becomes a directory
-partition, so a filter on it prunes whole directories; rows are sorted on
-the high-cardinality key within each file, so parquet min/max statistics
-skip row groups.  Rows are spread evenly over the writing tasks rather
-than range-partitioned on the key: a key holding a third of the rows
-would otherwise be one task.  The written copy is read back.
+A low-cardinality key (a status or type code, a month) becomes a directory,
+so a filter on it prunes whole directories.  Files hold ranges of a composite
+key: a filter on its first column skips files and row groups by parquet
+min/max statistics, and a key that holds a third of the rows spans several
+ranges through the second column.  A prepared Book writes the copies once, in
+its load step; the queries here read them (``sources.book.LAYOUTS``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.materialize import materialize
+from ..functions.columns import count_long, money
+from ..sources.book import LAYOUTS
+
 
-# Layouts re-aimed from the published index definitions.
-LAYOUTS = {
-    "loans": {"partition_by": ["LoanStatusID"], "sort_by": ["AccountID"]},
-    "transactions_clean": {"partition_by": [], "sort_by": ["AccountOriginID"]},
-    "customers_final": {"partition_by": ["CustomerTypeID"], "sort_by": ["CustomerID"]},
-    "accounts": {"partition_by": [], "sort_by": ["CustomerID"]},
-}
+def write_layouts(book) -> dict[str, DataFrame]:
+    """The four tables the published index definitions covered, each in its
+    layout (written at first use)."""
+    return {name: book.clustered(name) for name in LAYOUTS}
 
 
-def clustered(df: DataFrame, partition_by: Sequence[str], sort_by: Sequence[str]) -> DataFrame:
-    """Arrange rows for the layout: evenly spread, then sorted within each
-    task by the directory keys and the sort keys."""
-    n = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < n:
-        df = df.repartition(n)
-    keys = [*partition_by, *sort_by]
-    return df.sortWithinPartitions(*keys) if keys else df
+def loans_by_status_clustered(book, status_id: int = 2) -> DataFrame:
+    """Q40 over the loans layout: the status filter prunes to one directory."""
+    return book.clustered("loans").filter(F.col("LoanStatusID") == status_id).select(
+        "LoanID", "PrincipalAmount", "LoanStatusID")
 
 
-def write_clustered(spark: SparkSession, df: DataFrame, name: str, partition_by: Sequence[str],
-                    sort_by: Sequence[str]) -> DataFrame:
-    """Write ``df`` with the layout under the shared folder and read it back."""
-    arranged = clustered(df, partition_by, sort_by)
-    return materialize(spark, arranged, name, partition_by=list(partition_by) or None)
+def transactions_clustered(book) -> DataFrame:
+    """Per month and origin account over the transactions layout: rows and
+    volume (the month is a directory, the account the files' range)."""
+    return book.clustered("transactions_clean").groupBy("TxMonth", "AccountOriginID").agg(
+        count_long("*").alias("TxRows"), money(F.sum("Amount")).alias("TotalVolume"))
 
 
-def write_layouts(book) -> dict[str, DataFrame]:
-    """Write the four tables the published index definitions covered, each
-    with its layout, and return them read back."""
-    tables = {
-        "loans": book.loans,
-        "transactions_clean": book.transactions_clean,
-        "customers_final": book.customers_final,
-        "accounts": book.accounts,
-    }
-    return {
-        name: write_clustered(book.spark, df, f"{name}_clustered", LAYOUTS[name]["partition_by"],
-                              LAYOUTS[name]["sort_by"])
-        for name, df in tables.items()
-    }
+def customers_clustered(book) -> DataFrame:
+    """Customers of each type over the customers layout."""
+    return book.clustered("customers_final").groupBy("CustomerTypeID").agg(
+        count_long("*").alias("Customers"), F.min("CustomerID").cast("long").alias("FirstCustomerID"),
+        F.max("CustomerID").cast("long").alias("LastCustomerID"))
 
 
-def loans_by_status_clustered(book, status_id: int = 2) -> DataFrame:
-    """Q40 over the loans table written with the Q43 layout: the status
-    filter prunes to one directory."""
-    lay = LAYOUTS["loans"]
-    loans = write_clustered(book.spark, book.loans, "loans_clustered", lay["partition_by"], lay["sort_by"])
-    return loans.filter(F.col("LoanStatusID") == status_id).select("LoanID", "PrincipalAmount", "LoanStatusID")
+def accounts_clustered(book) -> DataFrame:
+    """Accounts and balance of each customer over the accounts layout."""
+    return book.clustered("accounts").groupBy("CustomerID").agg(
+        count_long("*").alias("Accounts"), money(F.sum("Balance")).alias("TotalBalance"))

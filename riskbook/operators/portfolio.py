@@ -19,7 +19,8 @@ from ..sources.lookups import STATUS_OVERDUE
 
 
 def _limit(df: DataFrame, order, limit: int | None) -> DataFrame:
-    return df if limit is None else df.orderBy(*order).limit(limit)
+    """A total order: the report's keys, then every other column."""
+    return df if limit is None else df.orderBy(*dict.fromkeys(order)).limit(limit)
 
 
 # -- stage 3: relationship joins ---------------------------------------------
@@ -30,7 +31,7 @@ def customer_accounts(book, limit: int | None = None) -> DataFrame:
     out = a.select(
         "CustomerID", "CustomerName", "CustomerType", "AccountID", "AccountType", "AccountStatus", "Balance"
     )
-    return _limit(out, ["CustomerID", "AccountID"], limit)
+    return _limit(out, ["CustomerID", "AccountID", *out.columns], limit)
 
 
 def _account_codes(book, a: DataFrame) -> DataFrame:
@@ -51,7 +52,7 @@ def customer_loans(book, limit: int | None = None) -> DataFrame:
         "CustomerID", "CustomerName", "CustomerType", "AccountID",
         F.col("Balance").alias("AccountBalance"), "LoanID", "PrincipalAmount", "InterestRate", "LoanStatus",
     )
-    return _limit(out, ["CustomerID", "AccountID", "LoanID"], limit)
+    return _limit(out, ["CustomerID", "AccountID", "LoanID", *out.columns], limit)
 
 
 def master_portfolio(book, limit: int | None = None) -> DataFrame:
@@ -63,7 +64,7 @@ def master_portfolio(book, limit: int | None = None) -> DataFrame:
         money(F.col("InterestRate") * 100).alias("InterestRate_Pct"),
         "LoanStatus", "StartDate", "EstimatedEndDate",
     )
-    return _limit(out, ["CustomerID", "AccountID", "LoanID"], limit)
+    return _limit(out, ["CustomerID", "AccountID", "LoanID", *out.columns], limit)
 
 
 def loan_transaction_summary(book, limit: int | None = None) -> DataFrame:
@@ -92,7 +93,7 @@ def loan_transaction_summary(book, limit: int | None = None) -> DataFrame:
         F.col("Balance").alias("AccountBalance"), "LoanID", "PrincipalAmount", "LoanStatus",
         "TotalTransactions", "TotalTransactionVolume",
     )
-    return _limit(out, ["CustomerID", "AccountID", "LoanID"], limit)
+    return _limit(out, ["CustomerID", "AccountID", "LoanID", *out.columns], limit)
 
 
 def accounts_without_loans(book, limit: int | None = None) -> DataFrame:
@@ -105,8 +106,8 @@ def accounts_without_loans(book, limit: int | None = None) -> DataFrame:
     a = chain.account_dim(book)
     no_match = a.join(chain.loan_accounts(book), "AccountID", "left_anti").select(*cols)
     id_less = book.loans.filter(F.col("LoanID").isNull()).select("AccountID")
-    out = no_match.unionByName(a.join(id_less, "AccountID").select(*cols))
-    return _limit(out, ["CustomerID", "AccountID"], limit)
+    out = no_match.unionByName(chain.join_accounts(book, id_less, a).select(*cols))
+    return _limit(out, ["CustomerID", "AccountID", *out.columns], limit)
 
 
 # -- stage 4: exposure ---------------------------------------------------------
@@ -200,7 +201,7 @@ def portfolio_slim(book, limit: int | None = None) -> DataFrame:
         "CustomerID", "CustomerName", "CustomerType", "AccountID",
         F.col("Balance").alias("AccountBalance"), "LoanID", "PrincipalAmount", "LoanStatus",
     )
-    return _limit(out, ["CustomerID", "AccountID", "LoanID"], limit)
+    return _limit(out, ["CustomerID", "AccountID", "LoanID", *out.columns], limit)
 
 
 # -- stage 8a: portfolio health view ----------------------------------------------
@@ -229,5 +230,5 @@ def customers_with_loans(book, limit: int | None = None) -> DataFrame:
     out = book.customers_final.join(owners, "CustomerID", "left_semi").select(
         "CustomerID", "FirstName", "LastName"
     ).distinct()
-    return _limit(out, ["CustomerID"], limit)
+    return _limit(out, ["CustomerID", *out.columns], limit)
 

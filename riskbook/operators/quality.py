@@ -119,7 +119,8 @@ def dedupe_transactions(book) -> DataFrame:
     """Q06: first row per TransactionID by TransactionDate, then tie-breakers."""
     tx = book.transactions
     order = ["TransactionDate", *book.tx_tiebreak]
-    order += [c for c in TRANSACTION_COLUMNS if c not in order and c != "TransactionID"]
+    if not book.tx_tiebreak:                    # no unique source row: every column decides
+        order += [c for c in TRANSACTION_COLUMNS if c not in order and c != "TransactionID"]
     return dedupe_first(tx, "TransactionID", order, TRANSACTION_COLUMNS)
 
 
@@ -135,7 +136,7 @@ def loan_risk_bucket(book, limit: int | None = None) -> DataFrame:
         bucketize("InterestRate", RISK_EDGES, RISK_LABELS).alias("RiskCategory"),
     )
     if limit is not None:
-        out = out.orderBy(F.col("LoanID").asc_nulls_first()).limit(limit)
+        out = out.orderBy(*[F.col(c).asc_nulls_first() for c in out.columns]).limit(limit)
     return out
 
 
@@ -150,7 +151,7 @@ def loan_date_anomalies(book, as_of: str | None = None, limit: int | None = None
         "LoanID", "StartDate", "EstimatedEndDate", label.alias("DateCheck")
     )
     if limit is not None:
-        out = out.orderBy(F.col("LoanID").asc_nulls_first()).limit(limit)
+        out = out.orderBy(*[F.col(c).asc_nulls_first() for c in out.columns]).limit(limit)
     return out
 
 

@@ -6,13 +6,15 @@ outer join of the analysis: each loan row weighs max(n, 1), n being the
 transaction rows of its account.  The loan and transaction totals are
 distinct counts.  The fan-out itself is never built:
 
-* per account: transaction rows n and ids k (ids are unique after the
-  de-duplication, and each id belongs to one account);
-* per (customer, loan id): weighted paid-off and overdue sums; grouping by
-  the loan id first spreads a customer holding many loans over all
-  tasks, and the second aggregate combines map-side;
-* per customer: distinct transactions = sum of k over the customer's
-  accounts that carry a counted loan.
+* per account: transaction rows n and ids k, kept by the Book (ids are
+  unique after the de-duplication, and each id belongs to one account);
+* loans are read once and joined to their account once; two grouping sets
+  then give, per (customer, loan id), the weighted paid-off and overdue sums,
+  and per (customer, account), its k once;
+* per customer: sums of both.  Grouping by the loan id first spreads a
+  customer holding many loans over all tasks.
+
+One customer's call first keeps the loans of that customer's accounts.
 """
 
 from __future__ import annotations
@@ -35,44 +37,40 @@ OVERDUE_POINTS = 30
 def credit_health_score(book, customer_id: int | None = None) -> DataFrame:
     """Q51 (``customer_id`` keeps one customer, as the stored call did)."""
     acct = chain.account_dim(book).select("AccountID", "CustomerID")
-    if customer_id is not None:
-        acct = acct.filter(F.col("CustomerID") == customer_id)
+    who = chain.customer_dim(book).select("CustomerID", "CustomerName", "CustomerType")
     tx = chain.tx_per_account(book).select("AccountID", "tx_rows", "tx_ids")
     loans = chain.loans_with_status(book).select(
         "AccountID", "LoanID",
         chain.paid_off_flag().alias("_paid"), chain.overdue_flag().alias("_over"),
     )
+    if customer_id is not None:
+        acct = acct.filter(F.col("CustomerID") == customer_id)
+        who = who.filter(F.col("CustomerID") == customer_id)
+        own = acct.select("AccountID").distinct()
+        loans, tx = loans.join(own, "AccountID", "left_semi"), tx.join(own, "AccountID", "left_semi")
 
-    # Loan side: weight each loan row by its account's transaction rows.
     rows = chain.join_accounts(book, loans, acct.join(tx, "AccountID", "left"))
     weight = F.greatest(F.coalesce(F.col("tx_rows"), F.lit(0)), F.lit(1))
-    per_loan = rows.groupBy("CustomerID", "LoanID").agg(
-        F.sum(F.col("_paid") * weight).alias("_paid"),
-        F.sum(F.col("_over") * weight).alias("_over"),
+    by_loan = (F.grouping_id() == 1)                     # (customer, loan id); else (customer, account)
+    sets = rows.select("CustomerID", "LoanID", "AccountID", "tx_ids", (F.col("_paid") * weight).alias("_paid"),
+                       (F.col("_over") * weight).alias("_over")).groupingSets(
+        [[F.col("CustomerID"), F.col("LoanID")], [F.col("CustomerID"), F.col("AccountID")]],
+        "CustomerID", "LoanID", "AccountID").agg(
+        by_loan.alias("_by_loan"), F.sum("_paid").alias("_paid"), F.sum("_over").alias("_over"),
+        F.max("tx_ids").alias("_k"))
+    per_cust = sets.groupBy("CustomerID").agg(
+        F.count(F.when(F.col("_by_loan"), F.col("LoanID"))).alias("TotalLoans"),
+        F.sum(F.when(F.col("_by_loan"), F.col("_paid"))).alias("PaidOffLoans"),
+        F.sum(F.when(F.col("_by_loan"), F.col("_over"))).alias("OverdueLoans"),
+        F.sum(F.when(~F.col("_by_loan"), F.col("_k"))).alias("_k"),
     )
-    per_cust = per_loan.groupBy("CustomerID").agg(
-        F.count("LoanID").alias("TotalLoans"),
-        F.sum("_paid").alias("PaidOffLoans"),
-        F.sum("_over").alias("OverdueLoans"),
-    )
-
-    # Transaction side: ids of the accounts that carry a counted loan.
-    loan_accts = loans.select("AccountID").distinct()
-    tx_cust = (
-        acct.join(loan_accts, "AccountID", "left_semi")
-        .join(tx, "AccountID")
-        .groupBy("CustomerID")
-        .agg(F.sum("tx_ids").alias("_k"))
-    )
-
-    who = chain.customer_dim(book).select("CustomerID", "CustomerName", "CustomerType")
     k = F.coalesce(F.col("_k"), F.lit(0)).cast("long")
     score = (
         F.col("PaidOffLoans") * PAID_OFF_POINTS
         + k * F.lit(TRANSACTION_POINTS)
         - F.col("OverdueLoans") * OVERDUE_POINTS
     )
-    return per_cust.join(tx_cust, "CustomerID", "left").join(who, "CustomerID").select(
+    return per_cust.join(who, "CustomerID").select(
         "CustomerID", "CustomerName", "CustomerType",
         F.col("TotalLoans").cast("long").alias("TotalLoans"),
         F.col("PaidOffLoans").cast("long").alias("PaidOffLoans"),

@@ -16,9 +16,10 @@ TOP_ACCOUNTS = 20
 
 
 def monthly_volume_trend(tx: DataFrame, date_col: str = "TransactionDate", amount_col: str = "Amount",
-                         id_col: str = "TransactionID") -> DataFrame:
-    """Q38: per month count and volume, previous and next volume, change."""
-    m = tx.groupBy(month_key(date_col).alias("TxMonth")).agg(
+                         id_col: str = "TransactionID", month=None) -> DataFrame:
+    """Q38: per month count and volume, previous and next volume, change
+    (``month``: a column that already holds the month)."""
+    m = tx.groupBy((month_key(date_col) if month is None else month).alias("TxMonth")).agg(
         count_long(id_col).alias("TxCount"),
         money(F.sum(amount_col)).alias("TotalVolume"),
     )
@@ -34,7 +35,7 @@ def monthly_volume_trend(tx: DataFrame, date_col: str = "TransactionDate", amoun
 
 def monthly_transaction_trend(book) -> DataFrame:
     """Q38 over the cleaned transactions."""
-    return monthly_volume_trend(book.transactions_clean)
+    return monthly_volume_trend(book.transactions_by_month, month=F.col("TxMonth"))
 
 
 def running_exposure(book) -> DataFrame:
@@ -53,8 +54,10 @@ def running_exposure(book) -> DataFrame:
 
 
 def top_accounts_by_volume(book, since: str = "2023-01-01", n: int | None = TOP_ACCOUNTS) -> DataFrame:
-    """Q41: transactions since a date, top origin accounts by volume."""
-    t = book.transactions_clean.filter(col("TransactionDate") >= ts_literal(since))
+    """Q41: transactions since a date, top origin accounts by volume.  The
+    month filter prunes the directories of earlier months."""
+    t = book.transactions_by_month.filter(
+        (F.col("TxMonth") >= month_key(ts_literal(since))) & (col("TransactionDate") >= ts_literal(since)))
     out = t.groupBy("AccountOriginID").agg(
         count_long("TransactionID").alias("TxCount"),
         money(F.sum("Amount")).alias("TotalVolume"),

@@ -14,7 +14,7 @@ such values pass through a wide DECIMAL before rounding.
 
 from __future__ import annotations
 
-from .registry import AS_OF, SINCE, WHAT_IF_SHIFTS
+from .registry import AS_OF, ONE_CUSTOMER, SINCE, WHAT_IF_SHIFTS
 from .sources.lookups import values_sql
 
 # -- role mapping in SQL ---------------------------------------------------------
@@ -68,7 +68,7 @@ _ROLES = {
                                 WHEN 'purchase' THEN 4 ELSE 9 END AS INTEGER) AS TransactionTypeID,
            CAST(value AS DECIMAL(18,2)) AS Amount,
            ts AS TransactionDate,
-           CAST(event_id % 53 + 1 AS BIGINT) AS BranchID,
+           CAST(CASE WHEN event_id % 53 >= 50 THEN -1 ELSE event_id % 53 + 1 END AS BIGINT) AS BranchID,
            props AS Description,
            event_id AS SourceRow
     FROM events""",
@@ -76,7 +76,7 @@ _ROLES = {
     SELECT CAST(p_partkey + 1 AS BIGINT) AS BranchID,
            'Branch ' || CAST(p_partkey + 1 AS VARCHAR) AS BranchName,
            CAST(p_size AS BIGINT) AS AddressID
-    FROM part WHERE p_partkey < 50""",
+    FROM part""",
 }
 
 # -- derived tables over the role tables (also used on hand-made fixtures) ------
@@ -252,6 +252,23 @@ WINDOW w AS (ORDER BY TxMonth NULLS FIRST)"""
 
 _BOOK_ROW = "CustomerID, CustomerName, CustomerType, AccountID"
 
+
+def _score(where: str = "") -> str:
+    return f"""
+SELECT CustomerID, CustomerName, CustomerType,
+       count(DISTINCT LoanID) AS TotalLoans,
+       CAST(sum(CASE WHEN LoanStatus = 'Paid Off' THEN 1 ELSE 0 END) AS BIGINT) AS PaidOffLoans,
+       CAST(sum(CASE WHEN LoanStatus = 'Overdue' THEN 1 ELSE 0 END) AS BIGINT) AS OverdueLoans,
+       count(DISTINCT t.TransactionID) AS TotalTransactions,
+       CAST(round(sum(CASE WHEN LoanStatus = 'Paid Off' THEN 1 ELSE 0 END) * 50
+                  + count(DISTINCT t.TransactionID) * 0.1
+                  - sum(CASE WHEN LoanStatus = 'Overdue' THEN 1 ELSE 0 END) * 30, 2) AS DECIMAL(38,2))
+           AS CreditHealthScore
+FROM book b LEFT JOIN transactions_clean t ON t.AccountOriginID = b.AccountID
+{where}
+GROUP BY CustomerID, CustomerName, CustomerType"""
+
+
 ORACLE: dict[str, str] = {
     # stage 1
     "null_audit_customers": _sql(f"""
@@ -439,6 +456,16 @@ ORDER BY TotalVolume DESC NULLS LAST, AccountOriginID NULLS FIRST LIMIT 20"""),
     "portfolio_slim": _sql(f"""
 SELECT {_BOOK_ROW}, Balance AS AccountBalance, LoanID, PrincipalAmount, LoanStatus FROM book"""),
     "write_clustered": _sql("SELECT LoanID, PrincipalAmount, LoanStatusID FROM loans WHERE LoanStatusID = 2"),
+    "clustered_transactions": _sql(f"""
+SELECT strftime(TransactionDate, '%Y-%m') AS TxMonth, AccountOriginID, count(*) AS TxRows,
+       {_m('sum(Amount)')} AS TotalVolume
+FROM transactions_clean GROUP BY ALL"""),
+    "clustered_customers": _sql("""
+SELECT CustomerTypeID, count(*) AS Customers, min(CustomerID) AS FirstCustomerID, max(CustomerID) AS LastCustomerID
+FROM customers_final GROUP BY CustomerTypeID"""),
+    "clustered_accounts": _sql(f"""
+SELECT CustomerID, count(*) AS Accounts, {_m('sum(Balance)')} AS TotalBalance
+FROM accounts GROUP BY CustomerID"""),
     # stage 8a
     "vw_portfolio_health": _sql(_health("TotalLoans")),
     "vw_portfolio_health_overdue": _sql(f"SELECT * FROM ({_health('TotalLoans')}) v WHERE LoanStatus = 'Overdue'"),
@@ -452,18 +479,8 @@ ORDER BY UncollateralizedDebt DESC NULLS LAST, CustomerID NULLS FIRST LIMIT 5"""
 SELECT CustomerType, TotalLoans, OverdueLoans, {_pct('OverdueLoans', 'TotalLoans')} AS DefaultRate_Pct,
        rank() OVER (ORDER BY OverdueLoans * 100.0 / nullif(TotalLoans, 0) DESC NULLS LAST) AS RiskRank
 FROM ({_segments()}) s"""),
-    "credit_health_score": _sql("""
-SELECT CustomerID, CustomerName, CustomerType,
-       count(DISTINCT LoanID) AS TotalLoans,
-       CAST(sum(CASE WHEN LoanStatus = 'Paid Off' THEN 1 ELSE 0 END) AS BIGINT) AS PaidOffLoans,
-       CAST(sum(CASE WHEN LoanStatus = 'Overdue' THEN 1 ELSE 0 END) AS BIGINT) AS OverdueLoans,
-       count(DISTINCT t.TransactionID) AS TotalTransactions,
-       CAST(round(sum(CASE WHEN LoanStatus = 'Paid Off' THEN 1 ELSE 0 END) * 50
-                  + count(DISTINCT t.TransactionID) * 0.1
-                  - sum(CASE WHEN LoanStatus = 'Overdue' THEN 1 ELSE 0 END) * 30, 2) AS DECIMAL(38,2))
-           AS CreditHealthScore
-FROM book b LEFT JOIN transactions_clean t ON t.AccountOriginID = b.AccountID
-GROUP BY CustomerID, CustomerName, CustomerType"""),
+    "credit_health_score": _sql(_score()),
+    "credit_health_score_one": _sql(_score(f"WHERE CustomerID = {ONE_CUSTOMER}")),
     "customers_with_loans": _sql("""
 SELECT DISTINCT c.CustomerID, c.FirstName, c.LastName
 FROM customers_final c

@@ -87,7 +87,7 @@ def build_account_customers(book) -> DataFrame:
     for loans; the hot customer ids are found when a prepared Book is built.
     """
     a = book.accounts.select("AccountID", "CustomerID", "Balance", "AccountTypeID", "AccountStatusID")
-    hot = book.hot.get("accounts.CustomerID")
+    hot = book.hot_keys("accounts.CustomerID")
     return split_join(a, customer_dim(book), "CustomerID", hot).select(*ACCOUNT_DIM_COLUMNS)
 
 
@@ -119,7 +119,7 @@ def join_accounts(book, loans: DataFrame, dim: DataFrame, how: str = "inner", th
     """Loan rows joined to a one-row-per-account dimension; the rows of hot
     accounts (found at load) join a broadcast slice of it.  ``then`` is an
     aggregate grouped by AccountID (among others), applied per part."""
-    return split_join(loans, dim, "AccountID", book.hot.get("loans.AccountID"), how, then)
+    return split_join(loans, dim, "AccountID", book.hot_keys("loans.AccountID"), how, then)
 
 
 def loan_accounts(book) -> DataFrame:
@@ -133,7 +133,7 @@ def loans_per_account(loans: DataFrame, aggs: Sequence[Column]) -> DataFrame:
     return loans.groupBy("AccountID").agg(*aggs)
 
 
-def tx_per_account(book) -> DataFrame:
+def aggregate_tx(book) -> DataFrame:
     """Cleaned transactions per origin account: rows, ids, volume."""
     return (
         book.transactions_clean.groupBy(F.col("AccountOriginID").alias("AccountID"))
@@ -143,3 +143,8 @@ def tx_per_account(book) -> DataFrame:
             F.sum("Amount").alias("tx_volume"),
         )
     )
+
+
+def tx_per_account(book) -> DataFrame:
+    """The same, from the table a prepared Book keeps."""
+    return book.tx_accounts

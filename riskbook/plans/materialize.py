@@ -1,13 +1,14 @@
-"""Write a derived table once and read it back (cuts lineage).
+"""Tables written once and read back (cuts lineage).
 
-Tables go under the shared folder named by ``spark.checkpoint.dir``, so a
-lost executor costs a re-read of written files, not a replay of the whole
-plan.  ``localCheckpoint`` is never used: it dies with the executor.
+A ``Store`` is a catalog database of its own whose folder lies under the
+shared folder named by ``spark.checkpoint.dir``: a lost executor costs a
+re-read of written files, not a replay of the plan, and ``drop`` removes
+tables and files together.  ``localCheckpoint`` is never used.
 
-``write_table`` can also bucket the table on a join key: tables bucketed
-on the same key with the same bucket count join and aggregate on that key
-without a shuffle, which is how the loan book avoids moving loans (its
-largest table) for the account joins.
+Buckets and shuffle partitions have one size: a bucketed table has as many
+buckets as the session has shuffle partitions, so a join or aggregate on the
+bucket key reads the buckets where they are.  Rows are dealt by the key
+before a bucketed write, which gives one file a bucket.
 """
 
 from __future__ import annotations
@@ -17,47 +18,39 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import scratch_path
-
-# Bytes of input per bucket when sizing bucket counts, and the bounds.
-BYTES_PER_BUCKET = 1 << 30
-MAX_BUCKETS = 16384
-
-
-def materialize(spark: SparkSession, df: DataFrame, name: str,
-                partition_by: list[str] | None = None) -> DataFrame:
-    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
-    w = df.write.mode("overwrite")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
-    # Read with the written schema: partition columns keep their type and place.
-    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
-
-
-def bucket_count(spark: SparkSession, input_bytes: int) -> int:
-    """A power of two: about 1 GB of input per bucket, at least one per
-    core of the cluster, at most MAX_BUCKETS."""
-    floor = spark.sparkContext.defaultParallelism
-    need = max(floor, -(-input_bytes // BYTES_PER_BUCKET))
-    n = 1
-    while n < need:
-        n *= 2
-    return min(n, MAX_BUCKETS)
-
-
-def write_table(spark: SparkSession, df: DataFrame, name: str, bucket_by: str | None = None,
-                n_buckets: int = 0, sort_by: Sequence[str] = (), partition_by: Sequence[str] = ()) -> DataFrame:
-    """Write ``df`` as a catalog table stored in the shared folder and
-    return it read back, with its column order kept."""
-    table = f"riskbook_{name}_{uuid.uuid4().hex[:12]}"
-    path = scratch_path(spark, table)
-    w = df.write.mode("overwrite").format("parquet").option("path", path)
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    if bucket_by:
-        w = w.bucketBy(n_buckets, bucket_by)
-        if sort_by:
-            w = w.sortBy(*sort_by)
-    w.saveAsTable(table)
-    return spark.table(table).select(*df.columns)
+from ..session import scratch_path, shuffle_partitions
+
+
+class Store:
+    def __init__(self, spark: SparkSession, name: str | None = None) -> None:
+        """``name``: a lasting database to write to (created if missing);
+        without one a scratch database is made, for ``drop`` to remove."""
+        self.spark = spark
+        self.name = name or f"riskbook_{uuid.uuid4().hex[:12]}"
+        place = "" if name else f" LOCATION '{scratch_path(spark, self.name)}'"
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {self.name}{place}")
+
+    def _save(self, writer, table: str, columns: list[str]) -> DataFrame:
+        full = f"{self.name}.{table}"
+        writer.mode("overwrite").format("parquet").saveAsTable(full)
+        return self.spark.table(full).select(*columns)
+
+    def plain(self, df: DataFrame, table: str) -> DataFrame:
+        return self._save(df.write, table, df.columns)
+
+    def bucketed(self, df: DataFrame, table: str, key: str) -> DataFrame:
+        """One row per ``key`` (a dimension): bucketed and sorted on it."""
+        n = shuffle_partitions(self.spark)
+        return self._save(df.repartition(n, key).write.bucketBy(n, key).sortBy(key), table, df.columns)
+
+    def layout(self, df: DataFrame, table: str, directories: Sequence[str], keys: Sequence[str]) -> DataFrame:
+        """Directories for low-cardinality columns, and files that each hold
+        one range of the composite ``keys``: filters on the first key skip
+        files, and a key that holds a third of the rows spans several ranges
+        through the next one."""
+        spread = df.repartitionByRange(shuffle_partitions(self.spark), *keys)
+        writer = spread.sortWithinPartitions(*directories, *keys).write
+        return self._save(writer.partitionBy(*directories) if directories else writer, table, df.columns)
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP DATABASE IF EXISTS {self.name} CASCADE")

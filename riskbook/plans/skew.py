@@ -4,10 +4,13 @@ A key may hold a large share of a fact table (one account with a third of
 all loans).  Aggregates are safe, since the partial aggregate before the
 shuffle reduces a hot key to one row per task.  Row-level joins are not:
 every row of the key would meet in one task.  ``split_join`` therefore
-joins the rows of hot keys to a broadcast slice of the dimension (one row
-per hot key, so its size is bounded by the checked hot-key count) and
-joins the remaining rows with an ordinary shuffle join.  Both parts are
-exact, so the union is the full join.
+joins the rows of hot keys to a broadcast slice of the dimension and the
+remaining rows with an ordinary shuffle join.  Both parts are exact, so the
+union is the full join.
+
+A key is hot if it holds more rows than an even shuffle partition would.
+There are fewer such keys than partitions whatever the data, which bounds
+the broadcast slice (one row per hot key) without a cap.
 """
 
 from __future__ import annotations
@@ -18,11 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A key holding more rows than this is hot.
-HOT_KEY_ROWS = 1_000_000
-# At most this many hot keys are split off (a larger set means no single
-# key dominates, and the ordinary join with AQE is balanced enough).
-MAX_HOT_KEYS = 100_000
+from ..session import shuffle_partitions
 
 
 @dataclass
@@ -31,13 +30,12 @@ class HotKeys:
     count: int
 
 
-def find_hot_keys(df: DataFrame, key: str, min_rows: int = HOT_KEY_ROWS, write: bool = False) -> HotKeys:
-    """Keys with more than ``min_rows`` rows, by a partial aggregate.
-
-    With ``write`` the key list is written once to the shared folder and
-    read back, so queries that use it do not aggregate the fact again.  The
-    count is taken with a limit: at most MAX_HOT_KEYS + 1 rows are read.
-    """
+def find_hot_keys(df: DataFrame, key: str, min_rows: int | None = None, store=None) -> HotKeys:
+    """Keys with more than ``min_rows`` rows (default: an even share of a
+    shuffle partition), by a partial aggregate.  ``store`` writes the list
+    once, so queries that use it do not aggregate the fact again."""
+    if min_rows is None:
+        min_rows = max(1, df.count() // shuffle_partitions(df.sparkSession))
     keys = (
         df.filter(F.col(key).isNotNull())
         .groupBy(key)
@@ -45,26 +43,24 @@ def find_hot_keys(df: DataFrame, key: str, min_rows: int = HOT_KEY_ROWS, write:
         .filter(F.col("_rows") > min_rows)
         .select(key)
     )
-    if write:
-        from .materialize import materialize
-
-        keys = materialize(df.sparkSession, keys, f"hot_{key}")
-    return HotKeys(keys, keys.limit(MAX_HOT_KEYS + 1).count())
+    if store is not None:
+        keys = store.plain(keys, f"hot_{key}_{abs(hash(tuple(df.columns))) % 10**8}")
+    return HotKeys(keys, keys.count())
 
 
 def split_join(fact: DataFrame, dim: DataFrame, key: str, hot: HotKeys | None, how: str = "inner",
                then: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``then(fact.join(dim, key, how))`` with hot keys joined by broadcast.
 
-    ``dim`` must hold one row per key (a dimension).  ``how`` is "inner" or
-    "left" (rows of the fact are kept).  ``then`` (default: nothing) is
-    applied to each part before the union; it must keep rows of different
-    keys apart, as an aggregate grouped by ``key`` (among others) does.  The
-    shuffle join leaves its part partitioned by ``key``, so such an
-    aggregate needs no second shuffle.
+    ``dim`` must hold one row per key (for a semi or anti join, repeats only
+    widen the slice).  ``how`` is "inner", "left", "left_semi" or "left_anti".
+    ``then`` (default: nothing) is applied to each part before the union; it
+    must keep rows of different keys apart, as an aggregate grouped by ``key``
+    (among others) does.  The shuffle join leaves its part partitioned by
+    ``key``, so such an aggregate needs no second shuffle.
     """
     step = then or (lambda df: df)
-    if hot is None or hot.count == 0 or hot.count > MAX_HOT_KEYS:
+    if hot is None or hot.count == 0:
         return step(fact.join(dim, key, how))
     hk = F.broadcast(hot.keys)
     hot_fact = fact.join(hk, key, "left_semi")

@@ -9,8 +9,6 @@ transactions) are set here, next to the query that uses them.
 
 from __future__ import annotations
 
-import os
-import warnings
 from collections.abc import Callable
 from decimal import Decimal
 
@@ -23,6 +21,7 @@ from .sources.book import Book
 # Query parameters for the generated data.
 AS_OF = "2001-06-01"          # date anomalies: "today"
 SINCE = "2024-01-15"          # top accounts: transactions since
+ONE_CUSTOMER = 7              # the one-customer score call
 WHAT_IF_SHIFTS = {            # the four published what-if calls
     "what_if_plus1": Decimal("0.01"),
     "what_if_minus1": Decimal("-0.01"),
@@ -33,39 +32,21 @@ WHAT_IF_SHIFTS = {            # the four published what-if calls
 _BOOKS: dict[tuple, Book] = {}
 
 
-def _input_bytes(sf_dir: str) -> int:
-    """Bytes of the generated tables the role mapping reads."""
-    total = 0
-    for name in ("customer", "orders", "lineitem", "events", "part"):
-        p = os.path.join(sf_dir, f"{name}.parquet")
-        if os.path.isdir(p):
-            total += sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(p) for f in fs)
-        elif os.path.exists(p):
-            total += os.path.getsize(p)
-    return total
-
-
 def book_for(spark: SparkSession, sf_dir: str) -> Book:
-    """One prepared Book per session and input folder: the role tables and
-    the derived snapshots are written once with their layout and reused by
-    every query.
-
-    If the load step cannot write (no writable shared folder, a read-only
-    catalog), the queries run as plans over the input tables instead: the
-    same results without the layout, and a warning says so.
-    """
+    """One prepared Book per session and input folder: a table with a layout
+    and a derived snapshot are written once, when first asked for, and read
+    by every query.  A failure to write is raised."""
     key = (spark.sparkContext.applicationId, id(spark), sf_dir.rstrip("/"))
     if key not in _BOOKS:
-        try:
-            book = Book.from_driver(spark, sf_dir).prepared(_input_bytes(sf_dir))
-        except Exception as exc:  # noqa: BLE001 - any failure of the load step
-            warnings.warn(f"riskbook: load step failed ({type(exc).__name__}: {exc}); "
-                          "reading the input tables directly", RuntimeWarning, stacklevel=2)
-            book = Book.from_driver(spark, sf_dir)
-        _BOOKS[key] = book
+        _BOOKS[key] = Book.from_driver(spark, sf_dir).prepared()
     return _BOOKS[key]
 
 
+def input_paths(sf_dir: str) -> list[str]:
+    """The generated tables that the role mapping reads."""
+    return [f"{sf_dir.rstrip('/')}/{name}.parquet" for name in ("customer", "orders", "lineitem", "events", "part")]
+
+
 def _q(fn: Callable[[Book], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return fn(book_for(spark, sf_dir))
@@ -134,6 +115,9 @@ BOOK_QUERIES: dict[str, Callable[[Book], DataFrame]] = {
     "top_accounts_by_volume": lambda b: trend.top_accounts_by_volume(b, SINCE),
     "portfolio_slim": portfolio.portfolio_slim,
     "write_clustered": layout.loans_by_status_clustered,
+    "clustered_transactions": layout.transactions_clustered,
+    "clustered_customers": layout.customers_clustered,
+    "clustered_accounts": layout.accounts_clustered,
     # stage 8a: views and scoring
     "vw_portfolio_health": portfolio.vw_portfolio_health,
     "vw_portfolio_health_overdue": portfolio.vw_portfolio_health_overdue,
@@ -143,6 +127,7 @@ BOOK_QUERIES: dict[str, Callable[[Book], DataFrame]] = {
     "vw_red_flag_top5": solvency.vw_red_flag_top5,
     "vw_segment_rankings": ranking.vw_segment_rankings,
     "credit_health_score": scoring.credit_health_score,
+    "credit_health_score_one": lambda b: scoring.credit_health_score(b, ONE_CUSTOMER),
     "customers_with_loans": portfolio.customers_with_loans,
     # stage 8b: rate scenarios
     "baseline_yield": scenario.baseline_yield,

@@ -29,18 +29,29 @@ def build_session(master: str = "local[8]", app: str = "riskbook", shuffle_parti
     return spark
 
 
-# Shuffle sizing: bytes of input per initial shuffle partition, and a cap
-# (AQE coalesces small partitions at runtime and splits skewed joins).
+# Bytes of input per shuffle partition (and bucket): AQE coalesces small
+# partitions at runtime and splits skewed joins.
 _INPUT_PER_PARTITION = 256 * 1024 * 1024
-_MAX_SHUFFLE_PARTITIONS = 65536
+
+
+def input_bytes(spark: SparkSession, paths: list[str]) -> int:
+    """Bytes of all files under ``paths``, from their listing (any store that
+    Spark reads; the contents are not read)."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
+    return files.selectExpr("sum(length) AS n").first()["n"] or 0
+
+
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def sized_conf(input_bytes: int, cores: int) -> dict[str, str]:
-    """Settings sized from the input: about one initial shuffle partition
-    per 256 MB of input (at least one per core, at most 65,536), AQE on with
-    128 MB target partitions so coalesced partitions fit executor memory,
-    skew-join splitting on, and 256 MB scan splits."""
-    parts = min(_MAX_SHUFFLE_PARTITIONS, max(cores, -(-input_bytes // _INPUT_PER_PARTITION)))
+    """Settings sized from the input: one initial shuffle partition per
+    256 MB of input (at least one per core), AQE on with 128 MB target
+    partitions so coalesced partitions fit executor memory, skew-join
+    splitting on, and 256 MB scan splits.  Bucket counts follow the shuffle
+    partitions (``plans.materialize``)."""
+    parts = max(cores, -(-input_bytes // _INPUT_PER_PARTITION))
     return {
         "spark.sql.shuffle.partitions": str(parts),
         "spark.sql.adaptive.enabled": "true",

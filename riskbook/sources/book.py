@@ -1,27 +1,40 @@
 """The loan book: one bundle of role tables that every operator reads.
 
 Facts (loans, transactions) may hold repeated rows; parents (customers,
-accounts, branches and the code tables) are keyed by their id.  Derived
-snapshot tables (the de-duplicated transactions, the cleaned customers and
-the account-customer dimension) are built once per Book.
-
-``prepared()`` is the load step used by the registered queries: it writes
-the role tables and snapshots to the shared checkpoint folder with their
-layout and finds hot keys.  A Book built directly (tests, small inputs)
-keeps every table as a plan; ``materialize=True`` writes just the
-snapshots.
+accounts, branches and the code tables) are keyed by their id
+(``repeated_parent_keys`` lists violations).  Derived snapshot tables (the
+de-duplicated transactions, the cleaned customers, the account-customer
+dimension, the transactions per account) are built once per Book.
+
+``prepared()`` gives the Book a store: a table with a layout or a snapshot is
+written there the first time a report asks for it, so only what the chosen
+reports read is written, and input tables that need no layout are read in
+place.  ``close()`` drops the store.  A Book built directly (tests, small
+inputs) keeps every table as a plan.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import month_key
 from ..plans.joins import bounded_broadcast
+from ..plans.materialize import Store
+from ..plans.skew import HotKeys, find_hot_keys
 from . import lookups, readers, roles, schemas
 
+REQUIRED = ("customers", "accounts", "loans", "transactions", "branches")
+# Layouts re-aimed from the published index definitions: directories, and the
+# composite range that files and rows are sorted by.
+LAYOUTS = {
+    "loans": (["LoanStatusID"], ["AccountID", "LoanID"]),
+    "transactions_clean": (["TxMonth"], ["AccountOriginID", "TransactionID"]),
+    "customers_final": (["CustomerTypeID"], ["CustomerID"]),
+    "accounts": ([], ["CustomerID", "AccountID"]),
+}
 CODE_TABLES = ("customer_types", "account_types", "account_statuses", "loan_statuses", "transaction_types")
 
 
@@ -34,7 +47,7 @@ class Book:
     spark: SparkSession
     customers: DataFrame
     accounts: DataFrame
-    loans: DataFrame
+    raw_loans: DataFrame
     transactions: DataFrame
     branches: DataFrame
     codes: dict[str, DataFrame]
@@ -42,47 +55,45 @@ class Book:
     fixed_codes: bool = True
     # Tie-break columns after TransactionDate for keep-first de-duplication.
     tx_tiebreak: tuple[str, ...] = ("SourceRow",)
-    materialize: bool = False
-    # Bucket count of a prepared Book (0: tables are read as given).
-    _buckets: int = 0
-    # Hot keys found at load, by "table.column" (see plans.skew).
+    # Where a prepared Book writes its tables (None: they stay plans).
+    store: Store | None = field(default=None, repr=False)
+    # Hot keys, by "table.column" (see plans.skew).
     hot: dict = field(default_factory=dict)
-    hot_key_rows: int = 1_000_000
+    hot_key_rows: int | None = None
     _cache: dict = field(default_factory=dict, repr=False)
 
     # -- constructors -------------------------------------------------------
     @classmethod
-    def from_driver(cls, spark: SparkSession, sf_dir: str, materialize: bool = False) -> "Book":
+    def from_driver(cls, spark: SparkSession, sf_dir: str) -> "Book":
         t = roles.read_driver_tables(spark, sf_dir)
         codes = {n: lookups.lookup(spark, n) for n in CODE_TABLES}
         return cls(spark, t["customers"], t["accounts"], t["loans"], t["transactions"],
-                   t["branches"], codes, materialize=materialize)
+                   t["branches"], codes)
 
     @classmethod
     def from_csv(cls, spark: SparkSession, data_dir: str, customers: DataFrame | None = None,
-                 accounts: DataFrame | None = None, materialize: bool = False) -> "Book":
-        """The published CSV tables; customers and accounts are not shipped
-        with them, so they are passed in (empty tables otherwise)."""
+                 accounts: DataFrame | None = None) -> "Book":
+        """The published CSV tables (all must be there); customers and
+        accounts are not shipped with them, so they are passed in (empty
+        tables otherwise)."""
         t = readers.read_csv_dir(spark, data_dir)
-        codes = {n: t.get(n, lookups.lookup(spark, n)) for n in CODE_TABLES}
         return cls(
             spark,
             customers if customers is not None else _empty(spark, "customers"),
             accounts if accounts is not None else _empty(spark, "accounts"),
-            t.get("loans", _empty(spark, "loans")),
-            t.get("transactions", _empty(spark, "transactions")),
-            t.get("branches", _empty(spark, "branches")),
-            codes,
-            fixed_codes=False,
-            tx_tiebreak=(),
-            materialize=materialize,
+            t["loans"], t["transactions"], t["branches"], {n: t[n] for n in CODE_TABLES},
+            fixed_codes=False, tx_tiebreak=(),
         )
 
     @classmethod
     def from_paths(cls, spark: SparkSession, paths: dict[str, str]) -> "Book":
         """Role tables from files (``.csv`` with a header, else parquet), by
-        role name: customers, accounts, loans, transactions, branches and the
-        code tables.  Every table is read with its fixed schema."""
+        role name: customers, accounts, loans, transactions, branches (all
+        required) and the code tables.  Every table is read with its fixed
+        schema."""
+        missing = [n for n in REQUIRED if n not in paths]
+        if missing:
+            raise ValueError(f"tables missing: {', '.join(missing)}")
         frames = {name: readers.read_table(spark, name, path) for name, path in paths.items()}
         return cls.from_frames(spark, **frames)
 
@@ -106,120 +117,143 @@ class Book:
         )
 
     # -- load ---------------------------------------------------------------
-    def prepared(self, input_bytes: int = 0) -> "Book":
-        """Write the role tables once and return a Book that reads them (the
-        load step: tables plus their layout, in the shared folder).
-
-        Fact tables (loans, transactions) are written as evenly sized files,
-        never bucketed on a key: a key holding a third of the rows would make
-        its bucket one task for every read.  Loans are partitioned by status
-        and sorted by account within files (a status filter prunes
-        directories; account ranges skip row groups).  Dimensions with a
-        unique key (the account-customer dimension, the cleaned customers)
-        are bucketed on it, so loan aggregates join them without moving the
-        dimension.  Hot keys are found once here: customers holding many
-        accounts (used while building the account dimension) and accounts
-        holding many loans (used by row-level loan joins).
-        """
-        from ..plans.materialize import bucket_count, write_table
-        from ..plans.skew import find_hot_keys
-
-        n = bucket_count(self.spark, input_bytes)
-
-        def even(df):
-            return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
-
-        loans = write_table(self.spark, even(self.loans).sortWithinPartitions("LoanStatusID", "AccountID"),
-                            "loans", partition_by=["LoanStatusID"])
-        accounts = write_table(self.spark, even(self.accounts), "accounts")
-        tx = write_table(self.spark, even(self.transactions), "transactions")
-        customers = write_table(self.spark, even(self.customers), "customers")
-        branches = write_table(self.spark, self.branches, "branches")
-        book = Book(self.spark, customers, accounts, loans, tx, branches, self.codes,
-                    fixed_codes=self.fixed_codes, tx_tiebreak=self.tx_tiebreak,
-                    hot_key_rows=self.hot_key_rows)
-        book._buckets = n
-        book.hot["accounts.CustomerID"] = find_hot_keys(accounts, "CustomerID", self.hot_key_rows, write=True)
-        book.transactions_clean  # noqa: B018 - write the snapshots now
-        book.customers_final  # noqa: B018
-        book.account_customers  # noqa: B018
-        book.hot["loans.AccountID"] = find_hot_keys(book.loans, "AccountID", self.hot_key_rows, write=True)
-        return book
+    def prepared(self, database: str | None = None) -> "Book":
+        """This Book with a store for its written tables (``database``: a
+        lasting one, whose tables keep their names)."""
+        return replace(self, store=Store(self.spark, database), hot={}, _cache={})
+
+    def load(self) -> "Book":
+        """Write every table now (each is otherwise written at first use)."""
+        self.loans, self.transactions_by_month, self.customers_final  # noqa: B018
+        self.account_customers, self.tx_accounts  # noqa: B018
+        for name in ("accounts.CustomerID", "loans.AccountID", "transactions.AccountOriginID"):
+            self.hot_keys(name)
+        self.branch_dim()
+        return self
 
-    def find_hot_keys(self) -> "Book":
-        """Find hot keys on this Book as it stands (before any snapshot of
-        the account dimension is built)."""
-        from ..plans.skew import find_hot_keys
+    def close(self) -> None:
+        """Drop the written tables."""
+        if self.store is not None:
+            self.store.drop()
+            self._cache.clear()
+            self.hot.clear()
+
+    def hot_keys(self, name: str) -> HotKeys | None:
+        """Hot keys of "accounts.CustomerID", "loans.AccountID" or
+        "transactions.AccountOriginID" / ".BranchID": found once by a prepared
+        Book, None otherwise (AQE splits skewed joins then)."""
+        if name not in self.hot and self.store is not None:
+            table, key = name.split(".")
+            df = self.transactions_clean if table == "transactions" else getattr(self, table)
+            self.hot[name] = find_hot_keys(df.select(key), key, self.hot_key_rows, self.store)
+        return self.hot.get(name)
 
+    def find_hot_keys(self) -> "Book":
+        """Find hot keys on this Book as it stands."""
         self.hot["accounts.CustomerID"] = find_hot_keys(self.accounts, "CustomerID", self.hot_key_rows)
         self.hot["loans.AccountID"] = find_hot_keys(self.loans, "AccountID", self.hot_key_rows)
+        self.hot["transactions.AccountOriginID"] = find_hot_keys(self.transactions_clean, "AccountOriginID",
+                                                                 self.hot_key_rows)
         return self
 
+    def repeated_parent_keys(self) -> DataFrame:
+        """Parent tables with a key that repeats (``parent``, ``keys``): the
+        broadcast slices and the pre-aggregated reports expect none."""
+        parents = [("customers", self.customers, "CustomerID"), ("accounts", self.accounts, "AccountID"),
+                   ("branches", self.branches, "BranchID")]
+        out = None
+        for name, df, key in parents:
+            part = (df.filter(F.col(key).isNotNull()).groupBy(key).count().filter("count > 1")
+                    .agg(F.count("*").alias("keys")).filter("keys > 0")
+                    .select(F.lit(name).alias("parent"), "keys"))
+            out = part if out is None else out.unionByName(part)
+        return out
+
     # -- dimensions ---------------------------------------------------------
     def fixed_code_pairs(self, name: str) -> list[tuple[int, str]] | None:
         """The (id, name) list of a code table when it is the fixed list
         (so ids are unique and the size is known); None when read from data."""
         return list(lookups.FIXED[name]) if self.fixed_codes else None
 
-    def code(self, name: str) -> DataFrame:
-        """A code table, broadcast when its size is known or checked."""
-        key = ("code", name)
+    def _small(self, name: str, df: DataFrame) -> DataFrame:
+        """``df``, broadcast if a prepared Book found it small at load."""
+        if self.store is None:
+            return df
+        key = ("small", name)
         if key not in self._cache:
-            df = self.codes[name]
-            if self.fixed_codes:
-                df = F.broadcast(df)
-            else:
-                df, _ = bounded_broadcast(df)
-            self._cache[key] = df
+            self._cache[key], _ = bounded_broadcast(df)
         return self._cache[key]
 
+    def code(self, name: str) -> DataFrame:
+        """A code table, broadcast when its size is known or checked."""
+        return F.broadcast(self.codes[name]) if self.fixed_codes else self._small(name, self.codes[name])
+
     def branch_dim(self) -> DataFrame:
-        key = ("branches",)
-        if key not in self._cache:
-            self._cache[key], _ = bounded_broadcast(self.branches)
-        return self._cache[key]
+        return self._small("branches", self.branches)
 
     # -- derived snapshots --------------------------------------------------
-    def _snapshot(self, name: str, build, bucket_by: str | None = None) -> DataFrame:
-        """A derived table, built once.  A prepared Book writes it (bucketed
-        when it has a unique key); ``materialize`` writes it plainly;
-        otherwise it stays a plan."""
+    def _snapshot(self, name: str, build, write) -> DataFrame:
+        """A derived table, built once; a prepared Book writes it."""
         if name not in self._cache:
             df = build()
-            if self._buckets:
-                from ..plans.materialize import write_table
-
-                if bucket_by:
-                    df = write_table(self.spark, df, name, bucket_by, self._buckets, [bucket_by])
-                else:
-                    df = write_table(self.spark, df, name)
-            elif self.materialize:
-                from ..plans.materialize import materialize
-
-                df = materialize(self.spark, df, name)
-            self._cache[name] = df
+            self._cache[name] = df if self.store is None else write(df)
         return self._cache[name]
 
+    def _layout(self, name: str, df: DataFrame, table: str | None = None) -> DataFrame:
+        return self.store.layout(df, table or name, *LAYOUTS[name])
+
+    def clustered(self, name: str) -> DataFrame:
+        """A table of ``LAYOUTS`` in its layout (as given without a store)."""
+        if name == "loans":
+            return self.loans
+        if name == "transactions_clean":
+            return self.transactions_by_month
+        df = getattr(self, name)
+        return self._snapshot(f"{name}_clustered", lambda: df, lambda d: self._layout(name, d, f"{name}_clustered"))
+
     @property
-    def transactions_clean(self) -> DataFrame:
+    def loans(self) -> DataFrame:
+        """Loans; in a prepared Book a directory per status, and files that
+        hold ranges of (account, loan)."""
+        return self._snapshot("loans", lambda: self.raw_loans, lambda d: self._layout("loans", d))
+
+    @property
+    def transactions_by_month(self) -> DataFrame:
+        """The de-duplicated transactions with their month (``TxMonth``); in
+        a prepared Book a directory per month."""
         from ..operators.quality import dedupe_transactions
 
-        return self._snapshot("transactions_clean", lambda: dedupe_transactions(self))
+        return self._snapshot(
+            "transactions_clean",
+            lambda: dedupe_transactions(self).withColumn("TxMonth", month_key("TransactionDate")),
+            lambda d: self._layout("transactions_clean", d))
+
+    @property
+    def transactions_clean(self) -> DataFrame:
+        return self.transactions_by_month.drop("TxMonth")
+
+    @property
+    def tx_accounts(self) -> DataFrame:
+        """Cleaned transactions per origin account: rows, ids, volume (one
+        row per account, bucketed like the account dimension)."""
+        from ..plans.chain import aggregate_tx
+
+        return self._snapshot("tx_accounts", lambda: aggregate_tx(self),
+                              lambda d: self.store.bucketed(d, "tx_accounts", "AccountID"))
 
     @property
     def customers_final(self) -> DataFrame:
         from ..operators.quality import clean_customers
 
-        return self._snapshot("customers_final", lambda: clean_customers(self), "CustomerID")
+        return self._snapshot("customers_final", lambda: clean_customers(self),
+                              lambda d: self.store.bucketed(d, "customers_final", "CustomerID"))
 
     @property
     def account_customers(self) -> DataFrame:
         """Accounts joined to their (cleaned, typed) customer: the account
-        dimension every loan-book report joins on AccountID.  A prepared
-        Book writes it once, bucketed like loans, so those joins are
-        co-located; otherwise it is a plan."""
+        dimension every loan-book report joins on AccountID.  A prepared Book
+        writes it once, bucketed on AccountID, so the joins do not move it."""
         from ..plans.chain import build_account_customers
 
-        if not self._buckets:
-            return build_account_customers(self)
-        return self._snapshot("account_customers", lambda: build_account_customers(self), "AccountID")
+        return self._snapshot("account_customers", lambda: build_account_customers(self),
+                              lambda d: self.store.bucketed(d, "account_customers", "AccountID"))

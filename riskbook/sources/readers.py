@@ -6,8 +6,6 @@ into DOUBLE, and an empty file would read as a schema-less frame.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,10 +49,5 @@ def read_table(spark: SparkSession, name: str, path: str) -> DataFrame:
 
 
 def read_csv_dir(spark: SparkSession, data_dir: str) -> dict[str, DataFrame]:
-    """Every published CSV table found in ``data_dir``."""
-    out = {}
-    for name in CSV_TABLES:
-        p = os.path.join(data_dir, f"{name}.csv")
-        if os.path.exists(p):
-            out[name] = read_csv_table(spark, name, p)
-    return out
+    """The published CSV tables under ``data_dir``; a missing one is an error."""
+    return {name: read_csv_table(spark, name, f"{data_dir.rstrip('/')}/{name}.csv") for name in CSV_TABLES}

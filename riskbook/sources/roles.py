@@ -9,7 +9,7 @@ every input row is kept, so the work of every query grows with the data.
     accounts      <- orders     (one row per o_orderkey)
     loans         <- lineitem   (one row per line)
     transactions  <- events     (one row per event)
-    branches      <- part       (the 50-branch dimension: parts 0..49)
+    branches      <- part       (one row per part)
 
 The SQL form of the same mapping lives in ``riskbook.oracle``; both were
 run side by side and give equal rows.
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from . import schemas
 
-# Number of branches in the branch dimension (the published branch table
-# has 50 rows); transactions point at branches 1..53, so 51-53 are orphans.
+# Transactions point at the first 50 branches (the published branch table
+# has 50 rows); three of every 53 point at branch -1, which does not exist.
 N_BRANCHES = 50
 BRANCH_MODULUS = 53
 
@@ -124,7 +124,7 @@ def transactions(events: DataFrame) -> DataFrame:
         ttype.alias("TransactionTypeID"),
         F.col("value").cast(schemas.MONEY).alias("Amount"),
         F.col("ts").alias("TransactionDate"),
-        (eid % BRANCH_MODULUS + 1).alias("BranchID"),
+        F.when(eid % BRANCH_MODULUS >= N_BRANCHES, F.lit(-1)).otherwise(eid % BRANCH_MODULUS + 1).alias("BranchID"),
         F.col("props").alias("Description"),
         eid.alias("SourceRow"),
     )
@@ -133,7 +133,7 @@ def transactions(events: DataFrame) -> DataFrame:
 
 def branches(part: DataFrame) -> DataFrame:
     bid = F.col("p_partkey") + 1
-    out = part.filter(F.col("p_partkey") < N_BRANCHES).select(
+    out = part.select(
         bid.alias("BranchID"),
         F.concat(F.lit("Branch "), bid.cast("string")).alias("BranchName"),
         F.col("p_size").alias("AddressID"),

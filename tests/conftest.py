@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -13,6 +14,9 @@ from riskbook.session import build_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    s = build_session(master="local[*]", app="riskbook-tests", shuffle_partitions=8)
+    scratch = tempfile.mkdtemp(prefix="riskbook-tests-")
+    s = build_session(master="local[*]", app="riskbook-tests", shuffle_partitions=8,
+                      extra={"spark.checkpoint.dir": f"{scratch}/shared",
+                             "spark.sql.warehouse.dir": f"{scratch}/warehouse"})
     yield s
     s.stop()

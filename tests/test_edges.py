@@ -177,22 +177,63 @@ def test_layouts_written_and_pruned(spark):
         "accounts": [(10, 1, 1, 1, D("5")), (20, 2, 1, 1, D("6"))],
         "loans": [loan(1, 10, 2), loan(2, 20, 1), loan(3, 20, 2)],
         "transactions": [tx(1, 10), tx(2, 20, row=1)],
-    })
+    }).prepared()
     out = layout.write_layouts(b)
     assert {k: v.count() for k, v in out.items()} == {"loans": 3, "transactions_clean": 2,
                                                       "customers_final": 2, "accounts": 2}
     q = layout.loans_by_status_clustered(b, 2)
     assert sorted(r["LoanID"] for r in q.collect()) == [1, 3]
     assert "PartitionFilters: [isnotnull(LoanStatusID" in physical_plan(q)
+    store = b.store
+    b.close()
+    assert not spark.catalog.databaseExists(store.name)
+
+
+def test_layout_files_hold_ranges_even_of_a_hot_key(spark):
+    """A third of the loans sit on one account: its rows span several files,
+    and no file spans the whole key range."""
+    rows = [loan(i, 7 if i % 3 == 0 else 100 + i) for i in range(900)]
+    b = role_book(spark, {"loans": rows}).prepared()
+    files = {}
+    for r in b.loans.selectExpr("input_file_name() AS f", "AccountID").collect():
+        files.setdefault(r["f"], []).append(r["AccountID"])
+    b.close()
+    assert sum(7 in keys for keys in files.values()) > 1
+    assert sum(max(keys) > 500 for keys in files.values()) < len(files)
 
 
-def test_sized_conf_bounds():
-    from riskbook.session import sized_conf
+def test_sized_conf_and_input_bytes(spark, tmp_path):
+    from riskbook.session import input_bytes, sized_conf
 
     assert sized_conf(10 * 2**20, 8)["spark.sql.shuffle.partitions"] == "8"          # small: one per core
     assert sized_conf(1 << 40, 8)["spark.sql.shuffle.partitions"] == "4096"           # 1 TB / 256 MB
-    assert sized_conf(100 << 40, 8000)["spark.sql.shuffle.partitions"] == "65536"     # 100 TB: capped
+    assert sized_conf(100 << 40, 8000)["spark.sql.shuffle.partitions"] == "409600"    # 100 TB
     assert sized_conf(0, 8)["spark.sql.adaptive.enabled"] == "true"
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.bin").write_bytes(b"1" * 1000)
+    assert input_bytes(spark, [f"file://{tmp_path}/a"]) == 1000
+
+
+def test_limits_are_total_orders(spark):
+    """Rows that share every id still come in one order."""
+    rows = [loan(1, 10, 1, f"{p}.00") for p in (5, 3, 9, 1, 7)]
+    b = role_book(spark, {"customers": [cust(1)], "accounts": [(10, 1, 1, 1, D("5"))], "loans": rows})
+    for name in (portfolio.customer_loans, portfolio.master_portfolio, portfolio.portfolio_slim,
+                 portfolio.loan_transaction_summary, quality.loan_risk_bucket):
+        assert [r["PrincipalAmount"] for r in name(b, limit=3).collect()] == [D("1.00"), D("3.00"), D("5.00")]
+
+
+def test_repeated_parent_keys_are_listed(spark):
+    b = role_book(spark, {"customers": [cust(1), cust(1), cust(2)], "accounts": [(10, 1, 1, 1, D("5"))]})
+    assert [tuple(r) for r in b.repeated_parent_keys().collect()] == [("customers", 1)]
+
+
+def test_broadcast_only_within_the_byte_bound(spark):
+    from riskbook.plans.joins import bounded_broadcast, memory_bytes
+
+    wide = spark.createDataFrame([(i, "x" * 1000) for i in range(50)], "k long, v string")
+    assert memory_bytes(wide) > 50_000
+    assert bounded_broadcast(wide, 10_000)[1] is False and bounded_broadcast(wide, 1 << 20)[1] is True
 
 
 def test_clean_book_keeps_zero_count_rows(spark):

@@ -12,8 +12,7 @@ from riskbook.registry import BOOK_QUERIES
 
 from .fixtures import duck_over, random_tables, role_book
 
-# write_clustered writes files; it is covered in test_layout.
-NAMES = sorted(n for n in BOOK_QUERIES if n != "write_clustered")
+NAMES = sorted(BOOK_QUERIES)
 
 
 @pytest.fixture(scope="module", params=[(7, None, False), (2024, 20, False), (99, 20, True)],
@@ -30,8 +29,8 @@ def case(spark, request):
     if hot_rows is not None:
         book.hot_key_rows = hot_rows
         book = book.prepared() if prepare else book.find_hot_keys()
-        assert book.hot["loans.AccountID"].count >= 1
-        assert book.hot["accounts.CustomerID"].count >= 1
+        assert book.hot_keys("loans.AccountID").count >= 1
+        assert book.hot_keys("accounts.CustomerID").count >= 1
     return tables, book
 
 

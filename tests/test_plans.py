@@ -35,7 +35,7 @@ def test_status_codes_filter_the_scan_and_prune(book):
     # the fixed status list is a CASE plus an IN filter on the partition column: no join
     assert "Join" not in p
     assert re.search(r"PartitionFilters: \[[^\]]*LoanStatusID#\d+ IN \(1,2,3\)", p)
-    scan = [ln for ln in p.splitlines() if "riskbook_loans" in ln][0]
+    scan = [ln for ln in p.splitlines() if "loans" in ln and "Scan" in ln][0]
     assert "StartDate" not in scan and "InterestRate" not in scan   # only needed columns are read
     # the aggregate is split: partial before the exchange, final after
     assert "partial_sum(PrincipalAmount" in p
@@ -70,7 +70,7 @@ def test_hot_accounts_join_by_broadcast(spark, book):
 
     hot = find_hot_keys(book.loans, "AccountID", min_rows=5)
     assert hot.count > 0
-    saved = book.hot.get("loans.AccountID")
+    saved = book.hot_keys("loans.AccountID")
     book.hot["loans.AccountID"] = hot
     try:
         p = plan(book, "customer_loans")
@@ -114,3 +114,84 @@ def test_loan_rows_shuffle_once_in_q23(spark):
     # loans are shuffled once (by account for the join); the report's
     # grouping reuses that partitioning
     assert _exchanges_above(p, "lineitem") == 1
+
+
+def test_a_hot_key_among_very_many_is_split(spark, book):
+    """However many keys there are, one over an even share is split off."""
+    from riskbook.plans.skew import find_hot_keys, split_join
+
+    fact = spark.range(300_000).selectExpr("IF(id % 3 = 0, -5, id) AS k")
+    hot = find_hot_keys(fact, "k")
+    assert [r["k"] for r in hot.keys.collect()] == [-5]
+    dim = spark.range(300_000).selectExpr("id AS k")
+    assert "Union" in physical_plan(split_join(fact, dim, "k", hot))
+
+
+def test_orphan_lists_take_null_and_hot_keys_apart(spark):
+    """A forced hot key and a third of NULL keys: the shuffle gets neither."""
+    from riskbook.operators.integrity import orphans
+    from riskbook.plans.skew import find_hot_keys
+
+    child = spark.range(9000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN NULL WHEN id % 3 = 1 THEN -1 ELSE id END AS k")
+    parent = spark.range(9000).selectExpr("id AS pk").filter("pk > 100")
+    hot = find_hot_keys(child, "k")
+    assert [r["k"] for r in hot.keys.collect()] == [-1]
+    df = orphans(child, "k", parent, "pk", ["id", "k"], hot)
+    p = physical_plan(df)
+    assert "Union" in p and "BroadcastHashJoin" in p
+    cold = next(ln for ln in p.splitlines() if "LeftAnti" in ln and "SortMergeJoin" in ln or "LeftAnti" in ln)
+    assert "isnull" not in cold.lower()
+    want = {r["id"] for r in child.collect() if r["k"] is None or r["k"] == -1 or not 100 < r["k"]}
+    assert {r["id"] for r in df.collect()} == want
+
+
+def test_orphan_queries_split_hot_keys(spark, book):
+    from riskbook.plans.skew import find_hot_keys
+
+    saved = dict(book.hot)
+    try:
+        book.hot["loans.AccountID"] = find_hot_keys(book.loans, "AccountID", min_rows=5)
+        assert "Union" in plan(book, "orphan_loans") and "BroadcastHashJoin" in plan(book, "orphan_loans")
+    finally:
+        book.hot.clear()
+        book.hot.update(saved)
+
+
+def test_bucketed_tables_have_one_file_a_bucket_and_are_not_shuffled(spark, book):
+    dim = book.account_customers
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert dim.selectExpr("input_file_name() AS f").distinct().count() <= n
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = plan(book, "exposure_by_segment")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Bucketed: true" in p
+    assert _exchanges_above(p, "account_customers") == 2          # the report's aggregate and order, not the join
+
+
+def test_month_filter_prunes_directories(book):
+    p = plan(book, "top_accounts_by_volume")
+    assert "PartitionFilters: [isnotnull(TxMonth" in p and ">= 2024-01" in p
+
+
+@pytest.mark.parametrize("name", ["credit_health_score", "loan_transaction_summary"])
+def test_transactions_are_reduced_once(book, name):
+    p = plan(book, name)
+    assert p.count("tx_accounts") >= 1 and "transactions_clean" not in p
+
+
+def test_one_customer_reads_only_own_loans(book):
+    p = plan(book, "credit_health_score_one")
+    assert p.count("LeftSemi") >= 1 and "CustomerID" in p and "= 7" in p
+
+
+def test_no_job_while_a_loaded_book_plans(spark, book):
+    book.load()
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("planning", "planning")
+    for name in sorted(BOOK_QUERIES):
+        if not name.startswith("clustered"):
+            BOOK_QUERIES[name](book)
+    assert list(tracker.getJobIdsForGroup("planning")) == []
+    spark.sparkContext._jsc.clearJobGroup()
