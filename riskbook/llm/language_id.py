@@ -34,12 +34,13 @@ _LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
 
 
-def grams(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed 2- and 3-grams of bytes of the texts' lower-case letters, and
-    where each text's begin (texts are framed by spaces, so none is empty)."""
+def grams(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashed 2- and 3-grams of bytes of the texts' lower-case letters, where
+    each text's begin, and their number (texts are framed by spaces, so none
+    is empty, and what follows a text never matters)."""
     plain = [b"  " + t.decode().lower().encode().translate(_PLAIN) + b" " for t in raw]
     sizes = np.fromiter(map(len, plain), np.int64, len(plain))
-    b = np.frombuffer(b"".join(plain), np.uint8).astype(np.uint32)
+    b = np.frombuffer(b"".join(plain) + b"  ", np.uint8).astype(np.uint32)
     two = (b[:-2] << np.uint32(8)) | b[1:-1]
     three = (two << np.uint32(8)) | b[2:]
     pair = np.empty((len(two), 2), np.uint32)
@@ -53,7 +54,7 @@ def counts(raw: list[bytes]) -> np.ndarray:
     out = np.zeros((len(raw), BUCKETS), np.float32)
     for k, t in enumerate(raw):
         pair, _, _ = grams([t])
-        out[k] = np.bincount(pair.ravel(), minlength=BUCKETS) / max(1, pair.size)
+        out[k] = np.bincount(pair.ravel(), minlength=BUCKETS) / pair.size
     return out
 
 
@@ -89,9 +90,7 @@ class Model:
     def margins(self, raw: list[bytes]) -> np.ndarray:
         pair, starts, sizes = grams(raw)
         got = self.weights[pair[:, 0]] + self.weights[pair[:, 1]]
-        ends = np.minimum(starts + sizes, len(pair))
-        total = np.add.reduceat(got, starts, axis=0)
-        return total / np.maximum(1, 2 * (ends - starts))[:, None] + self.bias
+        return np.add.reduceat(got, starts, axis=0) / (2 * sizes)[:, None] + self.bias
 
     def decode(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Index of the nearest codeword, its probability, and ambiguity."""

@@ -42,7 +42,7 @@ MINUS_LOG = {"plain": 0.0, "leet": 1.2, "drop": 1.0, "repeat": 0.7, "keep": 9.0}
 _SIGNS = regex.escape("".join(LEET))
 _EDGE = "\"'`,;:?!.()[]{}<>«»…*#%&|+-_="
 _NOISY = regex.compile(rf"\p{{L}}[{_SIGNS}{regex.escape(BREAKS)}]+\p{{L}}|[{_SIGNS}]{{1,2}}\p{{L}}|\p{{L}}[{_SIGNS}]|(\p{{L}})\1\1")
-_APART = regex.compile(r"(?<![\p{L}\p{N}])(?:\p{L}[ .\-_*]){3,}\p{L}(?![\p{L}\p{N}])")
+_APART = regex.compile(r"(?<![\p{L}\p{N}])\p{L}([ .\-_*])(?:\p{L}\1){2,}\p{L}(?![\p{L}\p{N}])")
 _WORD = regex.compile(r"\p{L}+")
 
 
@@ -136,17 +136,20 @@ class Restorer:
         self.known: dict[str, str] = {}
 
     def token(self, token: str) -> str:
+        """A token with its core restored; signs around it stay, but for one
+        or two at its end that often stand for letters."""
         core = token.strip(_EDGE)
-        tail = token[token.find(core) + len(core):] if core else ""
-        if tail and core and len(set(tail)) == 1 and len(tail) <= 2 and tail[0] in "$@":
-            core += tail
+        if not core or core.isalpha() and not _NOISY.search(core):
+            return token
+        at = token.find(core)
+        lead, tail = token[:at], token[at + len(core):]
         if not _NOISY.search(core):
             return token
         if core not in self.known:
             if len(self.known) > MEMO:
                 self.known.clear()
             self.known[core] = viterbi(core, self.cost)
-        return self.known[core]
+        return lead + self.known[core] + tail
 
     def text(self, text: str) -> str:
         """A lower-case text with its disguised words restored."""
