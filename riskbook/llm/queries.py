@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import (bpe, decontaminate, exact_repeats, language_id, pii, quality_model, quality_rules, secrets, simhash, toxicity)
 from .common import documents, table
+from .oracle import ORACLE  # noqa: F401 - registered with the queries
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -19,8 +20,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score_rules(documents(spark, sf_dir)).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
-        "n_long_words", "longest_repeat")
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,4 +67,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash": op9_simhash,
     "op10_exact_repeats": op10_exact_repeats,
 }
-ORACLE: dict[str, str] = {}
