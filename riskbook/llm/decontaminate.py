@@ -9,9 +9,10 @@ by word triple.
 The index is built by Spark from all items (document frequencies, lengths)
 and broadcast in shards of at most ``SHARD_BYTES`` of item text, a bound that
 the build checks; more items mean more shards, each searched in turn.
-Documents are never shuffled: every text is read whole, cut into overlapping
-passages of twice the longest item, and a passage whose terms' upper bounds
-cannot reach the threshold has no pivot and is skipped at once.
+Documents are never shuffled: every text is read whole and cut into
+overlapping passages of twice the longest item.  Block maxima are first summed
+for many passages together; a passage that reaches the threshold in no block
+of items has no pivot and is skipped, the others are searched one by one.
 """
 
 from __future__ import annotations
@@ -29,8 +30,9 @@ from pyspark.sql import functions as F
 from .common import slices, texts
 
 SHARD_BYTES = 4 << 20
-BLOCK = 8
+BLOCK = 2
 MEMO = 500_000
+BOUND_CELLS = 2_000_000       # passages times blocks looked at together
 SLICE = 4 << 20
 _TERM = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 
@@ -49,15 +51,32 @@ class Index:
     items: list[list[int]]                      # term codes of each item, in order
     posts: list[list[tuple[int, float]]]        # by term: (item, impact), ascending
     top: np.ndarray = field(init=False)         # by term: largest impact
-    block_top: list[list[tuple[int, float]]] = field(init=False)   # by term: (last item, largest impact) of blocks
+    block_top: list[list[tuple[int, float]]] = field(init=False)   # by term: (last item, largest impact) of its blocks
 
     def __post_init__(self) -> None:
         self.top = np.array([max((w for _, w in p), default=0.0) for p in self.posts])
-        self.block_top = [[(p[min(i + BLOCK, len(p)) - 1][0], max(w for _, w in p[i:i + BLOCK]))
-                           for i in range(0, len(p), BLOCK)] for p in self.posts]
+        self.block_top = []
+        for p in self.posts:
+            tops: dict[int, float] = {}
+            for item, w in p:
+                tops[item // BLOCK] = max(w, tops.get(item // BLOCK, 0.0))
+            self.block_top.append([(k * BLOCK + BLOCK - 1, w) for k, w in tops.items()])
+        self.n_blocks = -(-len(self.ids) // BLOCK)
+        sizes = np.fromiter(map(len, self.block_top), np.int64, len(self.block_top))
+        self.first = np.r_[0, np.cumsum(sizes)]             # by term: its part of the two arrays below
+        flat = list(chain.from_iterable(self.block_top))
+        self.block_of = np.array([last // BLOCK for last, _ in flat], np.int64)
+        self.block_max = np.array([w for _, w in flat])
         self.span = max(map(len, self.items), default=1)
         self.parts = [self._grams(x) for x in self.items]
 
+    def block_bounds(self, group: np.ndarray, term: np.ndarray, n: int) -> np.ndarray:
+        """Sum of block maxima, groups by blocks, for distinct (group, term) pairs."""
+        sizes = self.first[term + 1] - self.first[term]
+        at = np.repeat(self.first[term] - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(int(sizes.sum()))
+        key = np.repeat(group, sizes) * self.n_blocks + self.block_of[at]
+        return np.bincount(key, self.block_max[at], n * self.n_blocks).reshape(n, self.n_blocks)
+
     @staticmethod
     def grams(codes: list[int]) -> set[tuple]:
         n = min(3, len(codes))
@@ -181,11 +200,20 @@ def _scan(index: Index, raw: list[bytes], memo: dict[str, tuple], threshold: flo
     start = np.r_[0, np.cumsum(sizes)[:-1]]
     half = first[doc] + (np.arange(len(codes)) - start[doc]) // span
     hit = codes >= 0
-    pair = np.unique(half[hit] * len(index.top) + codes[hit])
-    bound = np.bincount(pair // len(index.top), index.top[pair % len(index.top)], int(halves.sum()) + 1)
     of = np.repeat(np.arange(len(rows)), halves)
-    last = np.arange(len(of)) == (first + halves - 1)[of]
-    reach = bound[:-1] + np.where(last, 0, bound[1:])
+    n_halves = len(of)
+    last = np.arange(n_halves) == (first + halves - 1)[of]
+    n_terms = len(index.top)
+    pair = np.unique(half[hit] * n_terms + codes[hit])
+    before = pair[~(np.arange(n_halves) == first[of])[pair // n_terms]] - n_terms     # also in the passage before
+    pair = np.union1d(pair, before)                                 # distinct (passage, term)
+    passage_of = pair // n_terms
+    reach = np.zeros(n_halves)                                      # best block bound of each passage
+    step = max(1, BOUND_CELLS // index.n_blocks)
+    for h in range(0, n_halves, step):
+        to = min(h + step, n_halves)
+        lo, hi = np.searchsorted(passage_of, (h, to))
+        reach[h:to] = index.block_bounds(passage_of[lo:hi] - h, pair[lo:hi] % n_terms, to - h).max(axis=1)
     for h in np.flatnonzero(reach >= threshold - 1e-9).tolist():
         d = int(of[h])
         if last[h] and h > first[d]:
