@@ -189,7 +189,7 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def fit(rows: list[list[int]], y: np.ndarray, width: int, steps: int = 300, l2: float = 3e-4) -> tuple[np.ndarray, float]:
+def fit(rows: list[list[int]], y: np.ndarray, width: int, steps: int = 800, l2: float = 1e-5) -> tuple[np.ndarray, float]:
     """Logistic weights (none negative: a feature only raises the score)."""
     at = np.fromiter(chain.from_iterable(rows), np.int64)
     of = np.repeat(np.arange(len(rows)), list(map(len, rows)))
