@@ -34,10 +34,20 @@ def _debt_and_assets(book, loans: DataFrame) -> DataFrame:
     """Per customer: debt (SUM principal) and assets (SUM DISTINCT balance
     of the accounts those loans sit on), both unrounded."""
     per_acct = chain.loans_per_account(loans, [F.sum("PrincipalAmount").alias("_debt")])
-    return per_acct.join(chain.account_dim(book), "AccountID").groupBy(*_CUST).agg(
+    return _named(book, _accounts(book, per_acct).groupBy("CustomerID").agg(
         F.sum("_debt").alias("_debt"),
         F.sum_distinct("Balance").alias("_assets"),
-    )
+    ))
+
+
+def _accounts(book, per_acct: DataFrame) -> DataFrame:
+    return per_acct.join(chain.account_dim(book).select("AccountID", "CustomerID", "Balance"), "AccountID")
+
+
+def _named(book, per_cust: DataFrame) -> DataFrame:
+    """Names and types, joined after the grouping: only ids are shuffled, and
+    the cleaned customers are bucketed on the id."""
+    return per_cust.join(chain.customer_dim(book).select(*_CUST), "CustomerID")
 
 
 def _dar(debt: Column, assets: Column) -> Column:
@@ -47,9 +57,9 @@ def _dar(debt: Column, assets: Column) -> Column:
 def debt_per_customer(book, n: int | None = TOP_N) -> DataFrame:
     """Q30: loans of any status, top customers by debt."""
     per_acct = chain.loans_per_account(book.loans, [F.sum("PrincipalAmount").alias("_debt")])
-    out = per_acct.join(chain.account_dim(book), "AccountID").groupBy(*_CUST).agg(
+    out = _named(book, _accounts(book, per_acct).groupBy("CustomerID").agg(
         money(F.sum("_debt")).alias("TotalLoanDebt")
-    )
+    )).select(*_CUST, "TotalLoanDebt")
     return _top(out, "TotalLoanDebt", n)
 
 

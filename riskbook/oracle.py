@@ -296,6 +296,7 @@ FROM (SELECT TransactionID FROM transactions GROUP BY TransactionID HAVING count
     "verify_dedupe": _sql("""
 SELECT count(*) AS remaining_duplicates FROM transactions_clean
 GROUP BY TransactionID HAVING count(*) > 1"""),
+    # The labels of the published analysis, in this and the next query.
     "loan_risk_bucket": _sql("""
 SELECT LoanID, PrincipalAmount, InterestRate,
        CASE WHEN InterestRate < 0.05 THEN 'Low Risk'
