@@ -271,7 +271,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, qu
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, **limits: float) -> DataFrame:
-    """The rows of ``docs`` that hold no leaked item, with all their columns."""
+    """The rows of ``docs`` that hold no leaked item, with all their columns
+    (NULL and empty texts hold none; every repeated row is judged alike; an
+    empty benchmark keeps everything)."""
     clean = docs
     for index in indexes(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(index)

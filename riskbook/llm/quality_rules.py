@@ -168,7 +168,8 @@ def score_rules(docs: DataFrame, rules: RepetitionRules = RepetitionRules()) ->
 
 
 def keep(docs: DataFrame, rules: RepetitionRules = RepetitionRules()) -> DataFrame:
-    """The rows of ``docs`` whose text passes, with all their columns."""
+    """The rows of ``docs`` whose text passes, with all their columns (NULL
+    and empty texts fail; every repeated row is judged alike)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, most=SLICE):
             g = statistics(texts(b), rules)
