@@ -125,10 +125,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> Dat
 
 def drop_copies(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
     """``docs`` with one document of each group: the one whose ``doc_id`` is
-    the component's smallest.  Of rows that repeat a ``doc_id``, one stays."""
+    the component's smallest.  Of rows that repeat a ``doc_id``, one stays;
+    rows with a NULL ``doc_id`` cannot be named by a group and stay.  All
+    columns are kept; texts move once, by ``doc_id``.
+    """
     found = near_duplicates(docs, shingle, max_bits)
     gone = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    again = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    once = kept.join(again, "doc_id", "left_anti")
-    return once.unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
+    named = docs.filter(F.col("doc_id").isNotNull()).join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    return named.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
