@@ -8,8 +8,9 @@ In ``documents`` a row is a repository (``doc_id``) and ``source`` its owner.
 
 Only built-in functions run here.  The scan is written once (spans alone, no
 text).  Counting pre-aggregates (hash, owner) before any shuffle, so a value
-pasted a million times is one row per task and owner; the join that brings
-the counts back deals a frequent value to ``SALTS`` tasks.
+pasted a million times is one row per task and owner.  The join that brings
+the counts back sends values that hold more than an even share of the spans
+through a broadcast slice: there are fewer of them than shuffle partitions.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.skew import find_hot_keys, split_join
 from .common import written
 from .spans import find, joined, no_spans, ordered
 
@@ -29,8 +31,6 @@ VENDOR = r"(?<![A-Za-z0-9_])(?:gh[opsur]_[A-Za-z0-9]{30,}+|xox[abprs]-[A-Za-z0-9
 KINDS = ["assign", "access", "hex", "vendor"]
 ANY = r"""(?i:passw(?:or)?d|secret|token|api_?key)["']?\x20*+[:=]|AKIA[A-Z0-9]{12}|[0-9a-f]{32}|gh[opsur]_|xox[abprs]-|sk_live_"""
 
-SALTS = 64
-
 
 def candidates(text: Column) -> Column:
     """All candidate spans of a text (NULL: none), by start then kind."""
@@ -85,12 +85,10 @@ def find_secrets(docs: DataFrame, shared_by: int = 3) -> DataFrame:
     columns are not read.
     """
     scanned = scan(docs)
-    counts = ownership(scanned).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     each = scanned.filter(F.size("found") > 0).select(
         "row", F.posexplode("found").alias("k", "s")).select(
-        "row", "k", F.col("s.hash").alias("hash"), F.col("s.placeholder").alias("placeholder"),
-        F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int").alias("salt"))
-    live = each.join(counts, ["hash", "salt"]).withColumn(
+        "row", "k", F.col("s.hash").alias("hash"), F.col("s.placeholder").alias("placeholder"))
+    live = split_join(each, ownership(scanned), "hash", find_hot_keys(each, "hash")).withColumn(
         "live", (F.col("n_owners") < shared_by) & ~F.col("placeholder"))
     verdicts = live.groupBy("row").agg(
         F.array_sort(F.collect_list(F.struct("k", "live"))).alias("verdict"),   # one text's spans
@@ -116,7 +114,8 @@ def find_secrets(docs: DataFrame, shared_by: int = 3) -> DataFrame:
 
 def mask(docs: DataFrame, shared_by: int = 3) -> DataFrame:
     """``docs`` with the live secrets of each text replaced by
-    ``[secret]``; copied examples and clean texts stay as they are."""
+    ``[secret]``; copied examples, clean, empty and NULL texts stay as they
+    are, with all their columns and repeated rows."""
     columns = docs.columns
     rows = written(docs.select(F.monotonically_increasing_id().alias("__row"), F.struct(*columns).alias("__doc"))
                    .filter(F.col("__doc.text").rlike(ANY)), "secret_texts")
