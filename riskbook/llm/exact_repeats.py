@@ -19,10 +19,10 @@ The digits are chosen by content, so that few rows move:
    ``GROUP`` different stretches is dealt by its windows' hashes instead,
    counted before the shuffle, so no task gathers such a group.
 
-Texts are shuffled once (by ``doc_id``): the join that cuts out the stretches
+Texts are shuffled once (by row): the join that cuts out the stretches
 to compare and the one that removes repeats share the exchange.  Nothing is
-collected.  A row's key is
-its ``doc_id`` and a 32-bit hash of its text, for ids that repeat.  Digits are 64-bit hashes (gram and content
+collected.  Rows are written once with an id of their own (``did``), as a
+``doc_id`` may be NULL or repeat.  Digits are 64-bit hashes (gram and content
 together 128 bits), so equality is exact up to hash collisions.
 """
 
@@ -117,23 +117,22 @@ def stretches(raw: list[bytes], length: int, powers: _Powers) -> dict[str, np.nd
 
 
 def _stretch_rows(rows: DataFrame, length: int, placed: bool) -> DataFrame:
-    """Stretches of all texts: the digits, and a short hash of the row to pick
-    one holder; ``placed``: with the row's key and the places."""
+    """Stretches of all texts: the digits and the row's id; ``placed``: with
+    the places."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = _Powers()
         for b in slices(batches, most=SLICE):
             s = stretches(texts(b), length, powers)
             cols = [pa.array(s["gram"].view(np.int64)), pa.array(s["body"].view(np.int64)),
-                    pa.array(b.column(1).to_numpy()[s["doc"]])]
-            names = ["gram", "body", "rid"]
+                    pa.array(b.column(0).to_numpy()[s["doc"]])]
+            names = ["gram", "body", "did"]
             if placed:
-                cols += [pa.array(b.column(0).to_numpy()[s["doc"]]),
-                         *[pa.array(s[c].astype(np.int32)) for c in ("lo", "hi")]]
-                names += ["did", "lo", "hi"]
+                cols += [pa.array(s[c].astype(np.int32)) for c in ("lo", "hi")]
+                names += ["lo", "hi"]
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    return rows.select("did", "rid", "text").mapInArrow(
-        run, "gram long, body long, rid int" + ", did long, lo int, hi int" * placed)
+    return rows.select("did", "text").mapInArrow(
+        run, "gram long, body long, did long" + ", lo int, hi int" * placed)
 
 
 def _windows(pieces: list[bytes], length: int, powers: _Powers) -> tuple[np.ndarray, np.ndarray]:
@@ -147,9 +146,6 @@ def _windows(pieces: list[bytes], length: int, powers: _Powers) -> tuple[np.ndar
     return _mix(powers.between(prefix, start, start + length)), piece
 
 
-_PIECE = "gram long, did long, rid int, lo int, single boolean, bytes binary"
-
-
 def _compare(pieces: DataFrame, length: int) -> DataFrame:
     """Within each gram of a partition (sorted by it): the windows of single
     stretches that another stretch of the gram has too."""
@@ -167,9 +163,9 @@ def _compare(pieces: DataFrame, length: int) -> DataFrame:
         last = np.r_[new[1:] - 1, len(hit) - 1] if len(hit) else hit
         of = piece[hit[new]]
         return pa.RecordBatch.from_arrays(
-            [rows.column("did").combine_chunks().take(pa.array(of)), rows.column("rid").combine_chunks().take(pa.array(of)),
+            [rows.column("did").combine_chunks().take(pa.array(of)),
              pa.array(start[new].astype(np.int32)), pa.array((start[last] + length).astype(np.int32))],
-            ["did", "rid", "a", "b"])
+            ["did", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -184,7 +180,7 @@ def _compare(pieces: DataFrame, length: int) -> DataFrame:
         if held is not None and held.num_rows:
             yield solve(held)
 
-    return pieces.mapInArrow(run, "did long, rid int, a int, b int")
+    return pieces.mapInArrow(run, "did long, a int, b int")
 
 
 def _compare_large(pieces: DataFrame, length: int) -> DataFrame:
@@ -198,14 +194,14 @@ def _compare_large(pieces: DataFrame, length: int) -> DataFrame:
             start = np.arange(len(h)) - np.r_[0, np.cumsum(sizes)[:-1]][piece] + t.column("lo").to_numpy()[piece]
             take = pa.array(piece)
             yield pa.RecordBatch.from_arrays(
-                [t.column(c).combine_chunks().take(take) for c in ("gram", "did", "rid", "single")]
+                [t.column(c).combine_chunks().take(take) for c in ("gram", "did", "single")]
                 + [pa.array(start.astype(np.int32)), pa.array(h.view(np.int64))],
-                ["gram", "did", "rid", "single", "a", "h"])
+                ["gram", "did", "single", "a", "h"])
 
-    windows = pieces.mapInArrow(run, "gram long, did long, rid int, single boolean, a int, h long")
+    windows = pieces.mapInArrow(run, "gram long, did long, single boolean, a int, h long")
     again = windows.groupBy("gram", "h").agg(F.count("*").alias("n")).filter("n > 1").select("gram", "h")
     return (windows.filter("single").join(again, ["gram", "h"])
-            .select("did", "rid", "a", (F.col("a") + length).alias("b")))
+            .select("did", "a", (F.col("a") + length).alias("b")))
 
 
 def remove_repeats(docs: DataFrame, length: int = 200, keep_text: bool = False) -> DataFrame:
@@ -217,43 +213,42 @@ def remove_repeats(docs: DataFrame, length: int = 200, keep_text: bool = False)
     ``doc_id`` are treated like any other and keep the NULL; an empty table
     gives an empty result; other columns are not read.
     """
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("did"),
-        F.hash(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("rid"),
-        F.col("text").cast("string").alias("text"))
+    rows = written(docs.select(
+        F.monotonically_increasing_id().alias("did"), F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("text").cast("string").alias("text")), "repeat_texts")
+    rows = rows.withColumn("did", F.coalesce("did", F.lit(-1)))       # never NULL: no filter for it parts the shared shuffle
     equal = _stretch_rows(rows, length, False).groupBy("gram", "body").agg(
-        F.count("*").alias("n"), F.min("rid").alias("holder"))
+        F.count("*").alias("n"), F.min("did").alias("holder"))
     several = equal.groupBy("gram").agg(F.count("*").alias("bodies"), F.sum("n").alias("all")).filter("all > 1")
     marked = equal.join(several, "gram").select(
         "gram", "body", (F.col("n") > 1).alias("whole"), "holder",
         (F.col("bodies") > 1).alias("mixed"), (F.col("bodies") > GROUP).alias("large"))
     placed = _stretch_rows(rows, length, True).join(marked, ["gram", "body"]).select(
-        "did", "rid", F.struct("gram", "lo", "hi", "whole", (F.col("mixed") & (~F.col("whole") | (
-            F.col("rid") == F.col("holder")))).alias("compare"), "large").alias("s"))
-    found = written(placed.groupBy("did", "rid").agg(F.collect_set("s").alias("s")), "repeats")    # one text's stretches
-    asked = found.select("did", "rid", F.filter("s", lambda s: s["compare"]).alias("s")).filter(F.size("s") > 0)
+        "did", F.struct("gram", "lo", "hi", "whole", (F.col("mixed") & (~F.col("whole") | (
+            F.col("did") == F.col("holder")))).alias("compare"), "large").alias("s"))
+    found = written(placed.groupBy("did").agg(F.collect_set("s").alias("s")), "repeats")    # one text's stretches
+    asked = found.select("did", F.filter("s", lambda s: s["compare"]).alias("s")).filter(F.size("s") > 0)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, most=SLICE):
             out: list[tuple] = []
-            for did, rid, raw, ss in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), texts(b),
-                                         b.column(4).to_pylist()):
-                out += [(s["gram"], did, rid, s["lo"], not s["whole"], s["large"], raw[s["lo"]:s["hi"] + length])
+            for did, raw, ss in zip(b.column(1).to_pylist(), texts(b), b.column(3).to_pylist()):
+                out += [(s["gram"], did, s["lo"], not s["whole"], s["large"], raw[s["lo"]:s["hi"] + length])
                         for s in ss]
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary()]
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)],
-                                             ["gram", "did", "rid", "lo", "single", "large", "bytes"])
+                                             ["gram", "did", "lo", "single", "large", "bytes"])
 
-    dealt = rows.select("doc_id", "did", "rid", "text")
+    dealt = rows.select("doc_id", "did", "text")
     # With all columns of ``dealt``: then this join and the last one share the shuffle of the texts.
-    pieces = dealt.join(asked, ["did", "rid"]).select("doc_id", "did", "rid", "text", "s").mapInArrow(
-        extract, "gram long, did long, rid int, lo int, single boolean, large boolean, bytes binary")
+    pieces = dealt.join(asked, "did").select("doc_id", "did", "text", "s").mapInArrow(
+        extract, "gram long, did long, lo int, single boolean, large boolean, bytes binary")
     small = pieces.filter("not large").drop("large").repartition("gram").sortWithinPartitions("gram")
     spans = _compare(small, length).unionByName(_compare_large(pieces.filter("large").drop("large"), length))
-    parts = spans.groupBy("did", "rid").agg(F.collect_set(F.struct("a", "b")).alias("parts"))
-    whole = found.select("did", "rid", F.transform(F.filter("s", lambda s: s["whole"]), lambda s: F.struct(
+    parts = spans.groupBy("did").agg(F.collect_set(F.struct("a", "b")).alias("parts"))
+    whole = found.select("did", F.transform(F.filter("s", lambda s: s["whole"]), lambda s: F.struct(
         s["lo"].alias("a"), (s["hi"] + length).alias("b"))).alias("whole"))
-    cuts = whole.join(parts, ["did", "rid"], "left").select("did", "rid", F.concat("whole", F.coalesce(
+    cuts = whole.join(parts, "did", "left").select("did", F.concat("whole", F.coalesce(
         "parts", F.expr("cast(array() as array<struct<a:int,b:int>>)"))).alias("cuts")).filter(F.size("cuts") > 0)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,5 +277,5 @@ def remove_repeats(docs: DataFrame, length: int = 200, keep_text: bool = False)
                                              + ["kept"] * keep_text)
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return dealt.join(cuts, ["did", "rid"], "left").select("doc_id", "text", "cuts").mapInArrow(
+    return dealt.join(cuts, "did", "left").select("doc_id", "text", "cuts").mapInArrow(
         cut, schema + (", kept binary" if keep_text else ""))

@@ -70,3 +70,17 @@ def test_odd_rows(spark):
     long = len(next(t for i, t, *_ in rows if i == 4).encode())
     assert first[4, long] == (long, 1) and first[7, 60_000] == (60_000, 1) and first[None, 0] == (0, 0)
     assert exact_repeats.remove_repeats(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_texts_without_id_whose_short_hashes_collide_stay_apart(spark):
+    """Two texts with one 32-bit hash: the repeats of the first are not cut out of the second."""
+    passage = " ".join(f"passage{i}" for i in range(30))
+    rows = [(None, f"{passage} 2437"), (None, " ".join(f"alone{i}" for i in range(20)) + " 299299"),
+            (None, f"{passage} 9819"), (None, " ".join(f"alone{i}" for i in range(20)) + " 121317"),
+            (1, " ".join(f"other{i}" for i in range(40)))]
+    df = table(spark, rows)
+    h = [r[0] for r in df.selectExpr("hash(doc_id, text)").collect()]
+    assert h[0] == h[1] and h[2] == h[3]
+    for some in (rows, [rows[0], rows[1], (1, f"x {passage}")]):
+        got = Counter(tuple(r) for r in exact_repeats.remove_repeats(table(spark, some), 100).collect())
+        assert got == brute(some, 100)
