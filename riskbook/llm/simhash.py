@@ -65,14 +65,15 @@ def fingerprints(raw: list[bytes], shingle: int) -> np.ndarray:
     return out
 
 
-def fingerprint_rows(docs: DataFrame, shingle: int) -> DataFrame:
-    """``doc_id`` and ``fp`` (the fingerprint's bits as a signed long)."""
+def fingerprint_rows(docs: DataFrame, shingle: int, *more: str) -> DataFrame:
+    """``doc_id``, ``fp`` (the fingerprint's bits as a signed long) and long
+    columns ``more`` of ``docs``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, most=1 << 20):
             fp = fingerprints(texts(b), shingle).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), *b.columns[2:]], ["doc_id", "fp", *more])
 
-    return id_text(docs).mapInArrow(run, "doc_id long, fp long")
+    return id_text(docs, *more).mapInArrow(run, "doc_id long, fp long" + "".join(f", {c} long" for c in more))
 
 
 def _ball(fp: Column, segment: int, width: int) -> Column:
@@ -101,6 +102,13 @@ def links(distinct: DataFrame, max_bits: int = 2, segments: int = 4) -> DataFram
     return star.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
 
 
+def linked(nodes: DataFrame, max_bits: int) -> DataFrame:
+    """``nodes`` (one row per ``fp``) with the ``root`` of their component,
+    NULL for a fingerprint without links."""
+    reached = components(links(nodes.select("fp"), max_bits))        # node, root: linked fingerprints alone
+    return nodes.join(reached.withColumnRenamed("node", "fp"), "fp", "left")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``fingerprint`` (16 lowercase
     hex digits) and ``component_id``, the smallest ``doc_id`` that links reach.
@@ -113,9 +121,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> Dat
     """
     rows = written(fingerprint_rows(docs, shingle), "fingerprints")
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    edges = links(nodes.select("fp"), max_bits)
-    reached = components(edges)                                      # node, root: linked fingerprints alone
-    least = nodes.join(reached.withColumnRenamed("node", "fp"), "fp", "left")
+    least = linked(nodes, max_bits)
     roots = (least.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min("least").alias("component_id")))
     by_fp = (least.join(roots, "root", "left")
              .select("fp", F.coalesce("component_id", "least").alias("component_id")))
@@ -124,12 +130,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> Dat
 
 
 def drop_copies(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
-    """``docs`` with one document of each group: the one whose ``doc_id`` is
-    the component's smallest.  Of rows that repeat a ``doc_id``, one stays;
-    rows with a NULL ``doc_id`` cannot be named by a group and stay.  All
-    columns are kept; texts move once, by ``doc_id``.
+    """``docs`` with one row of each group, all columns kept: the one with the
+    smallest ``doc_id``, NULLs last, and of those the first written.
+
+    Groups are of rows, not of ids: rows whose ``doc_id`` is NULL or repeats
+    are copies only if their texts are.  Rows are written with an id of their
+    own; texts move once, by that id.
     """
-    found = near_duplicates(docs, shingle, max_bits)
-    gone = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    named = docs.filter(F.col("doc_id").isNotNull()).join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+    columns = docs.columns
+    rows = written(docs.select(F.monotonically_increasing_id().alias("__row"), F.struct(*columns).alias("__doc")),
+                   "dedup_texts")
+    named = rows.select(F.col("__row").alias("doc_id"), F.col("__doc.text").alias("text"),
+                        F.col("__doc.doc_id").cast("long").alias("name"))
+    found = written(fingerprint_rows(named, shingle, "name"), "fingerprints")
+    first = F.min(F.struct(F.col("name").isNull().alias("unnamed"), "name", F.col("doc_id").alias("row")))
+    nodes = found.groupBy("fp").agg(first.alias("first"))
+    kept = (linked(nodes, max_bits).groupBy(F.coalesce("root", "fp").alias("group"))
+            .agg(F.min("first").alias("first")).select(F.col("first.row").alias("__row")))
+    return rows.join(kept, "__row", "left_semi").select(*[F.col("__doc")[c].alias(c) for c in columns])

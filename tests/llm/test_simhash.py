@@ -93,3 +93,14 @@ def test_odd_rows(spark):
     assert kept.columns == df.columns
     ids = [r["doc_id"] for r in kept.collect()]
     assert ids.count(4) == 1 and 2 not in ids and 1 in ids
+
+
+def test_one_row_of_each_group_whatever_the_ids(spark):
+    """Copies without id, texts that share an id, and an id of which one text alone is a copy."""
+    rng = random.Random(3)
+    text = [" ".join(rng.choices([f"w{i}" for i in range(400)], k=60)) for _ in range(6)]
+    rows = ([(None, text[0])] * 5 + [(7, text[1]), (7, text[2]), (7, text[2]), (None, text[2])]
+            + [(2, text[3]), (9, text[3]), (9, text[4]), (None, text[5]), (None, None), (8, ""), (9, None)])
+    kept = sorted(((r["doc_id"], r["text"]) for r in simhash.drop_copies(table(spark, rows)).collect()), key=str)
+    want = [(None, text[0]), (7, text[1]), (7, text[2]), (2, text[3]), (9, text[4]), (None, text[5]), (8, "")]
+    assert kept == sorted(want, key=str)
