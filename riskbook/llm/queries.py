@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import (bpe, decontaminate, exact_repeats, language_id, pii, quality_model, quality_rules, secrets, simhash, toxicity)
+from . import (bpe, decontaminate, divergence, exact_repeats, fill_middle, language_id, mixing, pii, quality_model,
+               quality_rules, secrets, simhash, toxicity)
 from .common import documents, table
 from .oracle import ORACLE  # noqa: F401 - registered with the queries
 
@@ -55,6 +57,23 @@ def op10_exact_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_repeats.remove_repeats(documents(spark, sf_dir), length=200)
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir), min_docs=10, top=10)
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = fill_middle.transform(documents(spark, sf_dir), seed=1, rate=90, spm=20)
+    restored = fill_middle.restore(F.col("output"), F.col("form"))
+    return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars",
+                       F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+                       F.sha2(restored.cast("binary"), 256).alias("restored_sha256"))
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(documents(spark, sf_dir), weights=(1, 2, 3), most=3)
+    return mixing.taken(mixed).select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_quality_rules": op2_quality_rules,
@@ -66,4 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_simhash": op9_simhash,
     "op10_exact_repeats": op10_exact_repeats,
+    "op11_divergence": op11_divergence,
+    "op12_fill_middle": op12_fill_middle,
+    "op13_mixing": op13_mixing,
 }

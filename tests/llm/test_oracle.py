@@ -19,7 +19,7 @@ pytestmark = pytest.mark.skipif(not os.path.exists(SF), reason="test data not pr
 def test_every_operator_is_registered():
     names = set(entry_mod.queries())
     assert set(QUERIES) <= names and "pipeline" in names
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert set(ORACLE) <= set(entry_mod.oracle_sql())
 
 
