@@ -1,21 +1,22 @@
 """Source divergence audit with late string materialization.
 
 One pass over the texts counts terms per task and writes the counts as Parquet
-in the shared folder: a term's 64-bit digest, its string, its occurrences and
-its documents, per language and source.  From then on digests alone are
-shuffled; Parquet leaves the strings unread.  Once the digests of kept terms
-are known, the smallest and largest string behind each show whether two terms
-share a digest; the terms of such a digest are told apart by a part number and
-counted anew.  A digest that is not kept hides no kept term, as its documents
-are at least those of each of its terms.  Strings come back for ranked terms.
+in the shared folder: occurrences and documents per language, source and 64-bit
+digest, and apart from them each digest's string once.  Only digests and
+numbers are shuffled to find the kept terms.  Then the smallest and largest
+string behind each kept digest show whether two terms share it; the terms of
+such a digest are told apart by a part number and counted anew from the texts.
+A digest that is not kept hides no kept term, as its documents are at least
+those of each of its terms.  Strings are joined back to the ranked terms.
 
 Probabilities are whole numbers: p = 1 + floor(scale * (count + 2) / (N + 2V)),
 and the divergence of a term is floor((p - q)^2 / (p + q)).  Each task adds up
 the divergences of all source pairs over its terms, so that a shuffle carries
 one row per pair and task.
 
-Memory: a task holds at most ``_TERMS`` counted terms (then it writes them and
-goes on) and ``_CELLS`` pair sums.  Sources of a language are gathered in one
+Memory: a task holds about ``_TERMS`` terms and ``_PAIRS`` counts (then it
+writes them and goes on, so more of them cost more rows only), one slice of
+rows, and ``_CELLS`` pair sums.  Sources of a language are gathered in one
 row, one entry each, as every pair of them is a result.
 
 Odd input: NULL text, lang and source count as ''.  Empty texts still make
@@ -28,7 +29,7 @@ columns are not read.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,17 +38,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.joins import bounded_broadcast
 from .common import slices, texts, written
 
 SCALE = 1_000_000_000
 _TERM = re.compile(rb"[a-z\x80-\xff]+")      # of bytes in lower case: letters a-z and all beyond ASCII
 _GAP = re.compile(rb"[^a-z\x80-\xff]")
 _PIECE = 1 << 20
-_TERMS = 200_000
-_CELLS = 1 << 21
-_TILE = 512
-_SMALL = 1 << 20      # rows of a fixed width that are broadcast at most
-_COUNTS = "lang string, source string, digest long, term string, n long, docs long"
+_TERMS, _PAIRS = 400_000, 2_000_000
+_BATCH = 1 << 16
+_CELLS, _TILE = 1 << 21, 512
+_SMALL = 1 << 20      # digests that are broadcast at most
+_COUNTS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("digest", pa.int64()), ("term", pa.string()),
+                     ("n", pa.int64()), ("docs", pa.int64())])
 
 
 def _terms(text: bytes) -> Iterator[list[bytes]]:
@@ -62,65 +65,116 @@ def _terms(text: bytes) -> Iterator[list[bytes]]:
     yield _TERM.findall(text, at)
 
 
-def _table(groups: dict, bits: int) -> Iterator[pa.RecordBatch]:
-    for (lang, source), (n, docs) in groups.items():
-        terms = list(n)
-        digest = np.fromiter(map(xxhash.xxh64_intdigest, terms), np.uint64, len(terms))
-        if bits < 64:
-            digest >>= np.uint64(64 - bits)
-        count = [n[t] for t in terms]
-        count_docs = [docs[t] for t in terms]
-        yield pa.RecordBatch.from_arrays([                     # the row without a term says that the group occurs
-            pa.array([lang] * (len(terms) + 1)), pa.array([source] * (len(terms) + 1)),
-            pa.array([None, *digest.view(np.int64).tolist()], pa.int64()),
-            pa.array([None, *terms], pa.binary()).cast(pa.string()),
-            pa.array([0, *count], pa.int64()), pa.array([0, *count_docs], pa.int64())],
-            ["lang", "source", "digest", "term", "n", "docs"])
-
-
-def term_counts(docs: DataFrame, bits: int = 64) -> DataFrame:
-    """``lang, source, digest, term, n, docs`` as counted by each task, and a
-    row without a term for each group it met."""
+class _Counts:
+    """Term counts of a task: terms get numbers, and (group, term) pairs keep
+    their occurrences and documents in sorted arrays."""
+
+    def __init__(self, bits: int) -> None:
+        self.bits, self.groups = bits, {}
+        self.clear()
+
+    def clear(self) -> None:
+        self.vocabulary: defaultdict = defaultdict()
+        self.vocabulary.default_factory = self.vocabulary.__len__
+        self.parts: list[tuple] = []
+        self.size = 0
+
+    def add(self, langs: list[str], sources: list[str], raw: list[bytes]) -> None:
+        number, ids, sizes = self.vocabulary.__getitem__, [], []
+        for text in raw:
+            before = len(ids)
+            for found in _terms(text):
+                ids.extend(map(number, found))
+            sizes.append(len(ids) - before)
+        groups = np.array([self.groups.setdefault(g, len(self.groups)) for g in zip(langs, sources)], np.int64)
+        doc = np.repeat(np.arange(len(raw)), sizes)
+        pairs, n = np.unique(doc << 32 | np.array(ids, np.int64), return_counts=True)
+        self.parts.append(_summed(groups[pairs >> 32] << 32 | pairs & 0xFFFFFFFF, n, np.ones_like(n)))
+        self.size += len(self.parts[-1][0])
+        if self.size > _PAIRS:
+            self.parts = [_summed(*map(np.concatenate, zip(*self.parts)))]
+            self.size = len(self.parts[0][0])
+
+    def full(self) -> bool:
+        return self.size > _PAIRS // 2 or len(self.vocabulary) > _TERMS
+
+    def rows(self, named: bool) -> Iterator[pa.RecordBatch]:
+        """The groups met, the strings of all digests, and the counts."""
+        langs, sources = (pa.array(x, pa.string()) for x in (zip(*self.groups) if self.groups else ([], [])))
+        nothing = np.zeros(0, np.int64)
+        key, n, docs = _summed(*map(np.concatenate, zip(*self.parts))) if self.parts else (nothing,) * 3
+        terms = pa.array(list(self.vocabulary), pa.binary()).cast(pa.string())
+        digest = np.fromiter(map(xxhash.xxh64_intdigest, self.vocabulary), np.uint64, len(terms))
+        if self.bits < 64:
+            digest >>= np.uint64(64 - self.bits)
+        digest = digest.view(np.int64)
+
+        def batch(rows: int, **columns) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [columns[f.name] if f.name in columns else pa.nulls(rows, f.type) for f in _COUNTS], schema=_COUNTS)
+
+        yield batch(len(langs), lang=langs, source=sources)
+        for a in range(0, len(terms), _BATCH):
+            part = terms[a:a + _BATCH]
+            yield batch(len(part), digest=pa.array(digest[a:a + _BATCH]), term=part)
+        for a in range(0, len(key), _BATCH):
+            k = key[a:a + _BATCH]
+            group, term = pa.array(k >> 32), k & 0xFFFFFFFF
+            more = {"term": terms.take(pa.array(term))} if named else {}
+            yield batch(len(k), lang=langs.take(group), source=sources.take(group), digest=pa.array(digest[term]),
+                        n=pa.array(n[a:a + _BATCH]), docs=pa.array(docs[a:a + _BATCH]), **more)
+
+
+def _summed(key: np.ndarray, n: np.ndarray, docs: np.ndarray) -> tuple:
+    """One entry per key, in order."""
+    if not len(key):
+        return key, n, docs
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    return key[first], np.add.reduceat(n[order], first), np.add.reduceat(docs[order], first)
+
+
+def term_counts(docs: DataFrame, bits: int = 64, named: bool = False) -> DataFrame:
+    """What each task counts, in rows of three kinds: a group it met (``lang,
+    source``), a digest's string (``digest, term``), and counts (``lang, source,
+    digest, n, docs``, with the ``term`` if ``named``)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups: dict = {}
+        counts = _Counts(bits)
         for b in slices(batches):
-            for lang, source, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts(b)):
-                n, in_docs = groups.setdefault((lang, source), (Counter(), Counter()))
-                seen: set = set()
-                for found in _terms(text):
-                    n.update(found)
-                    seen.update(found)
-                in_docs.update(seen)
-            if sum(len(n) for n, _ in groups.values()) > _TERMS:
-                yield from _table(groups, bits)
-                groups = {}
-        yield from _table(groups, bits)
+            counts.add(b.column(0).to_pylist(), b.column(1).to_pylist(), texts(b))
+            if counts.full():
+                yield from counts.rows(named)
+                counts.clear()
+        yield from counts.rows(named)
 
     plain = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    return plain.mapInArrow(run, _COUNTS)
+    return plain.mapInArrow(run, "lang string, source string, digest long, term string, n long, docs long")
+
+
+def _numbered(counts: DataFrame, groups: DataFrame) -> DataFrame:
+    """The counts with numbers for languages and sources: all that is shuffled
+    has a fixed width."""
+    return counts.filter("n IS NOT NULL").join(groups, ["lang", "source"]).drop("lang", "source")
 
 
 def _kept(counts: DataFrame, min_docs: int) -> DataFrame:
-    """Kept terms of each language: ``lang, digest, part, total`` and the
-    count in each source that has the term (``by_source``)."""
-    per_source = (counts.filter(F.col("digest").isNotNull()).groupBy("lang", "source", "digest", "part")
-                  .agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
-    return (per_source.groupBy("lang", "digest", "part")
+    """Kept terms of each language: ``l, digest, part, total`` and the count in
+    each source that has the term (``by_source``)."""
+    per_source = counts.groupBy("l", "s", "digest", "part").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    return (per_source.groupBy("l", "digest", "part")
             .agg(F.sum("n").alias("total"), F.sum("docs").alias("docs"),
-                 F.map_from_entries(F.collect_list(F.struct("source", "n"))).alias("by_source"))
+                 F.map_from_entries(F.collect_list(F.struct("s", "n"))).alias("by_source"))
             .filter(F.col("docs") >= min_docs).drop("docs"))
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    """``df``, broadcast if ``rows``, its counted rows, are few."""
-    return F.broadcast(df) if rows <= _SMALL else df
-
-
-def _told_apart(counts: DataFrame, min_docs: int) -> tuple[DataFrame, DataFrame]:
+def _told_apart(docs: DataFrame, counts: DataFrame, groups: DataFrame, min_docs: int,
+                bits: int) -> tuple[DataFrame, DataFrame]:
     """Kept terms (as ``_kept``) and their strings (``digest, part, term``)."""
-    kept = written(_kept(counts.withColumn("part", F.lit(0)), min_docs), "kept_terms")
+    whole = _numbered(counts.drop("term"), groups).withColumn("part", F.lit(0))
+    kept = written(_kept(whole, min_docs), "kept_terms")
     digests = kept.select("digest").distinct()
-    strings = counts.select("digest", "term").filter(F.col("digest").isNotNull())
+    strings = counts.select("digest", "term").filter("term IS NOT NULL")
     ends = [F.min("term").alias("first"), F.max("term").alias("last")]
     if kept.count() <= _SMALL:        # strings of other terms are not shuffled at all
         words = strings.join(F.broadcast(digests), "digest", "left_semi").groupBy("digest").agg(*ends)
@@ -133,17 +187,19 @@ def _told_apart(counts: DataFrame, min_docs: int) -> tuple[DataFrame, DataFrame]
     order = Window.partitionBy("digest").orderBy("term")
     split = written(strings.join(shared, "digest", "left_semi").distinct()
                     .withColumn("part", F.row_number().over(order)), "split_terms")
-    apart = (counts.join(shared, "digest", "left_anti").withColumn("part", F.lit(0)).drop("term")
-             .unionByName(counts.join(split, ["digest", "term"]).drop("term")))
+    named = _numbered(term_counts(docs, bits, named=True), groups).join(split, ["digest", "term"]).drop("term")
+    apart = whole.join(shared, "digest", "left_anti").unionByName(named)
     names = (words.filter("first = last").select("digest", F.lit(0).alias("part"), F.col("first").alias("term"))
              .unionByName(split.select("digest", "part", "term")))
     return written(_kept(apart, min_docs), "kept_terms"), names
 
 
 def _p(count: Column, total: Column, kept: Column) -> Column:
-    share = (count.cast("decimal(27,0)") + 2) * F.lit(SCALE)
-    whole = (total + 2 * kept).cast("decimal(27,0)")
-    return F.call_function("div", share, whole) + 1
+    """Exact at any size; counts whose product fits a long take the short way."""
+    def ratio(kind: str) -> Column:
+        return F.call_function("div", (count.cast(kind) + 2) * F.lit(SCALE), (total + 2 * kept).cast(kind)) + 1
+
+    return F.when(count < (1 << 63) // SCALE - 2, ratio("long")).otherwise(ratio("decimal(27,0)"))
 
 
 def _f(p: Column, q: Column) -> Column:
@@ -158,14 +214,14 @@ def _pair_sums(dense: DataFrame) -> DataFrame:
         for (lang, a, b), tile in tiles.items():
             i, j = np.nonzero(np.add.outer(np.arange(tile.shape[0]) + a, -np.arange(tile.shape[1]) - b) < 0)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(i), pa.string()), pa.array((i + a).astype(np.int32)),
-                 pa.array((j + b).astype(np.int32)), pa.array(tile[i, j])], ["lang", "i", "j", "value"])
+                [pa.array(np.full(len(i), lang, np.int32)), pa.array((i + a + 1).astype(np.int32)),
+                 pa.array((j + b + 1).astype(np.int32)), pa.array(tile[i, j])], ["l", "i", "j", "value"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tiles: dict = {}
         for batch in batches:
-            lang = np.array(batch.column(0).to_pylist(), object)
-            for name in dict.fromkeys(lang.tolist()):
+            lang = batch.column(0).to_numpy()
+            for name in np.unique(lang).tolist():
                 at = np.flatnonzero(lang == name)
                 p = batch.column(1).take(pa.array(at)).flatten().to_numpy().reshape(len(at), -1)
                 for a in range(0, p.shape[1], _TILE):
@@ -181,36 +237,41 @@ def _pair_sums(dense: DataFrame) -> DataFrame:
                             tiles = {}
         yield from rows(tiles)
 
-    return dense.select("lang", F.col("cells.p").alias("p")).mapInArrow(run, "lang string, i int, j int, value long")
+    return dense.mapInArrow(run, "l int, i int, j int, value long")
+
 
+def _pairs(kept: DataFrame, langs: DataFrame) -> DataFrame:
+    def p(x: Column) -> Column:
+        return _p(F.coalesce(F.try_element_at(F.col("by_source"), x["s"]), F.lit(0).cast("long")), x["size"], F.col("V"))
 
-def _pairs(dense: DataFrame, langs: DataFrame) -> DataFrame:
-    sums = _pair_sums(dense).groupBy("lang", "i", "j").agg(F.sum("value").alias("value"))
-    every = (langs.select("lang", "names", F.posexplode("names").alias("a", "one"))
-             .select("lang", "a", F.col("one.source").alias("source"), F.posexplode("names").alias("b", "two"))
-             .filter("a != b").select("lang", "source", F.col("two.source").alias("item"),
-                                      F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j")))
-    return every.join(sums, ["lang", "i", "j"], "left").select(
+    dense = kept.join(langs, "l").select("l", F.transform("names", p).alias("p"))
+    sums = _pair_sums(dense).groupBy("l", "i", "j").agg(F.sum("value").alias("value"))
+    every = (langs.select("l", "lang", "names", F.explode("names").alias("one"))
+             .select("l", "lang", "one", F.explode("names").alias("two")).filter("one.s != two.s")
+             .select("l", "lang", F.col("one.source").alias("source"), F.col("two.source").alias("item"),
+                     F.least("one.s", "two.s").alias("i"), F.greatest("one.s", "two.s").alias("j")))
+    return every.join(sums, ["l", "i", "j"], "left").select(
         "lang", "source", "item", F.coalesce("value", F.lit(0)).cast("long").alias("value"))
 
 
-def _top_terms(dense: DataFrame, words: DataFrame, groups: int, top: int) -> DataFrame:
+def _top_terms(kept: DataFrame, words: DataFrame, totals: DataFrame, top: int) -> DataFrame:
     """The ``top`` terms of each group.  The values that reach so far are found
     without strings (a group sends ``top`` distinct values a task at most);
     strings are joined to the terms with such a value."""
-    rows = (dense.select("lang", "digest", "part", "q", F.explode("cells").alias("c"))
-            .filter((F.col("c.n") > 0) & (F.col("c.p") > F.col("q")))
-            .select("lang", F.col("c.source").alias("source"), "digest", "part",
-                    _f(F.col("c.p"), F.col("q")).alias("value")))
-    falling = Window.partitionBy("lang", "source").orderBy(F.col("value").desc())
-    values = rows.groupBy("lang", "source", "value").agg(F.count("*").alias("terms"))
+    p, q = _p(F.col("n"), F.col("size"), F.col("V")), _p(F.col("total"), F.col("lang_N"), F.col("V"))
+    rows = (kept.select("l", "digest", "part", "total", F.explode("by_source").alias("s", "n"))
+            .join(totals, ["l", "s"]).select("l", "s", "digest", "part", p.alias("p"), q.alias("q")).filter("p > q")
+            .select("l", "s", "digest", "part", _f(F.col("p"), F.col("q")).alias("value")))
+    falling = Window.partitionBy("l", "s").orderBy(F.col("value").desc())
+    values = rows.groupBy("l", "s", "value").agg(F.count("*").alias("terms"))
     least = (values.withColumn("k", F.row_number().over(falling)).filter(F.col("k") <= top)
              .withColumn("before", F.sum("terms").over(falling) - F.col("terms"))
-             .filter(F.col("before") < top).groupBy("lang", "source").agg(F.min("value").alias("least")))
-    reached = rows.join(_small(least, groups), ["lang", "source"]).filter(F.col("value") >= F.col("least"))
-    named = reached.join(words, ["digest", "part"]).select("lang", "source", F.col("term").alias("item"), "value")
-    order = Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), "item")
-    return named.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+             .filter(F.col("before") < top).groupBy("l", "s").agg(F.min("value").alias("least")))
+    reached = rows.join(least, ["l", "s"]).filter(F.col("value") >= F.col("least"))
+    named = reached.join(words, ["digest", "part"]).select("l", "s", F.col("term").alias("item"), "value")
+    order = Window.partitionBy("l", "s").orderBy(F.col("value").desc(), "item")
+    return (named.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+            .join(totals.select("l", "s", "lang", "source"), ["l", "s"]))
 
 
 def audit(docs: DataFrame, min_docs: int = 10, top: int = 10, bits: int = 64) -> DataFrame:
@@ -220,25 +281,21 @@ def audit(docs: DataFrame, min_docs: int = 10, top: int = 10, bits: int = 64) ->
     ``term``).  ``bits`` is the width of a term's digest.  See the module for
     odd input."""
     counts = written(term_counts(docs, bits), "term_counts")
-    kept, words = _told_apart(counts, min_docs)
-    totals = kept.select("lang", F.explode("by_source").alias("source", "n")).groupBy("lang", "source").agg(
-        F.sum("n").alias("N"))
-    sizes = kept.groupBy("lang").agg(F.count("*").alias("V"), F.sum("total").alias("lang_N"))
-    groups = counts.select("lang", "source").distinct().join(totals, ["lang", "source"], "left")
-    langs = written(
-        groups.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("source", F.coalesce("N", F.lit(0)).alias("N"))))
-                                   .alias("names")).join(sizes, "lang", "left"), "langs")
-    n_groups = langs.select(F.sum(F.size("names")).alias("n")).first()["n"] or 0
-
-    def cell(x: Column) -> Column:
-        n = F.coalesce(F.try_element_at(F.col("by_source"), x["source"]), F.lit(0))
-        return F.struct(x["source"].alias("source"), n.alias("n"), _p(n, x["N"], F.col("V")).alias("p"))
-
-    dense = kept.join(_small(langs, n_groups), "lang").select(
-        "lang", "digest", "part", _p(F.col("total"), F.col("lang_N"), F.col("V")).alias("q"),
-        F.transform("names", cell).alias("cells"))
+    met = counts.filter("lang IS NOT NULL AND digest IS NULL").select("lang", "source").distinct()
+    groups = written(met.select("lang", "source", F.dense_rank().over(Window.orderBy("lang")).alias("l"),
+                                F.row_number().over(Window.partitionBy("lang").orderBy("source")).alias("s")), "groups")
+    groups, _ = bounded_broadcast(groups)
+    kept, words = _told_apart(docs, counts, groups, min_docs, bits)
+    per_source = kept.select("l", F.explode("by_source").alias("s", "n")).groupBy("l", "s").agg(F.sum("n").alias("size"))
+    per_lang = kept.groupBy("l").agg(F.count("*").alias("V"), F.sum("total").alias("lang_N"))
+    totals, _ = bounded_broadcast(written(
+        groups.join(per_source, ["l", "s"], "left").join(per_lang, "l", "left")
+        .withColumn("size", F.coalesce("size", F.lit(0))), "group_totals"))
+    langs, _ = bounded_broadcast(written(
+        totals.groupBy("l", "lang", "V").agg(F.array_sort(F.collect_list(F.struct("s", "source", "size"))).alias("names")),
+        "langs"))
     order = Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), "item")
-    pairs = _pairs(dense, langs).withColumn("rank", F.row_number().over(order))
+    pairs = _pairs(kept, langs).withColumn("rank", F.row_number().over(order))
     out = ["lang", "source", "part", "item", "value", "rank"]
     return (pairs.withColumn("part", F.lit("pair")).select(*out)
-            .unionByName(_top_terms(dense, words, n_groups, top).withColumn("part", F.lit("term")).select(*out)))
+            .unionByName(_top_terms(kept, words, totals, top).withColumn("part", F.lit("term")).select(*out)))
