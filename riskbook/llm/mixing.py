@@ -48,7 +48,7 @@ from .spans import bind
 
 WORD = r"[^\x20\x09-\x0D]+"
 _KEY_BITS = 60
-_BUCKET = 1 << 16
+_BUCKET = 1 << 13
 _WHOLE = "decimal(38,0)"
 
 
