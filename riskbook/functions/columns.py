@@ -82,6 +82,15 @@ def safe_div(num: Column, den: Column) -> Column:
     return num / F.nullif(den, F.lit(0))
 
 
+# Operand that leaves a mean 16 places (sums up to 1e22), so it is rounded once.
+_MEAN_OPERAND = T.DecimalType(26, 4).simpleString()
+
+
+def mean2(total: Column, count: Column) -> Column:
+    """total / count rounded to cents (half up), NULL when nothing counts."""
+    return money(safe_div(total.cast(_MEAN_OPERAND), count))
+
+
 def pct(part: Column, whole: Column) -> Column:
     """part * 100 / whole, rounded to 2 places; NULL when whole is 0."""
     return money(safe_div(part * F.lit(Decimal("100.0")), whole))

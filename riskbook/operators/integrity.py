@@ -1,24 +1,23 @@
 """Referential-integrity operators (stage 2).
 
 An orphan is a child row whose key finds no parent row; a NULL key never
-matches, so it is an orphan too.  Row lists take NULL keys by a plain filter
-(they would all hash to one partition) and the rest by an anti join that
-sends hot keys through a broadcast slice (``plans.skew``); counts first
-collapse the child to one row per key (a map-side partial aggregate, so a
-key holding a third of the rows costs one row per partition), then anti
-join those keys.
+matches, so it is an orphan too.  Row lists are one anti join over one scan
+of the child, in which hot and NULL keys are spread by a salt
+(``plans.skew``).  Counts are one aggregate: children add up their rows per
+key, parents mark theirs, and a key without a mark is an orphan's; a key
+holding a third of the rows is one row per task before the shuffle.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import count_long
 from ..plans import chain
-from ..plans.skew import HotKeys, split_join
+from ..plans.skew import HotKeys, salted_join
 
 # --- fixed values: relationship labels of the integrity summary -------------
 REL_ACCOUNTS_CUSTOMERS = "accounts → customers"
@@ -41,8 +40,7 @@ def orphans(child: DataFrame, fk: str, parent: DataFrame, pk: str, keep: Sequenc
             hot: HotKeys | None = None) -> DataFrame:
     """Child rows with no parent row (NULL key included)."""
     child = child.select(*dict.fromkeys([*keep, fk]))
-    keyed = split_join(child.filter(F.col(fk).isNotNull()), _parent_keys(parent, pk, fk), fk, hot, "left_anti")
-    return keyed.select(*keep).unionByName(child.filter(F.col(fk).isNull()).select(*keep))
+    return salted_join(child, _parent_keys(parent, pk, fk), fk, hot, "left_anti").select(*keep)
 
 
 def orphan_accounts(book) -> DataFrame:
@@ -105,40 +103,46 @@ def invalid_customer_type(book) -> DataFrame:
                          ["CustomerID", "CustomerTypeID"])
 
 
-def _orphans_by_keys(child: DataFrame, checks: dict[str, tuple]) -> DataFrame:
-    """Orphan counts of several keys of one child table in one pass over it:
-    ``relationship``, ``orphan_count``.  ``checks``: label -> (key, parent
-    DataFrame, parent key).  The child is reduced to one row per (key, value)
-    before any join."""
-    arms = [F.struct(F.lit(rel).alias("relationship"), F.col(fk).cast("long").alias("_k"))
-            for rel, (fk, _, _) in checks.items()]
-    per_key = (child.select(F.explode(F.array(*arms)).alias("e")).groupBy("e.relationship", "e._k")
-               .agg(count_long("*").alias("_n")))
-    parents = None
-    for rel, (_, parent, pk) in checks.items():
-        part = parent.select(F.lit(rel).alias("relationship"), F.col(pk).cast("long").alias("_k")).distinct()
-        parents = part if parents is None else parents.unionByName(part)
-    return (per_key.join(parents, ["relationship", "_k"], "left_anti").groupBy("relationship")
-            .agg(F.sum("_n").alias("orphan_count")))
+def _child(relationship: str, key: str, rows: Column) -> Column:
+    """A child's entry: its rows under a key."""
+    return F.struct(F.lit(relationship).alias("relationship"), F.col(key).cast("long").alias("key"),
+                    rows.cast("long").alias("rows"), F.lit(None).cast("boolean").alias("known"))
+
+
+def _parent(relationship: str, key: str) -> Column:
+    """A parent's entry: its key is known."""
+    return F.struct(F.lit(relationship).alias("relationship"), F.col(key).cast("long").alias("key"),
+                    F.lit(0).cast("long").alias("rows"), F.lit(True).alias("known"))
 
 
 def integrity_summary(book) -> DataFrame:
-    """Q19: one row per relationship, zero counts kept; each fact is read once."""
-    codes = {n: book.codes[n] for n in ("loan_statuses", "customer_types")}
-    found = (
-        _orphans_by_keys(book.accounts, {REL_ACCOUNTS_CUSTOMERS: ("CustomerID", book.customers, "CustomerID")})
-        .unionByName(_orphans_by_keys(book.loans, {
-            REL_LOANS_ACCOUNTS: ("AccountID", book.accounts, "AccountID"),
-            REL_LOANS_STATUSES: ("LoanStatusID", codes["loan_statuses"], "LoanStatusID")}))
-        .unionByName(_orphans_by_keys(book.transactions_clean, {
-            REL_TX_ACCOUNTS: ("AccountOriginID", book.accounts, "AccountID"),
-            REL_TX_BRANCHES: ("BranchID", book.branches, "BranchID")}))
-        .unionByName(_orphans_by_keys(book.customers_final, {
-            REL_CUSTOMERS_TYPES: ("CustomerTypeID", codes["customer_types"], "CustomerTypeID")}))
-    )
+    """Q19: one row per relationship, zero counts kept.
+
+    Every table is read once and gives all its entries, as child and as
+    parent; one aggregate by (relationship, key) brings both together.  Loans
+    come from the rollup.  A NULL key is never known."""
+    one = F.lit(1)
+    entries = [
+        (book.accounts, [_child(REL_ACCOUNTS_CUSTOMERS, "CustomerID", one), _parent(REL_LOANS_ACCOUNTS, "AccountID"),
+                         _parent(REL_TX_ACCOUNTS, "AccountID")]),
+        (book.customers, [_parent(REL_ACCOUNTS_CUSTOMERS, "CustomerID")]),
+        (book.loan_rollup, [_child(REL_LOANS_ACCOUNTS, "AccountID", F.col("rows")),
+                            _child(REL_LOANS_STATUSES, "LoanStatusID", F.col("rows"))]),
+        (book.transactions_clean, [_child(REL_TX_ACCOUNTS, "AccountOriginID", one),
+                                   _child(REL_TX_BRANCHES, "BranchID", one)]),
+        (book.branches, [_parent(REL_TX_BRANCHES, "BranchID")]),
+        (book.customers_final, [_child(REL_CUSTOMERS_TYPES, "CustomerTypeID", one)]),
+        (book.codes["loan_statuses"], [_parent(REL_LOANS_STATUSES, "LoanStatusID")]),
+        (book.codes["customer_types"], [_parent(REL_CUSTOMERS_TYPES, "CustomerTypeID")]),
+    ]
+    parts = [df.select(F.explode(F.array(*arms)).alias("e")).select("e.*") if len(arms) > 1
+             else df.select(arms[0].alias("e")).select("e.*") for df, arms in entries]
+    every = reduce(DataFrame.unionByName, parts)
+    keys = every.groupBy("relationship", "key").agg(F.sum("rows").alias("rows"), F.max("known").alias("known"))
+    orphan = F.col("key").isNull() | F.col("known").isNull()
+    found = keys.groupBy("relationship").agg(F.sum(F.when(orphan, F.col("rows"))).alias("orphan_count"))
     labels = [REL_ACCOUNTS_CUSTOMERS, REL_LOANS_ACCOUNTS, REL_TX_ACCOUNTS, REL_TX_BRANCHES, REL_LOANS_STATUSES,
               REL_CUSTOMERS_TYPES]
-    spark = book.spark
-    every = spark.createDataFrame([(x,) for x in labels], "relationship string")
-    return every.join(found, "relationship", "left").select(
+    named = book.spark.createDataFrame([(x,) for x in labels], "relationship string")
+    return named.join(found, "relationship", "left").select(
         "relationship", F.coalesce("orphan_count", F.lit(0)).cast("long").alias("orphan_count"))

@@ -2,10 +2,11 @@
 
 Row-level reports (the loan book) are one shuffle join of loans against
 the account dimension, hot accounts split off (``plans.chain``).
-Status-level reports name each status in the scan stage (a CASE over the
-fixed code list, or a broadcast join for a code table read from data) and
+Exposure reports read the loan rollup (sums per account and status):
+status-level ones name each status in the scan stage (a CASE over the fixed
+code list, or a broadcast join for a code table read from data) and
 aggregate map-side, so the only shuffle carries one row per status per
-task.  Segment-level reports collapse loans per account first.
+task; segment-level ones join it to the account dimension, bucketed alike.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import count_long, money, pct, safe_div
+from ..functions.columns import mean2, money, pct
 from ..plans import chain
 from ..sources.lookups import STATUS_OVERDUE
 
@@ -82,13 +83,14 @@ def loan_transaction_summary(book, limit: int | None = None) -> DataFrame:
     loans = chain.loans_with_status(book).select("AccountID", "LoanID", "PrincipalAmount", "LoanStatus")
     acct = chain.account_dim(book).join(chain.tx_per_account(book), "AccountID", "left")
 
-    def per_loan(rows: DataFrame) -> DataFrame:
-        return rows.groupBy(*keys).agg(
+    def per_loan(rows: DataFrame, more: list[str]) -> DataFrame:
+        return rows.groupBy(*keys, *more).agg(
             F.sum(F.coalesce(F.col("tx_ids"), F.lit(0))).cast("long").alias("TotalTransactions"),
             money(F.sum("tx_volume")).alias("TotalTransactionVolume"),
         )
 
-    out = chain.join_accounts(book, loans, acct, then=per_loan).select(
+    out = chain.join_accounts(book, loans, acct, then=per_loan,
+                              spread_by=["LoanID", "PrincipalAmount", "LoanStatus"]).select(
         "CustomerID", "CustomerName", "CustomerType", "AccountID",
         F.col("Balance").alias("AccountBalance"), "LoanID", "PrincipalAmount", "LoanStatus",
         "TotalTransactions", "TotalTransactionVolume",
@@ -113,20 +115,24 @@ def accounts_without_loans(book, limit: int | None = None) -> DataFrame:
 # -- stage 4: exposure ---------------------------------------------------------
 
 def _by_status(book, *aggs) -> DataFrame:
-    return chain.loans_with_status(book).groupBy("LoanStatus").agg(*aggs)
+    return chain.rollup_with_status(book).groupBy("LoanStatus").agg(*aggs)
 
 
-def _yield():
-    return F.sum(F.col("PrincipalAmount") * F.col("InterestRate"))
+def _count():
+    return F.sum("ids")
+
+
+def _rate_pct():
+    return mean2(F.sum("r") * 100, F.sum("rn"))
 
 
 def exposure_by_status(book) -> DataFrame:
     """Q25."""
     return _by_status(
         book,
-        count_long("LoanID").alias("TotalLoans"),
-        money(F.sum("PrincipalAmount")).alias("TotalPrincipal"),
-        money(F.avg("PrincipalAmount")).alias("AvgLoanSize"),
+        _count().alias("TotalLoans"),
+        money(F.sum("p")).alias("TotalPrincipal"),
+        mean2(F.sum("p"), F.sum("pn")).alias("AvgLoanSize"),
     ).orderBy(F.col("TotalPrincipal").desc_nulls_last())
 
 
@@ -134,9 +140,9 @@ def yield_by_status(book) -> DataFrame:
     """Q26."""
     return _by_status(
         book,
-        money(F.sum("PrincipalAmount")).alias("TotalPrincipal"),
-        money(_yield()).alias("ExpectedYield"),
-        money(F.avg(F.col("InterestRate") * 100)).alias("AvgInterestRate_Pct"),
+        money(F.sum("p")).alias("TotalPrincipal"),
+        money(F.sum("pr")).alias("ExpectedYield"),
+        _rate_pct().alias("AvgInterestRate_Pct"),
     ).orderBy(F.col("ExpectedYield").desc_nulls_last())
 
 
@@ -145,9 +151,9 @@ def _health(book, count_name: str) -> DataFrame:
     share is a window over the few aggregated rows, never over loans."""
     agg = _by_status(
         book,
-        count_long("LoanID").alias(count_name),
-        money(F.sum("PrincipalAmount")).alias("TotalPrincipal"),
-        money(_yield()).alias("ExpectedYield"),
+        _count().alias(count_name),
+        money(F.sum("p")).alias("TotalPrincipal"),
+        money(F.sum("pr")).alias("ExpectedYield"),
     )
     total = F.sum(count_name).over(Window.partitionBy())
     return agg.withColumn("PctOfPortfolio", pct(F.col(count_name), total))
@@ -160,29 +166,22 @@ def portfolio_scorecard(book) -> DataFrame:
 
 def exposure_by_segment(book) -> DataFrame:
     """Q28: loans (any status) per customer type."""
-    per_acct = chain.loans_per_account(book.loans, [
-        F.count("LoanID").alias("n"),
-        F.sum("PrincipalAmount").alias("p"),
-        F.sum(F.col("PrincipalAmount") * F.col("InterestRate")).alias("y"),
-        F.sum(F.col("InterestRate") * 100).alias("r"),
-        F.count("InterestRate").alias("rn"),
-    ])
-    seg = per_acct.join(chain.account_dim(book), "AccountID").groupBy("CustomerType").agg(
-        F.sum("n").cast("long").alias("TotalLoans"),
+    seg = book.loan_rollup.join(chain.account_dim(book), "AccountID").groupBy("CustomerType").agg(
+        _count().alias("TotalLoans"),
         money(F.sum("p")).alias("TotalExposure"),
-        money(F.sum("y")).alias("ExpectedYield"),
-        money(safe_div(F.sum("r"), F.sum("rn"))).alias("AvgInterestRate_Pct"),
+        money(F.sum("pr")).alias("ExpectedYield"),
+        _rate_pct().alias("AvgInterestRate_Pct"),
     )
     return seg.orderBy(F.col("TotalExposure").desc_nulls_last())
 
 
 def overdue_exposure(book) -> DataFrame:
     """Q29: one row over overdue loans."""
-    return chain.loans_with_status(book, only=STATUS_OVERDUE).agg(
-        money(F.sum("PrincipalAmount")).alias("OverduePrincipal"),
-        money(_yield()).alias("OverdueExpectedYield"),
-        count_long("LoanID").alias("OverdueLoanCount"),
-        money(F.avg(F.col("InterestRate") * 100)).alias("AvgOverdueRate_Pct"),
+    return chain.rollup_with_status(book, only=STATUS_OVERDUE).agg(
+        money(F.sum("p")).alias("OverduePrincipal"),
+        money(F.sum("pr")).alias("OverdueExpectedYield"),
+        F.coalesce(_count(), F.lit(0)).alias("OverdueLoanCount"),
+        _rate_pct().alias("AvgOverdueRate_Pct"),
     )
 
 

@@ -19,11 +19,9 @@ TOP_BRANCHES = 20
 
 def _segment_counts(book) -> DataFrame:
     """Per customer type: loans (with a known status) and overdue loans."""
-    per_acct = chain.loans_per_account(chain.loans_with_status(book), [
-        F.count("LoanID").alias("_n"),
-        F.sum(chain.overdue_flag()).alias("_o"),
-    ])
-    return per_acct.join(chain.account_dim(book), "AccountID").groupBy("CustomerType").agg(
+    counted = chain.rollup_with_status(book).select(
+        "AccountID", F.col("ids").alias("_n"), (chain.overdue_flag() * F.col("rows")).alias("_o"))
+    return counted.join(chain.account_dim(book), "AccountID").groupBy("CustomerType").agg(
         F.sum("_n").cast("long").alias("TotalLoans"),
         F.sum("_o").cast("long").alias("OverdueLoans"),
     )
@@ -76,10 +74,8 @@ def branch_default_rank(book, n: int | None = TOP_BRANCHES) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("_t"))
         .join(book.accounts.select("AccountID"), "AccountID", "left_semi")
     )
-    loans = chain.loans_per_account(chain.loans_with_status(book), [
-        F.count("LoanID").alias("_l"),
-        F.sum(chain.overdue_flag()).alias("_o"),
-    ])
+    loans = chain.rollup_per_account(chain.rollup_with_status(book), _l="ids",
+                                     _o=chain.overdue_flag() * F.col("rows"))
     pairs = tx.join(loans, "AccountID").groupBy("BranchID").agg(
         F.sum(F.col("_t") * F.col("_l")).cast("long").alias("TotalLoans"),
         F.sum(F.col("_t") * F.col("_o")).cast("long").alias("OverdueLoans"),

@@ -1,7 +1,8 @@
 """Interest-rate scenarios (stage 8b).
 
-All scenarios of a report come out of one aggregate pass over loans, each
-loan named by its status in the scan stage.  Rate shifts are
+All scenarios of a report come out of one aggregate pass over the loan
+rollup, statuses named in the scan stage: the yield at a shifted rate is the
+yield plus the shift times the principal that has a rate.  Rate shifts are
 exact decimals: a shift is rounded to 4 places as DECIMAL(5,4), and an
 out-of-range shift raises (ANSI cast).
 """
@@ -13,7 +14,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import count_long, money
+from ..functions.columns import money
 from ..plans import chain
 from ..sources.lookups import STATUS_OVERDUE
 from ..sources.schemas import RATE
@@ -23,30 +24,25 @@ SHIFTS = {"Plus1Pct": Decimal("0.01"), "Plus2Pct": Decimal("0.02"),
           "Minus1Pct": Decimal("-0.01"), "Minus2Pct": Decimal("-0.02")}
 # ---------------------------------------------------------------------------
 
-def _p() -> Column:
-    return F.col("PrincipalAmount")
-
-
 def _yield_at(shift: Decimal | Column | None = None) -> Column:
-    p, r = _p(), F.col("InterestRate")
     if shift is None:
-        return F.sum(p * r)
+        return F.sum("pr")
     s = shift if isinstance(shift, Column) else F.lit(shift)
-    return F.sum(p * (r + s))
+    return F.sum("pr") + F.sum("p_rated") * s
 
 
 def baseline_yield(book) -> DataFrame:
     """Q53."""
-    return chain.loans_with_status(book).groupBy("LoanStatus").agg(
-        count_long("LoanID").alias("TotalLoans"),
-        money(F.sum(_p())).alias("TotalPrincipal"),
+    return chain.rollup_with_status(book).groupBy("LoanStatus").agg(
+        F.sum("ids").alias("TotalLoans"),
+        money(F.sum("p")).alias("TotalPrincipal"),
         money(_yield_at()).alias("CurrentYield"),
     ).orderBy(F.col("TotalPrincipal").desc_nulls_last())
 
 
 def rate_scenarios(book) -> DataFrame:
     """Q54: yield at the current rate and at each shift."""
-    return chain.loans_with_status(book).groupBy("LoanStatus").agg(
+    return chain.rollup_with_status(book).groupBy("LoanStatus").agg(
         money(_yield_at()).alias("CurrentYield"),
         money(_yield_at(SHIFTS["Minus1Pct"])).alias("Yield_Minus1Pct"),
         money(_yield_at(SHIFTS["Minus2Pct"])).alias("Yield_Minus2Pct"),
@@ -58,7 +54,7 @@ def rate_scenarios(book) -> DataFrame:
 def rate_deltas(book) -> DataFrame:
     """Q55: scenario minus current yield, rounded once after subtracting."""
     cur = _yield_at()
-    return chain.loans_with_status(book).groupBy("LoanStatus").agg(
+    return chain.rollup_with_status(book).groupBy("LoanStatus").agg(
         money(cur).alias("CurrentYield"),
         *[money(_yield_at(SHIFTS[k]) - cur).alias(f"Delta_{k}")
           for k in ("Plus1Pct", "Plus2Pct", "Minus1Pct", "Minus2Pct")],
@@ -67,8 +63,8 @@ def rate_deltas(book) -> DataFrame:
 
 def overdue_ecl(book) -> DataFrame:
     """Q56: one row over overdue loans (no default-probability factor)."""
-    return chain.loans_with_status(book, only=STATUS_OVERDUE).agg(
-        money(F.sum(_p())).alias("OverduePrincipal"),
+    return chain.rollup_with_status(book, only=STATUS_OVERDUE).agg(
+        money(F.sum("p")).alias("OverduePrincipal"),
         money(_yield_at()).alias("ECL_CurrentRate"),
         *[money(_yield_at(SHIFTS[k])).alias(f"ECL_{k}")
           for k in ("Plus1Pct", "Plus2Pct", "Minus1Pct", "Minus2Pct")],
@@ -84,9 +80,9 @@ def what_if(book, rate_shift) -> DataFrame:
     """Q57: the portfolio at a shifted rate."""
     s = rate_shift_literal(rate_shift)
     cur, sim = _yield_at(), _yield_at(s)
-    return chain.loans_with_status(book).groupBy("LoanStatus").agg(
-        count_long("LoanID").alias("TotalLoans"),
-        money(F.sum(_p())).alias("TotalPrincipal"),
+    return chain.rollup_with_status(book).groupBy("LoanStatus").agg(
+        F.sum("ids").alias("TotalLoans"),
+        money(F.sum("p")).alias("TotalPrincipal"),
         money(cur).alias("CurrentYield"),
         money(sim).alias("SimulatedYield"),
         money(sim - cur).alias("YieldDelta"),

@@ -14,7 +14,9 @@ distinct counts.  The fan-out itself is never built:
 * per customer: sums of both.  Grouping by the loan id first spreads a
   customer holding many loans over all tasks.
 
-One customer's call first keeps the loans of that customer's accounts.
+One customer's call looks the customer's accounts up in the accounts layout
+and reads the loan files, account buckets and transaction buckets that hold
+them; a customer with very many accounts is answered by semi joins.
 """
 
 from __future__ import annotations
@@ -36,20 +38,25 @@ OVERDUE_POINTS = 30
 
 def credit_health_score(book, customer_id: int | None = None) -> DataFrame:
     """Q51 (``customer_id`` keeps one customer, as the stored call did)."""
+    own = None if customer_id is None else book.accounts_of(customer_id)
     acct = chain.account_dim(book).select("AccountID", "CustomerID")
     who = chain.customer_dim(book).select("CustomerID", "CustomerName", "CustomerType")
     tx = chain.tx_per_account(book).select("AccountID", "tx_rows", "tx_ids")
-    loans = chain.loans_with_status(book).select(
+    loans = chain.loans_with_status(book, rows=None if own is None else book.loans_of(own)).select(
         "AccountID", "LoanID",
         chain.paid_off_flag().alias("_paid"), chain.overdue_flag().alias("_over"),
     )
     if customer_id is not None:
         acct = acct.filter(F.col("CustomerID") == customer_id)
         who = who.filter(F.col("CustomerID") == customer_id)
-        own = acct.select("AccountID").distinct()
-        loans, tx = loans.join(own, "AccountID", "left_semi"), tx.join(own, "AccountID", "left_semi")
+        if own is None:
+            keys = acct.select("AccountID").distinct()
+            loans, tx = loans.join(keys, "AccountID", "left_semi"), tx.join(keys, "AccountID", "left_semi")
+        else:
+            acct, tx = (df.filter(F.col("AccountID").isin(own)) for df in (acct, tx))
 
-    rows = chain.join_accounts(book, loans, acct.join(tx, "AccountID", "left"))
+    acct = acct.join(tx, "AccountID", "left")
+    rows = chain.join_accounts(book, loans, acct) if own is None else loans.join(acct, "AccountID")
     weight = F.greatest(F.coalesce(F.col("tx_rows"), F.lit(0)), F.lit(1))
     by_loan = (F.grouping_id() == 1)                     # (customer, loan id); else (customer, account)
     sets = rows.select("CustomerID", "LoanID", "AccountID", "tx_ids", (F.col("_paid") * weight).alias("_paid"),

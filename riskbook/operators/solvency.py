@@ -1,7 +1,7 @@
 """Solvency: debt, assets, liquidity gap, debt-to-asset ratio, red flags
 (stage 5 and the red-flag views of stage 8a).
 
-Loans collapse to one row per account first.  Assets are the SUM of
+Debts come from the loan rollup, added up to one row per account.  Assets are the SUM of
 DISTINCT balances over the accounts that carry a counted loan, so two
 accounts with an equal balance count once, and accounts without loans
 are not seen (unlike ``assets_per_customer``).  The ratio guards a zero
@@ -30,10 +30,10 @@ def _top(df: DataFrame, by: str, n: int | None) -> DataFrame:
     return out if n is None else out.limit(n)
 
 
-def _debt_and_assets(book, loans: DataFrame) -> DataFrame:
+def _debt_and_assets(book, rollup: DataFrame) -> DataFrame:
     """Per customer: debt (SUM principal) and assets (SUM DISTINCT balance
     of the accounts those loans sit on), both unrounded."""
-    per_acct = chain.loans_per_account(loans, [F.sum("PrincipalAmount").alias("_debt")])
+    per_acct = chain.rollup_per_account(rollup, _debt="p")
     return _named(book, _accounts(book, per_acct).groupBy("CustomerID").agg(
         F.sum("_debt").alias("_debt"),
         F.sum_distinct("Balance").alias("_assets"),
@@ -56,7 +56,7 @@ def _dar(debt: Column, assets: Column) -> Column:
 
 def debt_per_customer(book, n: int | None = TOP_N) -> DataFrame:
     """Q30: loans of any status, top customers by debt."""
-    per_acct = chain.loans_per_account(book.loans, [F.sum("PrincipalAmount").alias("_debt")])
+    per_acct = chain.rollup_per_account(book.loan_rollup, _debt="p")
     out = _named(book, _accounts(book, per_acct).groupBy("CustomerID").agg(
         money(F.sum("_debt")).alias("TotalLoanDebt")
     )).select(*_CUST, "TotalLoanDebt")
@@ -75,7 +75,7 @@ def assets_per_customer(book, n: int | None = TOP_N) -> DataFrame:
 
 def liquidity_gap(book, n: int | None = TOP_N) -> DataFrame:
     """Q32."""
-    d = _debt_and_assets(book, book.loans)
+    d = _debt_and_assets(book, book.loan_rollup)
     out = d.select(
         *_CUST,
         money(F.col("_debt")).alias("TotalLoanDebt"),
@@ -87,7 +87,7 @@ def liquidity_gap(book, n: int | None = TOP_N) -> DataFrame:
 
 def debt_to_asset_ratio(book, n: int | None = TOP_N) -> DataFrame:
     """Q33: DAR to 4 places, NULL ratios last."""
-    d = _debt_and_assets(book, book.loans)
+    d = _debt_and_assets(book, book.loan_rollup)
     out = d.select(
         *_CUST,
         money(F.col("_debt")).alias("TotalLoanDebt"),
@@ -99,7 +99,7 @@ def debt_to_asset_ratio(book, n: int | None = TOP_N) -> DataFrame:
 
 def red_flag_list(book) -> DataFrame:
     """Q34: overdue loans only; the rounded DAR must exceed 1."""
-    overdue = chain.loans_with_status(book, only=STATUS_OVERDUE)
+    overdue = chain.rollup_with_status(book, only=STATUS_OVERDUE)
     d = _debt_and_assets(book, overdue)
     out = d.select(
         *_CUST,

@@ -1,11 +1,15 @@
 """The customer -> account -> loan chain, shaped for scale.
 
-Loans are the largest table, so aggregate queries first collapse loans to
-one row per account (a partial aggregate before the shuffle, which also
-absorbs a hot account), and only then join the account dimension (one row
-per account, bucketed on AccountID in a prepared Book).  Row-level reports
-join loans to that dimension with ``join_accounts``, which sends the rows
-of hot accounts through a broadcast slice of the dimension (``skew.py``).
+Loans are the largest table, so aggregate queries collapse them per account
+before any join (a partial aggregate before the shuffle also absorbs a hot
+account), and only then join the account dimension (one row per account,
+bucketed on AccountID in a prepared Book).  Row-level reports
+join loans to that dimension with ``join_accounts``, which spreads the rows
+of hot accounts over tasks by a salt (``skew.py``).
+
+Reports on exposure, debt, rates and yields read the loan rollup instead of
+loans: additive sums per (account, status), from which every such figure
+follows exactly.
 
 Inner joins drop rows whose key finds no partner, as in the chained joins
 of the analysis: a customer with an unknown type code, an account with an
@@ -22,7 +26,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import full_name
 from ..sources import schemas
 from ..sources.lookups import STATUS_OVERDUE, STATUS_PAID_OFF
-from .skew import split_join
+from .skew import salted_join
 
 
 def with_code(book, df: DataFrame, table: str, key: str, out: str, only: str | None = None) -> DataFrame:
@@ -83,12 +87,12 @@ def build_account_customers(book) -> DataFrame:
     """Accounts joined to customers with a known type (account scale).
 
     Customers holding very many accounts (or one orphan id shared by many)
-    join a broadcast slice of the customer dimension, like hot accounts do
-    for loans; the hot customer ids are found when a prepared Book is built.
+    are spread by a salt, like hot accounts are for loans; the hot customer
+    ids are found when a prepared Book is built.
     """
     a = book.accounts.select("AccountID", "CustomerID", "Balance", "AccountTypeID", "AccountStatusID")
     hot = book.hot_keys("accounts.CustomerID")
-    return split_join(a, customer_dim(book), "CustomerID", hot).select(*ACCOUNT_DIM_COLUMNS)
+    return salted_join(a, customer_dim(book), "CustomerID", hot).select(*ACCOUNT_DIM_COLUMNS)
 
 
 def account_dim(book, extra: Sequence[str] = ()) -> DataFrame:
@@ -98,9 +102,10 @@ def account_dim(book, extra: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def loans_with_status(book, only: str | None = None) -> DataFrame:
-    """Loans with a known status: + LoanStatus (``only`` keeps one status)."""
-    return with_code(book, book.loans, "loan_statuses", "LoanStatusID", "LoanStatus", only)
+def loans_with_status(book, only: str | None = None, rows: DataFrame | None = None) -> DataFrame:
+    """Loans (``rows`` of them, if given) with a known status: + LoanStatus
+    (``only`` keeps one status)."""
+    return with_code(book, book.loans if rows is None else rows, "loan_statuses", "LoanStatusID", "LoanStatus", only)
 
 
 def is_status(name: str) -> Column:
@@ -115,22 +120,39 @@ def paid_off_flag() -> Column:
     return is_status(STATUS_PAID_OFF)
 
 
-def join_accounts(book, loans: DataFrame, dim: DataFrame, how: str = "inner", then=None) -> DataFrame:
-    """Loan rows joined to a one-row-per-account dimension; the rows of hot
-    accounts (found at load) join a broadcast slice of it.  ``then`` is an
-    aggregate grouped by AccountID (among others), applied per part."""
-    return split_join(loans, dim, "AccountID", book.hot_keys("loans.AccountID"), how, then)
+def join_accounts(book, loans: DataFrame, dim: DataFrame, how: str = "inner", then=None,
+                  spread_by: Sequence[str] = ()) -> DataFrame:
+    """Loan rows joined to a one-row-per-account dimension, the rows of hot
+    accounts (found at load) spread by a salt; ``then`` and ``spread_by`` as
+    in ``salted_join``."""
+    return salted_join(loans, dim, "AccountID", book.hot_keys("loans.AccountID"), how, then, spread_by)
 
 
-def loan_accounts(book) -> DataFrame:
-    """Distinct AccountIDs that carry a loan (a partial aggregate first, so
-    a hot account is one row per task before the shuffle)."""
-    return book.loans.select("AccountID").distinct()
+def build_loan_rollup(book) -> DataFrame:
+    """Additive sums of loans per (account, status), NULLs being groups too:
+    rows and loan ids, principal (sum, count), rate (sum, count), principal x
+    rate, and the principal that has a rate (for shifted rates)."""
+    p, r = F.col("PrincipalAmount"), F.col("InterestRate")
+    return book.loans.groupBy("AccountID", "LoanStatusID").agg(
+        F.count(F.lit(1)).alias("rows"), F.count("LoanID").alias("ids"),
+        F.sum(p).alias("p"), F.count(p).alias("pn"), F.sum(r).alias("r"), F.count(r).alias("rn"),
+        F.sum(p * r).alias("pr"), F.sum(F.when(r.isNotNull(), p)).alias("p_rated"),
+    )
+
 
+def rollup_with_status(book, only: str | None = None) -> DataFrame:
+    """The loan rollup for known statuses: + LoanStatus (``only`` keeps one)."""
+    return with_code(book, book.loan_rollup, "loan_statuses", "LoanStatusID", "LoanStatus", only)
 
-def loans_per_account(loans: DataFrame, aggs: Sequence[Column]) -> DataFrame:
-    """Collapse loans to one row per AccountID before any join."""
-    return loans.groupBy("AccountID").agg(*aggs)
+
+def rollup_per_account(rollup: DataFrame, **sums: str | Column) -> DataFrame:
+    """The rollup added up to one row per AccountID: ``name=column``."""
+    return rollup.groupBy("AccountID").agg(*[F.sum(c).alias(name) for name, c in sums.items()])
+
+
+def loan_accounts(book) -> DataFrame:
+    """Distinct AccountIDs that carry a loan, from the rollup."""
+    return book.loan_rollup.select("AccountID").distinct()
 
 
 def aggregate_tx(book) -> DataFrame:

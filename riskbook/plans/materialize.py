@@ -17,6 +17,7 @@ import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import scratch_path, shuffle_partitions
 
@@ -45,12 +46,22 @@ class Store:
 
     def layout(self, df: DataFrame, table: str, directories: Sequence[str], keys: Sequence[str]) -> DataFrame:
         """Directories for low-cardinality columns, and files that each hold
-        one range of the composite ``keys``: filters on the first key skip
-        files, and a key that holds a third of the rows spans several ranges
-        through the next one."""
-        spread = df.repartitionByRange(shuffle_partitions(self.spark), *keys)
-        writer = spread.sortWithinPartitions(*directories, *keys).write
+        one range of ``directories`` and ``keys`` together: filters on the
+        first key skip files, a key or directory that holds a third of the
+        rows spans several ranges, and there are at most as many files as
+        partitions and directories together."""
+        columns = [*directories, *keys]
+        spread = df.repartitionByRange(shuffle_partitions(self.spark), *columns)
+        writer = spread.sortWithinPartitions(*columns).write
         return self._save(writer.partitionBy(*directories) if directories else writer, table, df.columns)
 
+    def file_ranges(self, table: str, key: str) -> DataFrame:
+        """``file``, ``lo``, ``hi``: the range of ``key`` in each file of a
+        written table, kept as ``<table>_files``.  A filter on
+        ``_metadata.file_path`` then leaves the other files unopened."""
+        ranges = self.spark.table(f"{self.name}.{table}").groupBy(F.col("_metadata.file_path").alias("file")).agg(
+            F.min(key).alias("lo"), F.max(key).alias("hi"))
+        return self.plain(ranges, f"{table}_files")
+
     def drop(self) -> None:
         self.spark.sql(f"DROP DATABASE IF EXISTS {self.name} CASCADE")

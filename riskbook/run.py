@@ -35,12 +35,13 @@ def register_views(book: Book, database: str | None = None) -> list[str]:
     """
     if database is not None:
         lasting = book.prepared(database)
-        lasting.loans, lasting.transactions_clean, lasting.customers_final  # noqa: B018 - written by name
+        lasting.loans, lasting.transactions_clean, lasting.customers_final, lasting.loan_rollup  # noqa: B018 - written by name
         for name in ("customers", "accounts", "branches"):
             lasting.store.plain(getattr(book, name), name)
         for name, df in book.codes.items():
             lasting.store.plain(df, name)
-        names = ["customers", "accounts", "branches", *book.codes, "loans", "transactions_clean", "customers_final"]
+        names = ["customers", "accounts", "branches", *book.codes, "loans", "transactions_clean", "customers_final",
+                 "loan_rollup"]
         return [f"{database}.{n}" for n in names] + create_views(book.spark, database)
     tables = {
         "customers": book.customers, "accounts": book.accounts, "loans": book.loans,

@@ -4,7 +4,8 @@ Facts (loans, transactions) may hold repeated rows; parents (customers,
 accounts, branches and the code tables) are keyed by their id
 (``repeated_parent_keys`` lists violations).  Derived snapshot tables (the
 de-duplicated transactions, the cleaned customers, the account-customer
-dimension, the transactions per account) are built once per Book.
+dimension, the transactions per account, the loan rollup) are built once per
+Book.
 
 ``prepared()`` gives the Book a store: a table with a layout or a snapshot is
 written there the first time a report asks for it, so only what the chosen
@@ -35,6 +36,8 @@ LAYOUTS = {
     "customers_final": (["CustomerTypeID"], ["CustomerID"]),
     "accounts": ([], ["CustomerID", "AccountID"]),
 }
+# A one-customer call looks up at most so many accounts and files by name.
+MOST_IDS, MOST_FILES = 1000, 10_000
 CODE_TABLES = ("customer_types", "account_types", "account_statuses", "loan_statuses", "transaction_types")
 
 
@@ -125,8 +128,8 @@ class Book:
     def load(self) -> "Book":
         """Write every table now (each is otherwise written at first use)."""
         self.loans, self.transactions_by_month, self.customers_final  # noqa: B018
-        self.account_customers, self.tx_accounts  # noqa: B018
-        for name in ("accounts.CustomerID", "loans.AccountID", "transactions.AccountOriginID"):
+        self.account_customers, self.tx_accounts, self.loan_rollup  # noqa: B018
+        for name in ("accounts.CustomerID", "loans.AccountID", "transactions.AccountOriginID", "transactions.BranchID"):
             self.hot_keys(name)
         self.branch_dim()
         return self
@@ -145,7 +148,8 @@ class Book:
         if name not in self.hot and self.store is not None:
             table, key = name.split(".")
             df = self.transactions_clean if table == "transactions" else getattr(self, table)
-            self.hot[name] = find_hot_keys(df.select(key), key, self.hot_key_rows, self.store)
+            self.hot[name] = find_hot_keys(df.select(key), key, self.hot_key_rows, self.store,
+                                            name.replace(".", "_"))
         return self.hot.get(name)
 
     def find_hot_keys(self) -> "Book":
@@ -217,6 +221,29 @@ class Book:
         hold ranges of (account, loan)."""
         return self._snapshot("loans", lambda: self.raw_loans, lambda d: self._layout("loans", d))
 
+    def accounts_of(self, customer_id: int, most: int = MOST_IDS) -> list[int] | None:
+        """The accounts of one customer, from the accounts layout (files hold
+        ranges of customers); None if there are more than ``most``, or if this
+        Book has no layout to look them up in."""
+        if self.store is None:
+            return None
+        found = (self.clustered("accounts").filter(F.col("CustomerID") == customer_id)
+                 .filter(F.col("AccountID").isNotNull()).select("AccountID").distinct().limit(most + 1).collect())
+        return None if len(found) > most else [r["AccountID"] for r in found]
+
+    def loans_of(self, accounts: list[int], most: int = MOST_FILES) -> DataFrame:
+        """Loans of a few accounts.  A prepared Book opens only the files whose
+        range of accounts holds one of them (all files if those are more than
+        ``most``; the filter on the account then skips by file statistics)."""
+        own = self.loans.filter(F.col("AccountID").isin(accounts))
+        if self.store is None:
+            return own
+        files = self._snapshot("loans_files", lambda: self.loans, lambda d: self.store.file_ranges("loans", "AccountID"))
+        ids = F.array(*[F.lit(a) for a in accounts]) if accounts else F.expr("cast(array() as array<int>)")
+        hit = files.filter(F.exists(ids, lambda a: (F.col("lo") <= a) & (a <= F.col("hi")))).select("file")
+        names = [r["file"] for r in hit.limit(most + 1).collect()]
+        return own if len(names) > most else own.filter(F.col("_metadata.file_path").isin(names))
+
     @property
     def transactions_by_month(self) -> DataFrame:
         """The de-duplicated transactions with their month (``TxMonth``); in
@@ -241,6 +268,15 @@ class Book:
         return self._snapshot("tx_accounts", lambda: aggregate_tx(self),
                               lambda d: self.store.bucketed(d, "tx_accounts", "AccountID"))
 
+    @property
+    def loan_rollup(self) -> DataFrame:
+        """Loans added up per (account, status), bucketed like the account
+        dimension: what the exposure, solvency, ranking and rate reports read."""
+        from ..plans.chain import build_loan_rollup
+
+        return self._snapshot("loan_rollup", lambda: build_loan_rollup(self),
+                              lambda d: self.store.bucketed(d, "loan_rollup", "AccountID"))
+
     @property
     def customers_final(self) -> DataFrame:
         from ..operators.quality import clean_customers

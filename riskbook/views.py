@@ -17,10 +17,8 @@ def _round(x: str, places: int = 2) -> str:
 def view_sql(db: str) -> dict[str, str]:
     """The text of each view over the tables of ``db``."""
     per_account = f"""
-        SELECT a.CustomerID, a.Balance, s.StatusName AS LoanStatus, l.ids, l.loans, l.principal
-        FROM (SELECT AccountID, LoanStatusID, count(LoanID) AS ids, count(*) AS loans,
-                     sum(PrincipalAmount) AS principal
-              FROM {db}.loans GROUP BY AccountID, LoanStatusID) l
+        SELECT a.CustomerID, a.Balance, s.StatusName AS LoanStatus, l.ids, l.`rows` AS loans, l.p AS principal
+        FROM {db}.loan_rollup l
         JOIN {db}.loan_statuses s ON s.LoanStatusID = l.LoanStatusID
         JOIN {db}.accounts a ON a.AccountID = l.AccountID"""
     segments = f"""
@@ -35,10 +33,9 @@ def view_sql(db: str) -> dict[str, str]:
         "vw_PortfolioHealth": f"""
         SELECT LoanStatus, TotalLoans, TotalPrincipal, ExpectedYield,
                {_round('TotalLoans * 100.0 / nullif(sum(TotalLoans) OVER (), 0)')} AS PctOfPortfolio
-        FROM (SELECT s.StatusName AS LoanStatus, count(l.LoanID) AS TotalLoans,
-                     {_round('sum(l.PrincipalAmount)')} AS TotalPrincipal,
-                     {_round('sum(l.PrincipalAmount * l.InterestRate)')} AS ExpectedYield
-              FROM {db}.loans l JOIN {db}.loan_statuses s ON s.LoanStatusID = l.LoanStatusID
+        FROM (SELECT s.StatusName AS LoanStatus, sum(l.ids) AS TotalLoans,
+                     {_round('sum(l.p)')} AS TotalPrincipal, {_round('sum(l.pr)')} AS ExpectedYield
+              FROM {db}.loan_rollup l JOIN {db}.loan_statuses s ON s.LoanStatusID = l.LoanStatusID
               GROUP BY s.StatusName)""",
         "vw_RedFlagCustomers": f"""
         SELECT CustomerID, CustomerName, CustomerType, {_round('debt')} AS TotalLoanDebt,
