@@ -5,9 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.skew import find_hot_keys, salted_join
 from .common import written
 
 
+def _with_least(edges: DataFrame, node: str, least: DataFrame) -> DataFrame:
+    """Every edge with ``m``, the smallest node next to its ``node`` (NULL if
+    ``least`` has none); a node with very many edges is spread over tasks."""
+    return salted_join(edges, least.withColumnRenamed("of", node), node, find_hot_keys(edges.select(node), node), "left")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node``, ``root`` (the smallest node of its component) for every node
     of ``edges`` (long columns ``a``, ``b``).
@@ -15,23 +22,20 @@ def components(edges: DataFrame) -> DataFrame:
     Each round hangs the larger neighbours of a node under its smallest one
     (large star), then the smaller ones (small star); rounds grow with the
     logarithm of the longest path.  A node's smallest neighbour comes from a
-    pre-aggregated groupBy and is joined back, so a node with very many
-    neighbours is never gathered into one task.  Every round is written to
-    the shared folder, so a lost executor costs a task and no round.
+    pre-aggregated groupBy and is joined back with the edges of a node that
+    has very many spread over tasks.  Every round is written to the shared
+    folder, so a lost executor costs a task and no round.
     """
     now = written(edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
                   .filter("hi != lo").distinct(), "edges")
     while True:
-        both = now.unionByName(now.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
-        least = both.groupBy("hi").agg(F.min("lo").alias("m")).select(
-            F.col("hi").alias("of"), F.least("hi", "m").alias("m"))
-        large = both.join(least, both["hi"] == least["of"]).filter("lo > hi").select(
-            F.col("lo").alias("hi"), F.col("m").alias("lo")).filter("hi != lo").distinct()
-        low = large.groupBy("hi").agg(F.min("lo").alias("m")).withColumnRenamed("hi", "of")
-        small = large.join(low, large["hi"] == low["of"]).select(
-            F.explode(F.array(F.struct(F.col("hi").alias("hi"), F.col("m").alias("lo")),
-                              F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("e")).select("e.*")
-        after = written(small.filter("hi != lo").distinct(), "edges")
+        least = now.groupBy(F.col("hi").alias("of")).agg(F.min("lo").alias("m"))
+        # an edge's lower end passes the upper one on to its own smallest neighbour, if it has a smaller one
+        large = written(_with_least(now, "lo", least).select("hi", F.coalesce("m", "lo").alias("lo")).distinct(), "edges")
+        low = large.groupBy(F.col("hi").alias("of")).agg(F.min("lo").alias("m"))
+        small = (_with_least(large, "hi", low).filter("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+                 .unionByName(low.select(F.col("of").alias("hi"), F.col("m").alias("lo"))))
+        after = written(small.distinct(), "edges")
         stats = after.agg(F.count("*").alias("n"), F.countDistinct("hi").alias("nodes")).first()
         roots = after.join(after.select(F.col("hi").alias("lo")).distinct(), "lo", "left_semi").limit(1).count()
         if stats["n"] == stats["nodes"] and not roots:

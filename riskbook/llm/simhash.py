@@ -1,17 +1,23 @@
 """SimHash near-duplicates by multi-index hashing.
 
-A fingerprint is cut into segments.  For every segment the small Hamming ball
-around its value is enumerated, and each ball value, together with the other
-segments, is a key of that segment's table.  Keeping the other segments in
-the key is what makes a large group of near copies affordable: the members of
-one table entry differ from its key by one bit at most, so an entry holds at
-most 65 distinct fingerprints and its members are linked by a star instead of
-by all pairs.  Two fingerprints at 1 or 2 bits always meet: flip one of the
-differing bits of the first, and the other of the second, and both arrive at
-the same key.  Each fetched match is verified on its complete distance.
-
-Equal texts meet in one fingerprint before anything is enumerated, so a
-group of copies holding a third of all rows is one row per task.
+A 64-bit fingerprint is cut into two segments, and there is a table per segment
+of the fingerprints under each segment value.  Two fingerprints with 2 differing
+bits or fewer differ in one bit at most of some segment.  So each fingerprint
+enumerates the Hamming ball of radius 1 around its segment values (only the
+values with a bit cleared: of two values a bit apart, one has that bit more),
+fetches what the tables hold under them, and verifies the complete distance.
+
+A table entry with many fingerprints (near copies that agree in 32 bits) would
+need all pairs of them.  It is refined by the other segment instead: the
+fingerprints that meet such an entry are keyed by a segment's ball value
+together with the whole other segment.  Members of such a fine entry differ
+from its key by one bit, so it holds 65 fingerprints at most and a star links
+it; two of them within 2 bits always share one.  Nothing is dropped: a pair
+whose common entry is large is among the refined fingerprints with both ends.
+
+Equal texts meet in one fingerprint before anything is enumerated, so a group
+of copies holding a third of all rows is one row per task; rows get their
+component back by a join that spreads such a fingerprint over tasks.
 """
 
 from __future__ import annotations
@@ -24,11 +30,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.skew import find_hot_keys, salted_join
+from ..session import shuffle_partitions
 from .common import id_text, slices, texts, written
 from .graph import components
 
 SEED = 42
 BITS = 64
+_SEGMENTS, _WIDTH = 2, 32
 
 # The eight bits of each byte spread over eight byte lanes, for counting.
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
@@ -76,30 +85,82 @@ def fingerprint_rows(docs: DataFrame, shingle: int, *more: str) -> DataFrame:
     return id_text(docs, *more).mapInArrow(run, "doc_id long, fp long" + "".join(f", {c} long" for c in more))
 
 
-def _ball(fp: Column, segment: int, width: int) -> Column:
-    """The fingerprint with this segment replaced by every value within one
-    bit of it; the segment itself belongs to segment 0's ball alone."""
-    flips = [1 << b for b in range(segment * width, (segment + 1) * width)]
-    masks = ([0] if segment == 0 else []) + [m - (1 << 64) if m >> 63 else m for m in flips]
-    return F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m: fp.bitwiseXOR(m))
+def _segment(fp: Column, k: int) -> Column:
+    return F.shiftrightunsigned(fp, k * _WIDTH).bitwiseAND(F.lit((1 << _WIDTH) - 1))
 
 
-def links(distinct: DataFrame, max_bits: int = 2, segments: int = 4) -> DataFrame:
+def _entries(distinct: DataFrame) -> DataFrame:
+    """The tables: ``k`` (which segment), ``v`` (its value), ``fp``."""
+    return distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), _segment(F.col("fp"), k).alias("v"))
+                                                     for k in range(_SEGMENTS)])).alias("e")).select("e.*", "fp")
+
+
+def _probes(distinct: DataFrame, radius: int) -> DataFrame:
+    """The ball around every segment value, as far as it is below the value:
+    ``k``, ``v``, ``fp``."""
+    masks = F.array(*[F.lit(1 << b).cast("long") for b in range(_WIDTH)]) if radius else F.array().cast("array<bigint>")
+    own = _entries(distinct)
+    ball = F.concat(F.array("v"), F.transform(F.filter(masks, lambda m: F.col("v").bitwiseAND(m) != 0),
+                                              lambda m: F.col("v").bitwiseXOR(m)))
+    return own.select("k", F.explode(ball).alias("v"), "fp")
+
+
+def _apart(a: str, b: str) -> Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+
+
+def candidates(entries: DataFrame, probes: DataFrame) -> DataFrame:
+    """What the probes fetch from the tables: ``a``, ``b`` and their distance
+    ``bits``.  Fingerprints under one value meet once."""
+    table = entries.select("k", "v", F.col("fp").alias("held"))
+    met = probes.join(table, ["k", "v"]).filter((F.col("fp") != F.col("held")))
+    once = (_segment_of("fp") != _segment_of("held")) | (F.col("fp") < F.col("held"))
+    return met.filter(once).select(F.least("fp", "held").alias("a"), F.greatest("fp", "held").alias("b"),
+                                   _apart("fp", "held").alias("bits"))
+
+
+def _segment_of(name: str) -> Column:
+    return F.when(F.col("k") == 0, _segment(F.col(name), 0)).otherwise(_segment(F.col(name), 1))
+
+
+def refined(crowd: DataFrame) -> DataFrame:
+    """Edges between the fingerprints of crowded entries whose closure is that
+    of all their pairs within 2 bits: every fingerprint is entered under itself
+    with each bit flipped, and the members of an entry hang on the smallest."""
+    flips = [m - (1 << 64) if m >> 63 else m for m in (1 << b for b in range(BITS))]
+    masks = F.array(*[F.lit(m).cast("long") for m in [0, *flips]])
+    fine = crowd.select("fp", F.explode(F.transform(masks, lambda m: F.col("fp").bitwiseXOR(m))).alias("key"))
+    groups = fine.groupBy("key").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
+    star = groups.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).filter("a < b").distinct()
+    return star.filter(_apart("a", "b") <= 2)
+
+
+def links(distinct: DataFrame, max_bits: int = 2, crowded: int = 64) -> DataFrame:
     """Edges ``a < b`` between distinct fingerprints (column ``fp``) whose
-    closure is that of all pairs within ``max_bits`` differing bits."""
+    closure is that of all pairs within ``max_bits`` differing bits.  A table
+    entry of more than ``crowded`` fingerprints is refined, whatever its size."""
     if max_bits not in (0, 1, 2):
         raise ValueError("max_bits must be 0, 1 or 2: the segment balls have radius 1")
-    width = BITS // segments
     if max_bits == 0:
         return distinct.select(F.col("fp").alias("a"), F.col("fp").alias("b")).filter(F.lit(False))
-    probes = distinct.select("fp", F.explode(F.concat(*[_ball(F.col("fp"), s, width) for s in range(segments)]))
-                             .alias("key"))
-    if max_bits == 1:           # only entries that are themselves fingerprints
-        pairs = probes.filter("key != fp").join(distinct.withColumnRenamed("fp", "key"), "key")
-        return pairs.filter("fp < key").select(F.col("fp").alias("a"), F.col("key").alias("b"))
-    entries = probes.groupBy("key").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
-    star = entries.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).filter("a < b").distinct()
-    return star.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
+    dealt = distinct.repartition(shuffle_partitions(distinct.sparkSession), "fp")      # the balls fill every core
+    entries, probes = _entries(dealt), _probes(dealt, max_bits // _SEGMENTS)
+    large = written(entries.groupBy("k", "v").agg(F.count("*").alias("n")).filter(F.col("n") > crowded)
+                    .select("k", "v"), "crowded_entries")
+    near = F.col("bits") <= max_bits
+    if large.isEmpty():
+        return candidates(entries, probes).filter(near).select("a", "b").distinct()
+    calm = candidates(entries.join(large, ["k", "v"], "left_anti"), probes)
+    crowd = probes.join(large, ["k", "v"], "left_semi").select("fp").distinct()
+    fine = refined(crowd) if max_bits == 2 else _one_bit(crowd)
+    return calm.filter(near).select("a", "b").unionByName(fine).distinct()
+
+
+def _one_bit(crowd: DataFrame) -> DataFrame:
+    """Pairs of ``crowd`` that differ in one bit."""
+    flips = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in (1 << b for b in range(BITS))])
+    flipped = crowd.select("fp", F.explode(F.transform(flips, lambda m: F.col("fp").bitwiseXOR(m))).alias("b"))
+    return flipped.join(crowd.withColumnRenamed("fp", "b"), "b").filter("fp < b").select(F.col("fp").alias("a"), "b")
 
 
 def linked(nodes: DataFrame, max_bits: int) -> DataFrame:
@@ -125,7 +186,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> Dat
     roots = (least.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min("least").alias("component_id")))
     by_fp = (least.join(roots, "root", "left")
              .select("fp", F.coalesce("component_id", "least").alias("component_id")))
-    return rows.join(by_fp, "fp").select(
+    return salted_join(rows, by_fp, "fp", find_hot_keys(rows.select("fp"), "fp")).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
