@@ -59,6 +59,16 @@ def dedupe_first(df: DataFrame, key: str, order_by: Sequence[str], keep: Sequenc
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).select(*keep)
 
 
+def dedupe_counted(df: DataFrame, key: str, order_by: Sequence[str], keep: Sequence[str],
+                   count_col: str = "Copies") -> DataFrame:
+    """``dedupe_first`` with the rows each key had, in one aggregate: the first
+    row is the smallest struct of ``order_by`` and the other columns (NULL
+    first), and both it and the count are combined before the shuffle."""
+    fields = [*order_by, *[c for c in keep if c not in order_by and c != key]]
+    out = df.groupBy(key).agg(F.min(F.struct(*fields)).alias("_first"), count_long("*").alias(count_col))
+    return out.select(*[F.col(key) if c == key else F.col("_first")[c].alias(c) for c in keep], count_col)
+
+
 def remaining_duplicates(df: DataFrame, key: str) -> DataFrame:
     """Row count of every key still repeated; no rows when the key is unique."""
     return (
@@ -94,8 +104,16 @@ def null_audit_loans(book) -> DataFrame:
 
 
 def duplicate_transactions(book, limit: int | None = None) -> DataFrame:
-    """Q03: TransactionID, cnt for ids seen more than once."""
-    return duplicate_keys(book.transactions, "TransactionID", "cnt", limit)
+    """Q03: TransactionID, cnt for ids seen more than once (a prepared Book
+    kept each id's count when it removed the duplicates)."""
+    if book.store is None:
+        return duplicate_keys(book.transactions, "TransactionID", "cnt", limit)
+    out = _repeated(book).select("TransactionID", F.col("Copies").alias("cnt"))
+    return out if limit is None else out.orderBy(F.col("TransactionID").asc_nulls_first()).limit(limit)
+
+
+def _repeated(book) -> DataFrame:
+    return book.transactions_by_month.filter(F.col("Copies") > 1)
 
 
 def blank_audit_customers(book) -> DataFrame:
@@ -112,16 +130,22 @@ def blank_audit_customers(book) -> DataFrame:
 
 def duplicate_transaction_count(book) -> DataFrame:
     """Q05."""
-    return duplicate_key_count(book.transactions, "TransactionID")
+    if book.store is None:
+        return duplicate_key_count(book.transactions, "TransactionID")
+    return _repeated(book).agg(count_long("*").alias("total_duplicate_rows"))
 
 
 def dedupe_transactions(book) -> DataFrame:
     """Q06: first row per TransactionID by TransactionDate, then tie-breakers."""
-    tx = book.transactions
+    return dedupe_first(book.transactions, "TransactionID", transaction_order(book), TRANSACTION_COLUMNS)
+
+
+def transaction_order(book) -> list[str]:
+    """What decides which row of a TransactionID comes first."""
     order = ["TransactionDate", *book.tx_tiebreak]
     if not book.tx_tiebreak:                    # no unique source row: every column decides
         order += [c for c in TRANSACTION_COLUMNS if c not in order and c != "TransactionID"]
-    return dedupe_first(tx, "TransactionID", order, TRANSACTION_COLUMNS)
+    return order
 
 
 def verify_dedupe(book) -> DataFrame:

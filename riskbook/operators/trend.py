@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import col, count_long, money, month_key, ts_literal
+from ..functions.columns import count_long, money, month_key, ts_literal
 
 TOP_ACCOUNTS = 20
 
@@ -23,6 +23,11 @@ def monthly_volume_trend(tx: DataFrame, date_col: str = "TransactionDate", amoun
         count_long(id_col).alias("TxCount"),
         money(F.sum(amount_col)).alias("TotalVolume"),
     )
+    return _with_neighbours(m)
+
+
+def _with_neighbours(m: DataFrame) -> DataFrame:
+    """Monthly totals with the volume of the months before and after."""
     w = Window.orderBy(F.col("TxMonth").asc_nulls_first())
     prev = F.lag("TotalVolume").over(w)
     return m.select(
@@ -34,8 +39,9 @@ def monthly_volume_trend(tx: DataFrame, date_col: str = "TransactionDate", amoun
 
 
 def monthly_transaction_trend(book) -> DataFrame:
-    """Q38 over the cleaned transactions."""
-    return monthly_volume_trend(book.transactions_by_month, month=F.col("TxMonth"))
+    """Q38 over the cleaned transactions, from their rollup by month."""
+    return _with_neighbours(book.tx_months.groupBy("TxMonth").agg(
+        F.sum("tx_ids").alias("TxCount"), money(F.sum("tx_volume")).alias("TotalVolume")))
 
 
 def running_exposure(book) -> DataFrame:
@@ -54,12 +60,16 @@ def running_exposure(book) -> DataFrame:
 
 
 def top_accounts_by_volume(book, since: str = "2023-01-01", n: int | None = TOP_ACCOUNTS) -> DataFrame:
-    """Q41: transactions since a date, top origin accounts by volume.  The
-    month filter prunes the directories of earlier months."""
-    t = book.transactions_by_month.filter(
-        (F.col("TxMonth") >= month_key(ts_literal(since))) & (col("TransactionDate") >= ts_literal(since)))
-    out = t.groupBy("AccountOriginID").agg(
-        count_long("TransactionID").alias("TxCount"),
-        money(F.sum("Amount")).alias("TotalVolume"),
+    """Q41: transactions since a date, top origin accounts by volume.  Whole
+    months come from the rollup; of the transactions only the month that the
+    date cuts is read (the filters prune the other directories)."""
+    first = month_key(ts_literal(since))
+    cut = book.transactions_by_month.filter(
+        (F.col("TxMonth") == first) & (F.col("TransactionDate") >= ts_literal(since))).groupBy("AccountOriginID").agg(
+        F.count("TransactionID").alias("tx_ids"), F.sum("Amount").alias("tx_volume"))
+    whole = book.tx_months.filter(F.col("TxMonth") > first).select("AccountOriginID", "tx_ids", "tx_volume")
+    out = cut.unionByName(whole).groupBy("AccountOriginID").agg(
+        F.sum("tx_ids").alias("TxCount"),
+        money(F.sum("tx_volume")).alias("TotalVolume"),
     ).orderBy(F.col("TotalVolume").desc_nulls_last(), F.col("AccountOriginID").asc_nulls_first())
     return out if n is None else out.limit(n)

@@ -155,10 +155,10 @@ def loan_accounts(book) -> DataFrame:
     return book.loan_rollup.select("AccountID").distinct()
 
 
-def aggregate_tx(book) -> DataFrame:
-    """Cleaned transactions per origin account: rows, ids, volume."""
+def aggregate_tx_months(book) -> DataFrame:
+    """Cleaned transactions per month and origin account: rows, ids, volume."""
     return (
-        book.transactions_clean.groupBy(F.col("AccountOriginID").alias("AccountID"))
+        book.transactions_by_month.groupBy("TxMonth", "AccountOriginID")
         .agg(
             F.count(F.lit(1)).alias("tx_rows"),
             F.count("TransactionID").alias("tx_ids"),
@@ -167,6 +167,12 @@ def aggregate_tx(book) -> DataFrame:
     )
 
 
+def aggregate_tx(book) -> DataFrame:
+    """The same per origin account, added up from the months."""
+    return book.tx_months.groupBy(F.col("AccountOriginID").alias("AccountID")).agg(
+        *[F.sum(c).alias(c) for c in ("tx_rows", "tx_ids", "tx_volume")])
+
+
 def tx_per_account(book) -> DataFrame:
     """The same, from the table a prepared Book keeps."""
     return book.tx_accounts

@@ -32,9 +32,12 @@ class Store:
         spark.sql(f"CREATE DATABASE IF NOT EXISTS {self.name}{place}")
 
     def _save(self, writer, table: str, columns: list[str]) -> DataFrame:
-        full = f"{self.name}.{table}"
-        writer.mode("overwrite").format("parquet").saveAsTable(full)
-        return self.spark.table(full).select(*columns)
+        writer.mode("overwrite").format("parquet").saveAsTable(f"{self.name}.{table}")
+        return self.table(table).select(*columns)
+
+    def table(self, table: str) -> DataFrame:
+        """A written table as it is now."""
+        return self.spark.table(f"{self.name}.{table}")
 
     def plain(self, df: DataFrame, table: str) -> DataFrame:
         return self._save(df.write, table, df.columns)
@@ -44,6 +47,25 @@ class Store:
         n = shuffle_partitions(self.spark)
         return self._save(df.repartition(n, key).write.bucketBy(n, key).sortBy(key), table, df.columns)
 
+    def append_bucketed(self, df: DataFrame, table: str, key: str) -> None:
+        """More rows for a table that ``bucketed`` wrote."""
+        n, columns = shuffle_partitions(self.spark), self.table(table).columns
+        writer = df.select(*columns).repartition(n, key).write.bucketBy(n, key).sortBy(key)
+        writer.mode("append").format("parquet").saveAsTable(f"{self.name}.{table}")
+
+    def overwrite_directories(self, df: DataFrame, table: str, directories: Sequence[str], keys: Sequence[str]) -> None:
+        """Replace the directories of a ``layout`` table that ``df`` has rows
+        for; the others stay as they are."""
+        columns = [*directories, *keys]
+        spread = df.select(*self.table(table).columns).repartitionByRange(shuffle_partitions(self.spark), *columns)
+        mode = "spark.sql.sources.partitionOverwriteMode"          # insertInto reads it from the session alone
+        before = self.spark.conf.get(mode)
+        self.spark.conf.set(mode, "dynamic")
+        try:
+            spread.sortWithinPartitions(*columns).write.insertInto(f"{self.name}.{table}", overwrite=True)
+        finally:
+            self.spark.conf.set(mode, before)
+
     def layout(self, df: DataFrame, table: str, directories: Sequence[str], keys: Sequence[str]) -> DataFrame:
         """Directories for low-cardinality columns, and files that each hold
         one range of ``directories`` and ``keys`` together: filters on the
@@ -65,3 +87,37 @@ class Store:
 
     def drop(self) -> None:
         self.spark.sql(f"DROP DATABASE IF EXISTS {self.name} CASCADE")
+
+
+def merge_first(store: Store, table: str, new: DataFrame, key: str, order_by: Sequence[str],
+                layout: tuple[Sequence[str], Sequence[str]], arrival_decides: bool, count_col: str = "Copies") -> None:
+    """Merge ``new`` (one row per ``key``, its rows counted in ``count_col``)
+    into a written table of the same form, keeping the first row of each key.
+
+    First is the smallest by ``order_by`` (NULL first), then an old row before
+    a new one if ``arrival_decides``, then the other columns.  A directory is
+    written again if a row of it has a key of ``new`` or ends up there; one
+    that loses its last row is dropped.  NULL is a key like any other.
+    """
+    directories, keys = layout
+    (directory,) = directories
+    stored, fields = store.table(table), [c for c in new.columns if c not in (key, count_col, directory)]
+    new = store.plain(new, f"{table}_new")
+    same = stored[key].eqNullSafe(new[key])
+    replaced = stored.join(new, same, "left_semi")
+    both = replaced.withColumn("_arrival", F.lit(0)).unionByName(new.withColumn("_arrival", F.lit(1)))
+    arrival = ["_arrival"] if arrival_decides else []
+    rank = [*order_by, *arrival, *[c for c in fields if c not in order_by], directory]
+    first = both.groupBy(key).agg(F.min(F.struct(*rank)).alias("_first"), F.sum(count_col).alias(count_col))
+    merged = store.plain(first.select(key, count_col, *[F.col("_first")[c].alias(c) for c in [*fields, directory]]),
+                         f"{table}_merged")
+    touched = {r[0] for r in replaced.select(directory).unionByName(merged.select(directory)).distinct().collect()}
+    in_touched = F.coalesce(F.col(directory), F.lit("")).isin([d or "" for d in touched])
+    rest = stored.filter(in_touched).join(new, same, "left_anti")
+    after = store.plain(rest.unionByName(merged), f"{table}_touched")       # written apart before anything is replaced
+    left = {r[0] for r in after.select(directory).distinct().collect()}
+    store.overwrite_directories(after, table, directories, keys)
+    for gone in touched - left:
+        value = "NULL" if gone is None else "'" + gone.replace("'", "\\'") + "'"
+        store.spark.sql(f"ALTER TABLE {store.name}.{table} DROP IF EXISTS PARTITION ({directory} = {value})")
+    store.spark.catalog.refreshTable(f"{store.name}.{table}")

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import month_key
 from ..plans.joins import bounded_broadcast
-from ..plans.materialize import Store
+from ..plans.materialize import Store, merge_first
 from ..plans.skew import HotKeys, find_hot_keys
 from . import lookups, readers, roles, schemas
 
@@ -33,6 +33,7 @@ REQUIRED = ("customers", "accounts", "loans", "transactions", "branches")
 LAYOUTS = {
     "loans": (["LoanStatusID"], ["AccountID", "LoanID"]),
     "transactions_clean": (["TxMonth"], ["AccountOriginID", "TransactionID"]),
+    "tx_months": (["TxMonth"], ["AccountOriginID"]),
     "customers_final": (["CustomerTypeID"], ["CustomerID"]),
     "accounts": ([], ["CustomerID", "AccountID"]),
 }
@@ -128,7 +129,7 @@ class Book:
     def load(self) -> "Book":
         """Write every table now (each is otherwise written at first use)."""
         self.loans, self.transactions_by_month, self.customers_final  # noqa: B018
-        self.account_customers, self.tx_accounts, self.loan_rollup  # noqa: B018
+        self.account_customers, self.tx_months, self.tx_accounts, self.loan_rollup  # noqa: B018
         for name in ("accounts.CustomerID", "loans.AccountID", "transactions.AccountOriginID", "transactions.BranchID"):
             self.hot_keys(name)
         self.branch_dim()
@@ -246,18 +247,65 @@ class Book:
 
     @property
     def transactions_by_month(self) -> DataFrame:
-        """The de-duplicated transactions with their month (``TxMonth``); in
-        a prepared Book a directory per month."""
-        from ..operators.quality import dedupe_transactions
+        """The de-duplicated transactions with their month (``TxMonth``) and
+        the rows their id had (``Copies``); in a prepared Book a directory per
+        month."""
+        return self._snapshot("transactions_clean", lambda: self._dedupe(self.transactions),
+                              lambda d: self._layout("transactions_clean", d))
 
-        return self._snapshot(
-            "transactions_clean",
-            lambda: dedupe_transactions(self).withColumn("TxMonth", month_key("TransactionDate")),
-            lambda d: self._layout("transactions_clean", d))
+    def _dedupe(self, transactions: DataFrame) -> DataFrame:
+        from ..operators.quality import dedupe_counted, transaction_order
+
+        first = dedupe_counted(transactions, "TransactionID", transaction_order(self), schemas.TRANSACTION_COLUMNS)
+        return first.withColumn("TxMonth", month_key("TransactionDate"))
 
     @property
     def transactions_clean(self) -> DataFrame:
-        return self.transactions_by_month.drop("TxMonth")
+        return self.transactions_by_month.drop("TxMonth", "Copies")
+
+    @property
+    def tx_months(self) -> DataFrame:
+        """Cleaned transactions per month and origin account: rows, ids,
+        volume; in a prepared Book a directory per month."""
+        from ..plans.chain import aggregate_tx_months
+
+        return self._snapshot("tx_months", lambda: aggregate_tx_months(self), lambda d: self._layout("tx_months", d))
+
+    def append_transactions(self, new: DataFrame) -> None:
+        """Add transactions that arrived later (columns as ``transactions``)
+        and bring the written snapshot up to date in place: only the months
+        that gain, lose or change a row are written again.  The first row of
+        an id stays the first across old and new rows; with a source row as
+        tie-breaker, new rows count as later ones.  Rollups of transactions
+        are rebuilt when next asked for."""
+        if self.store is not None and "transactions_clean" in self._cache:
+            from ..operators.quality import transaction_order
+
+            order = [c for c in transaction_order(self) if c not in self.tx_tiebreak]
+            merge_first(self.store, "transactions_clean", self._dedupe(new), "TransactionID", order,
+                        LAYOUTS["transactions_clean"], arrival_decides=bool(self.tx_tiebreak))
+        stale = ("transactions_clean", "tx_months", "tx_accounts")
+        known = self.store is not None and "transactions_clean" in self._cache
+        for name in stale:
+            self._cache.pop(name, None)
+        if known:
+            self._cache["transactions_clean"] = self.store.table("transactions_clean")
+        for name in [n for n in self.hot if n.startswith("transactions.")]:
+            del self.hot[name]
+        self.transactions = self.transactions.unionByName(new)
+
+    def append_customers(self, new: DataFrame) -> None:
+        """Add customers that arrived later (new ids): their cleaned rows are
+        appended to the written snapshot, bucket by bucket."""
+        from ..operators.quality import clean_customers
+
+        if self.store is not None and "customers_final" in self._cache:
+            self.store.append_bucketed(clean_customers(replace(self, customers=new, store=None, _cache={})),
+                                       "customers_final", "CustomerID")
+            self._cache["customers_final"] = self.store.table("customers_final")
+        for name in ("account_customers", "customers_final_clustered"):
+            self._cache.pop(name, None)
+        self.customers = self.customers.unionByName(new)
 
     @property
     def tx_accounts(self) -> DataFrame:
