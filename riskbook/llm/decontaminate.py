@@ -10,15 +10,23 @@ The index is built by Spark from all items (document frequencies, lengths)
 and broadcast in shards of at most ``SHARD_BYTES`` of item text, a bound that
 the build checks; more items mean more shards, each searched in turn.
 Documents are never shuffled: every text is read whole and cut into
-overlapping passages of twice the longest item.  Block maxima are first summed
-for many passages together; a passage that reaches the threshold in no block
-of items has no pivot and is skipped, the others are searched one by one.
+overlapping passages of twice the longest item.  A text is searched only if it
+holds, for some item, as many of the question's word triples as a leak needs
+(``Gate``): that is exact, as a leak has them within one passage, and needs no
+more than hashes of the words.  Of the texts that are left, block maxima are
+summed for many passages together; a passage that reaches the threshold in no
+block of items has no pivot and is skipped, the others are searched one by one.
+
+Memory: one index shard, one slice of rows with a few arrays of its length, and
+the words of the texts that pass the gate.  Very long texts are read like
+others.  ``item_id`` is text, whatever its form.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -34,20 +42,128 @@ BLOCK = 2
 MEMO = 500_000
 BOUND_CELLS = 2_000_000       # passages times blocks looked at together
 SLICE = 4 << 20
+PIECE = 1 << 20               # characters hashed together
 _TERM = regex.compile(r"[\p{L}\p{M}\p{N}]+")
+_GAP = regex.compile(r"[^\p{L}\p{M}\p{N}]")
 
 
 def terms(text: str) -> list[str]:
     return _TERM.findall(text.lower())
 
 
+@cache
+def _word_signs() -> np.ndarray:
+    """By code point: whether it belongs to a term."""
+    signs = np.zeros(0x110000, bool)
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    signs[[ord(c) for c in regex.findall(r"[\p{L}\p{M}\p{N}]", "".join(every))]] = True
+    return signs
+
+
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]     # of _ROOT and its inverse mod 2**64, as far as needed
+_ROOT = 0x9E3779B97F4A7C15
+_MIX = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], np.uint64)
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    if len(_POWERS[0]) < n:
+        for k, root in enumerate((_ROOT, pow(_ROOT, -1, 1 << 64))):
+            steps = np.full(n, root, np.uint64)
+            steps[0] = 1
+            _POWERS[k] = np.multiply.accumulate(steps)
+    return [p[:n] for p in _POWERS]
+
+
+def _pieces(lower: list[str]) -> Iterator[list[tuple[int, str]]]:
+    """The texts in lists of about ``PIECE`` characters, long ones cut between
+    terms: (which text, its part)."""
+    part: list[tuple[int, str]] = []
+    room = PIECE
+    for i, text in enumerate(lower):
+        at = 0
+        while len(text) - at > room:
+            gap = _GAP.search(text, at + room)
+            if gap is None:
+                break
+            yield [*part, (i, text[at:gap.start()])]
+            part, room, at = [], PIECE, gap.start()
+        part.append((i, text[at:]))
+        room = max(1, room - (len(text) - at))
+    yield part
+
+
+def word_hashes(lower: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of every term of the texts (in lower case), in order, and the
+    text each is in: a polynomial in the code points, by running sums."""
+    hashes, owners = [], []
+    for part in _pieces(lower):
+        signs = np.frombuffer("\n".join(t for _, t in part).encode("utf-32-le"), np.uint32)
+        inside = np.r_[False, _word_signs()[signs], False]
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        starts, ends = edges[::2], edges[1::2]
+        power, inverse = _powers(len(signs) + 1)
+        sums = np.r_[np.zeros(1, np.uint64), np.cumsum((signs.astype(np.uint64) + np.uint64(1)) * power[:-1])]
+        h = (sums[ends] - sums[starts]) * inverse[starts]
+        hashes.append((h ^ h >> np.uint64(31)) * _MIX[0])
+        first = np.cumsum([0, *(len(t) + 1 for _, t in part)])[:-1]
+        owners.append(np.array([i for i, _ in part])[np.searchsorted(first, starts, "right") - 1])
+    return np.concatenate(hashes), np.concatenate(owners)
+
+
+def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
+    """A hash of every ``n`` (at most 3) following words."""
+    out = np.zeros(max(0, len(words) - n + 1), np.uint64)
+    for k in range(n):
+        out = (out ^ words[k:len(words) - n + 1 + k]) * _MIX[k]
+        out ^= out >> np.uint64(29)
+    return out
+
+
+class Gate:
+    """Which texts hold enough of some item's question grams to leak it."""
+
+    def __init__(self, words: list[str], questions: list[set[tuple]]) -> None:
+        known, _ = word_hashes(words)
+        self.total = np.array([len(q) for q in questions])
+        pairs = [(len(g), g, i) for i, q in enumerate(questions) for g in q]
+        self.by_size = {}
+        for n in {p[0] for p in pairs}:
+            grams = np.array([p[1] for p in pairs if p[0] == n])
+            hashes = gram_hashes(known[grams.ravel()], n)[::n]          # of each gram's own words
+            item = np.array([p[2] for p in pairs if p[0] == n])
+            order = np.argsort(hashes, kind="stable")
+            key, first = np.unique(hashes[order], return_index=True)
+            seen = np.zeros(1 << 22, bool)
+            seen[key >> np.uint64(42)] = True
+            self.by_size[n] = key, np.r_[first, len(order)], item[order], seen
+
+    def open(self, lower: list[str], question: float) -> list[bool]:
+        """Per text: whether a leak is possible."""
+        passed = np.zeros(len(lower), bool)
+        words, text = word_hashes(lower)
+        counts: list[np.ndarray] = []
+        for n, (key, first, item, seen) in self.by_size.items():
+            grams = gram_hashes(words, n)
+            near = np.flatnonzero(seen[grams >> np.uint64(42)] & (text[:len(grams)] == text[n - 1:]))
+            place = np.minimum(np.searchsorted(key, grams[near]), len(key) - 1)
+            same = key[place] == grams[near]
+            hit = np.unique(text[near[same]] * len(key) + place[same])      # distinct (text, gram)
+            size = first[hit % len(key) + 1] - first[hit % len(key)]
+            at = np.repeat(first[hit % len(key)] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(int(size.sum()))
+            counts.append(np.repeat(hit // len(key), size) * len(self.total) + item[at])
+        found, n = np.unique(np.concatenate(counts), return_counts=True) if counts else (np.zeros(0, int),) * 2
+        enough = n >= question * self.total[found % len(self.total)] - 1e-6
+        passed[found[enough] // len(self.total)] = True
+        return passed.tolist()
+
+
 @dataclass
 class Index:
     """Posting lists over items 0..n-1 (ordered by their self score, so that
     impacts within a block are alike)."""
 
     ids: list                                   # item_id of each item
-    words: dict[str, int]                       # term -> code
+    words: dict[str, int]                       # term -> code, in order
     items: list[list[int]]                      # term codes of each item, in order
     posts: list[list[tuple[int, float]]]        # by term: (item, impact), ascending
     top: np.ndarray = field(init=False)         # by term: largest impact
@@ -69,6 +185,7 @@ class Index:
         self.block_max = np.array([w for _, w in flat])
         self.span = max(map(len, self.items), default=1)
         self.parts = [self._grams(x) for x in self.items]
+        self.gate = Gate(list(self.words), [question for question, _ in self.parts])
 
     def block_bounds(self, group: np.ndarray, term: np.ndarray, n: int) -> np.ndarray:
         """Sum of block maxima, groups by blocks, for distinct (group, term) pairs."""
@@ -142,8 +259,8 @@ def indexes(benchmark: DataFrame, k1: float = 1.2, b: float = 0.75) -> Iterator[
                 [batch.column(0), pa.array([terms(t.decode()) for t in texts(batch)], pa.list_(pa.string()))],
                 ["item_id", "words"])
 
-    items = (benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-             .mapInArrow(split, "item_id long, words array<string>").filter(F.size("words") > 0)
+    items = (benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
+             .mapInArrow(split, "item_id string, words array<string>").filter(F.size("words") > 0)
              .groupBy("item_id", "words").agg(F.lit(1).alias("one")).drop("one")        # repeated rows: once
              .withColumn("size", F.size("words")))
     total = items.agg(F.count("*").alias("n"), F.avg("size").alias("mean"), F.sum(
@@ -158,7 +275,7 @@ def indexes(benchmark: DataFrame, k1: float = 1.2, b: float = 0.75) -> Iterator[
         mine = items.filter(shard == s)
         idf = {r["word"]: np.log(1 + (total["n"] - r["df"] + 0.5) / (r["df"] + 0.5)) for r in frequency.join(
             mine.select(F.explode("words").alias("word")).distinct(), "word").collect()}
-        rows = sorted((r["item_id"] is None, r["item_id"] or 0, r["words"]) for r in mine.collect())
+        rows = sorted((r["item_id"] is None, r["item_id"] or "", r["words"]) for r in mine.collect())
         scored = []
         for null, item, words in rows:
             impact = {}
@@ -179,7 +296,11 @@ def _scan(index: Index, raw: list[bytes], memo: dict[str, tuple], threshold: flo
           answer: float) -> list[dict[int, tuple]]:
     """Per text: leaked items with score, overlaps and the passage's first word."""
     out: list[dict[int, tuple]] = [{} for _ in raw]
-    chunks = [t.decode().lower().split() for t in raw]
+    lower = [t.decode().lower() for t in raw]
+    if question > 0 and lower:
+        chunks = [t.split() if go else [] for t, go in zip(lower, index.gate.open(lower, question))]
+    else:
+        chunks = [t.split() for t in lower]
     known, none = index.words, (-1,)
     if len(memo) > MEMO:
         memo.clear()
@@ -229,7 +350,7 @@ def _scan(index: Index, raw: list[bytes], memo: dict[str, tuple], threshold: flo
             for part in index.parts[item]:
                 n = len(next(iter(part))) if part else 0
                 shares.append(len(part & grams[n]) / len(part) if part else 1.0)
-            if shares[0] >= question and shares[1] >= answer and score > out[d].get(item, (0.0,))[0]:
+            if shares[0] >= question and shares[1] >= answer and score > out[d].get(item, (0.0,))[0] + 1e-9:   # ties: the first
                 out[d][item] = (min(1.0, score), *shares, at)
     return out
 
@@ -247,8 +368,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, qu
     not read.
     """
     spark = docs.sparkSession
-    schema = ("doc_id long, item_id long, score double, question_overlap double, answer_overlap double, "
+    schema = ("doc_id long, item_id string, score double, question_overlap double, answer_overlap double, "
               "first_word long")
+    kinds = [pa.int64(), pa.string(), *[pa.float64()] * 3, pa.int64()]
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = None
     for index in indexes(benchmark):
@@ -262,7 +384,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, qu
                 rows = [(ids[d], index.ids[i], *got) for d, of in enumerate(leaks) for i, got in sorted(of.items())]
                 if rows:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, pa.float64() if 2 <= k <= 4 else pa.int64()) for k, c in enumerate(zip(*rows))],
+                        [pa.array(c, kinds[k]) for k, c in enumerate(zip(*rows))],
                         ["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "first_word"])
 
         part = rows.mapInArrow(run, schema)
