@@ -65,9 +65,12 @@ spans AS (
     SELECT id, kind, place, value, owner, doc_id, CAST(a AS BIGINT) AS a, CAST(a + hit AS BIGINT) AS b,
            kind || ':' || CAST(a AS BIGINT) || ':' || CAST(a + hit AS BIGINT) AS span
     FROM found WHERE length(value) >= CASE kind WHEN 'assign' THEN 8 WHEN 'access' THEN 16 WHEN 'hex' THEN 32 ELSE 1 END),
-owners AS (SELECT value, count(DISTINCT coalesce(owner, '')) AS n_owners FROM spans GROUP BY value),
+owners AS (
+    SELECT value, count(DISTINCT coalesce(owner, '')) AS n_owners,
+           count(DISTINCT coalesce(owner, '') || chr(0) || coalesce(CAST(doc_id AS VARCHAR), 'row ' || id)) AS n_repositories
+    FROM spans GROUP BY value),
 marked AS (
-    SELECT s.*, n_owners, n_owners < 3
+    SELECT s.*, n_owners, n_repositories, n_owners < 3 AND n_repositories < 10
            AND len(list_distinct(string_split(lower(s.value), ''))) >= 5
            AND NOT regexp_matches(lower(s.value), 'example|changeme|placeholder|your[_-]|dummy|xxxx|12345678') AS live
     FROM spans s JOIN owners o ON o.value = s.value),
@@ -77,11 +80,13 @@ grouped AS (
            string_agg(span, ',' ORDER BY a, place) FILTER (kind <> 'vendor') AS base,
            string_agg(span, ',' ORDER BY a, place) AS spans,
            string_agg(span || CASE WHEN live THEN ':live' ELSE ':example' END, ',' ORDER BY a, place) AS labels,
-           count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_examples, max(n_owners) AS n_owners
+           count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_examples, max(n_owners) AS n_owners,
+           max(n_repositories) AS n_repositories
     FROM marked GROUP BY id)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live,
-       coalesce(n_examples, 0) AS n_examples, coalesce(n_owners, 0) AS n_owners, coalesce(labels, '') AS labels
+       coalesce(n_examples, 0) AS n_examples, coalesce(n_owners, 0) AS n_owners, coalesce(n_repositories, 0) AS n_repositories,
+       coalesce(labels, '') AS labels
 FROM texts LEFT JOIN grouped USING (id)"""
 
 

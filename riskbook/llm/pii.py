@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .spans import SPAN, bind, find, joined, no_spans, ordered
+from .spans import SPAN, bind, find, joined, ordered
 
 # The base patterns (Java syntax; a run is read once), the
 # strict forms, the gazetteers and the context words.
@@ -62,6 +62,7 @@ FOR = {
 }
 AGAINST = r"(?i)(?:version|\bv|isbn|order|invoice|example|build|release|page|no\.)\W*$"
 VIEW = 24                                 # code points of context before a span
+SEEN = SPAN[:-1] + ",before:string>"
 FOUND = f"struct<span:{SPAN},pattern:int,gazetteer:int,context:int,size:int>"
 
 
@@ -78,18 +79,18 @@ def luhn(value: Column) -> Column:
 
 
 def candidates(text: Column) -> Column:
-    none, digit = no_spans(), text.rlike("[0-9]")
+    none, digit = F.expr(f"cast(array() as array<{SEEN}>)"), text.rlike("[0-9]")
     n_digits = lambda v: F.length(F.regexp_replace(v, "[^0-9]", ""))
     octets = lambda v: v.rlike(rf"^(?:{OCTET}\.){{3}}{OCTET}$")
     return F.concat(
-        F.when(text.contains("@"), find(text, EMAIL, "email")).otherwise(none),
-        F.when(text.rlike(r"[0-9]\.[0-9]"), find(text, IP, "ip", ok=octets)).otherwise(none),
-        F.when(text.rlike(r"[0-9](?:[\x20-]?[0-9]){15}"), find(text, CARD, "card", ok=luhn)).otherwise(none),
-        F.when(text.rlike(r"\+[0-9]"), find(text, PHONE, "phone", ok=lambda v: n_digits(v).between(8, 15)))
+        F.when(text.contains("@"), find(text, EMAIL, "email", view=VIEW)).otherwise(none),
+        F.when(text.rlike(r"[0-9]\.[0-9]"), find(text, IP, "ip", ok=octets, view=VIEW)).otherwise(none),
+        F.when(text.rlike(r"[0-9](?:[\x20-]?[0-9]){15}"), find(text, CARD, "card", ok=luhn, view=VIEW)).otherwise(none),
+        F.when(text.rlike(r"\+[0-9]"), find(text, PHONE, "phone", ok=lambda v: n_digits(v).between(8, 15), view=VIEW))
         .otherwise(none),
-        F.when(text.rlike("(?:Mrs?|Ms|Dr|Prof)\\.? [A-Z]"), find(text, NAME, "name")).otherwise(none),
-        F.when(digit & text.rlike(SSN), find(text, SSN, "ssn")).otherwise(none),
-        F.when(digit & text.rlike("[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}"), find(text, IBAN, "iban")).otherwise(none),
+        F.when(text.rlike("(?:Mrs?|Ms|Dr|Prof)\\.? [A-Z]"), find(text, NAME, "name", view=VIEW)).otherwise(none),
+        F.when(digit & text.rlike(SSN), find(text, SSN, "ssn", view=VIEW)).otherwise(none),
+        F.when(digit & text.rlike("[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}"), find(text, IBAN, "iban", view=VIEW)).otherwise(none),
     )
 
 
@@ -100,16 +101,16 @@ def _by_kind(kind: Column, of: dict[str, str], test) -> Column:
     return out
 
 
-def votes(text: Column, s: Column) -> Column:
+def votes(s: Column) -> Column:
     """The span with the three votes and its length class (0 to 3)."""
-    before = F.substring(text, F.greatest(s["start"] - VIEW + 1, F.lit(1)), F.least(s["start"], F.lit(VIEW)))
+    before = s["before"]
     value, kind = s["value"], s["kind"]
     pattern = _by_kind(kind, STRICT, lambda p: value.rlike(p)).cast("int")
     gazetteer = F.when(_by_kind(kind, KNOWN, lambda p: value.rlike(p)), 1).otherwise(
         F.when(kind == "name", -1).otherwise(0))
     context = F.when(_by_kind(kind, FOR, lambda p: before.rlike(p)), 1).when(before.rlike(AGAINST), 0).otherwise(-1)
     size = F.least(F.floor(F.length(value) / 8), F.lit(3)).cast("int")
-    return F.struct(s.alias("span"), pattern.alias("pattern"), gazetteer.alias("gazetteer"),
+    return F.struct(s.dropFields("before").alias("span"), pattern.alias("pattern"), gazetteer.alias("gazetteer"),
                     context.alias("context"), size.alias("size"))
 
 
@@ -192,7 +193,7 @@ def probability(x: Column, w: list[float]) -> Column:
 def scan(docs: DataFrame) -> DataFrame:
     """``doc_id`` and ``found`` (candidate spans with their votes)."""
     text = F.col("text").cast("string")
-    some = F.transform(candidates(text), lambda s: votes(text, s))
+    some = F.transform(candidates(text), votes)
     empty = F.expr(f"cast(array() as array<{FOUND}>)")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        F.when(text.rlike(r"[0-9@]|(?:Mrs?|Ms|Dr|Prof)\.? [A-Z]"), some).otherwise(empty)

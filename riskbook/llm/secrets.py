@@ -2,23 +2,26 @@
 
 Candidates are found by patterns; their values are hashed, and for each hash
 the distinct repositories and owners that hold it are counted over the whole
-corpus.  A value that many owners hold is a copied example; one that stays
-with few owners and does not look like a placeholder is taken for live.
+corpus.  A value that many owners hold, or that is in many repositories of
+one, is a copied example; one that stays with few owners in few places and does
+not look like a placeholder is taken for live.
 In ``documents`` a row is a repository (``doc_id``) and ``source`` its owner.
 
 Only built-in functions run here.  The scan is written once (spans alone, no
 text).  Counting pre-aggregates (hash, owner) before any shuffle, so a value
 pasted a million times is one row per task and owner.  The join that brings
-the counts back sends values that hold more than an even share of the spans
-through a broadcast slice: there are fewer of them than shuffle partitions.
+the counts back spreads values that hold more than an even share of the spans
+over tasks by a salt.
 """
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.skew import find_hot_keys, split_join
+from ..plans.skew import find_hot_keys, salted_join
 from .common import written
 from .spans import find, joined, no_spans, ordered
 
@@ -72,32 +75,38 @@ def ownership(scanned: DataFrame) -> DataFrame:
     return by_owner.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_repositories"))
 
 
-def find_secrets(docs: DataFrame, shared_by: int = 3) -> DataFrame:
+def find_secrets(docs: DataFrame, shared_by: int = 3, copied_in: int = 10) -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``n_assign``, ``n_access``,
     ``n_hex``, ``base_sha256``, ``spans``, ``n_live`` and ``n_examples``
-    (spans whose value is held by at least ``shared_by`` owners, or only a
-    placeholder), ``n_owners`` (the most owners any of its values has) and
-    ``labels`` (``kind:start:end:live`` or ``:example``, in span order).
+    (spans whose value is held by at least ``shared_by`` owners or in at least
+    ``copied_in`` repositories, or is only a placeholder: an owner keeps a
+    credential of its own in a few places, and a copied example is in many,
+    be they of one owner), ``n_owners`` and ``n_repositories`` (the most that
+    any of its values has) and ``labels`` (``kind:start:end:live`` or
+    ``:example``, in span order).
 
     NULL and empty texts have no spans.  A NULL ``source`` counts as one
     owner, a NULL ``doc_id`` as a repository of its own; a repeated row counts
-    as the same repository.  An empty table gives an empty result; other
-    columns are not read.
+    as the same repository.  Work grows with a text and its matches, however
+    long it is.  An empty table gives an empty result; other columns are not
+    read.
     """
     scanned = scan(docs)
-    each = scanned.filter(F.size("found") > 0).select(
+    each = written(scanned.filter(F.size("found") > 0).select(
         "row", F.posexplode("found").alias("k", "s")).select(
-        "row", "k", F.col("s.hash").alias("hash"), F.col("s.placeholder").alias("placeholder"))
-    live = split_join(each, ownership(scanned), "hash", find_hot_keys(each, "hash")).withColumn(
-        "live", (F.col("n_owners") < shared_by) & ~F.col("placeholder"))
+        "row", "k", F.col("s.hash").alias("hash"), F.col("s.placeholder").alias("placeholder")), "secret_values")
+    hot = find_hot_keys(each.select("hash"), "hash")
+    hot = replace(hot, keys=written(hot.keys, "hot_values"))
+    live = salted_join(each, written(ownership(scanned), "secret_owners"), "hash", hot).withColumn(
+        "live", (F.col("n_owners") < shared_by) & (F.col("n_repositories") < copied_in) & ~F.col("placeholder"))
     verdicts = live.groupBy("row").agg(
         F.array_sort(F.collect_list(F.struct("k", "live"))).alias("verdict"),   # one text's spans
         F.count(F.when(F.col("live"), 1)).alias("n_live"), F.count(F.when(~F.col("live"), 1)).alias("n_examples"),
-        F.max("n_owners").alias("n_owners"))
+        F.max("n_owners").alias("n_owners"), F.max("n_repositories").alias("n_repositories"))
     none = scanned.filter(F.size("found") == 0).select(
         "doc_id", "found", F.expr("cast(array() as array<struct<k:int,live:boolean>>)").alias("verdict"),
         F.lit(0).cast("long").alias("n_live"), F.lit(0).cast("long").alias("n_examples"),
-        F.lit(0).cast("long").alias("n_owners"))
+        F.lit(0).cast("long").alias("n_owners"), F.lit(0).cast("long").alias("n_repositories"))
     some = scanned.filter(F.size("found") > 0).join(verdicts, "row").select(*none.columns)
     both = none.unionByName(some)
     base = F.filter("found", lambda s: s["kind"] != "vendor")
@@ -109,17 +118,18 @@ def find_secrets(docs: DataFrame, shared_by: int = 3) -> DataFrame:
         ":", s["kind"], s["start"], s["end"], F.when(v["live"], "live").otherwise("example"))), ",")
     return both.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(joined(base), 256).alias("base_sha256"),
                        joined(F.col("found")).alias("spans"), "n_live", "n_examples", "n_owners",
-                       labels.alias("labels"))
+                       "n_repositories", labels.alias("labels"))
 
 
-def mask(docs: DataFrame, shared_by: int = 3) -> DataFrame:
+def mask(docs: DataFrame, shared_by: int = 3, copied_in: int = 10) -> DataFrame:
     """``docs`` with the live secrets of each text replaced by
     ``[secret]``; copied examples, clean, empty and NULL texts stay as they
     are, with all their columns and repeated rows."""
     columns = docs.columns
     rows = written(docs.select(F.monotonically_increasing_id().alias("__row"), F.struct(*columns).alias("__doc"))
                    .filter(F.col("__doc.text").rlike(ANY)), "secret_texts")
-    found = find_secrets(rows.select(F.col("__row").alias("doc_id"), "__doc.text", "__doc.source"), shared_by)
+    found = find_secrets(rows.select(F.col("__row").alias("doc_id"), "__doc.text", "__doc.source"), shared_by,
+                         copied_in)
     marks = found.filter("n_live > 0").select(F.col("doc_id").alias("__row"), F.transform(
         F.filter(F.split("labels", ","), lambda x: x.endswith(":live")), lambda x: F.struct(
             F.split(x, ":")[1].cast("int").alias("start"), F.split(x, ":")[2].cast("int").alias("end"))).alias("__cut"))

@@ -41,19 +41,21 @@ def corpus(seed):
 def test_matches_brute_force(spark):
     rows = corpus(2)
     got = {r["doc_id"]: r for r in secrets.find_secrets(table(spark, rows)).collect()}
-    owners = defaultdict(set)
+    owners, places = defaultdict(set), defaultdict(set)
     for i, t, _, owner in rows:
         for *_, value in brute(t):
             owners[value].add(owner)
+            places[value].add((owner, i))
     for i, t, *_ in rows:
         spans = brute(t)
         r = got[i]
         assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(s[2] == k for s in spans) for k in KINDS[:3])
         text = ",".join(f"{k}:{a}:{b}" for a, b, k, _ in spans)
         assert r["spans"] == text and r["base_sha256"] == sha256(text.encode()).hexdigest()
-        live = [len(owners[v]) < 3 and len(set(v.lower())) >= 5 for *_, v in spans]
+        live = [len(owners[v]) < 3 and len(places[v]) < 10 and len(set(v.lower())) >= 5 for *_, v in spans]
         assert (r["n_live"], r["n_examples"]) == (sum(live), len(live) - sum(live))
         assert r["n_owners"] == max([len(owners[v]) for *_, v in spans], default=0)
+        assert r["n_repositories"] == max([len(places[v]) for *_, v in spans], default=0)
         assert [x.split(":")[3] for x in r["labels"].split(",") if x] == ["live" if x else "example" for x in live]
 
 
@@ -80,3 +82,17 @@ def test_odd_rows(spark):
     assert masked.columns == df.columns
     assert sorted(map(str, masked.collect())) == sorted(map(str, df.collect()))
     assert secrets.find_secrets(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_a_value_copied_within_one_owner_is_an_example(spark):
+    """3,000 documents of one source hold one value, nine another; a third is
+    nine times in one document, and rows without id are places of their own."""
+    wide, few, one, bare = ("%032x" % (0x9f3a7c5e1db82f604c6ad17e35b98f20 + k) for k in range(4))
+    rows = [(i, f"key {wide}", "en", "hot") for i in range(3000)] + [(5000 + i, f"key {few}", "en", "hot") for i in range(9)]
+    rows += [(9000, f"key {one} " * 9, "en", "hot")] + [(None, f"key {bare}", "en", "hot")] * 10
+    got = defaultdict(set)
+    for r in secrets.find_secrets(table(spark, rows)).collect():
+        got[r["n_repositories"]].add((r["n_owners"], r["n_live"], r["n_examples"]))
+    assert got == {3000: {(1, 0, 1)}, 9: {(1, 1, 0)}, 1: {(1, 9, 0)}, 10: {(1, 0, 1)}}
+    masked = secrets.mask(table(spark, rows)).filter("text like '%[secret]%'").collect()
+    assert len(masked) == 10
