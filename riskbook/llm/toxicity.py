@@ -1,15 +1,23 @@
 """Toxicity after noisy-channel deobfuscation.
 
 Disguised words - digits and signs for letters, letters set apart, letters
-drawn out - are lattices of the characters they may stand for.  A character
-trigram model, counted over the whole corpus, scores the paths; Viterbi
-decoding restores the likeliest spelling, and the restored text is scored.
+doubled or drawn out, words cut in two - are lattices of the characters they
+may stand for.  In a run of single letters, and between two parts of a word,
+each space is kept (a word edge) or dropped.  A character trigram model, counted
+over the whole corpus, scores the paths; Viterbi decoding restores the likeliest
+spelling, and the restored text is scored.
+
+Every token with signs for letters and every run of single letters is decoded.
+Scoring decodes doubled letters and words cut in two only where the joined or
+shortened word carries a weight: other results of the decoder would not change
+the score (``Restorer.text`` decodes them all).
 
 The model of the corpus is a table of ``CLASSES ** 3`` counts, summed from
 every text.  The classifier is a logistic model over words and word
-beginnings, learned from at most about ``train_rows`` labelled rows; at most
-``FEATURES`` of them carry a weight.  Both are broadcast with these sizes,
-whatever the corpus.  Scoring is one pass over whole texts without a shuffle.
+beginnings, learned from about ``train_rows`` labelled ids and at most
+``TEXTS`` different texts of each; its features are words of those texts.  Both
+are broadcast with these bounds, whatever the corpus.  Scoring is one pass over
+whole texts without a shuffle.
 """
 
 from __future__ import annotations
@@ -23,14 +31,14 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, id_text, slices, texts
+from .common import held_out, id_text, slices, texts, written
 from .quality_model import label_sample
 
 CLASSES = 28                     # word edge, a to z, any other letter
-FEATURES = 4000
+TEXTS = 4                        # different texts learned from under one id
 MEMO = 500_000
 SLICE = 4 << 20
 
@@ -38,11 +46,14 @@ SLICE = 4 << 20
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
         "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i"}
 BREAKS = ".-_*·"                 # signs set between the letters of a word
-MINUS_LOG = {"plain": 0.0, "leet": 1.2, "drop": 1.0, "repeat": 0.7, "keep": 9.0}
+MINUS_LOG = {"plain": 0.0, "leet": 1.2, "drop": 1.0, "repeat": 0.7}
+APART, CUT = (1.0, 0.0), (0.0, 1.5)     # of a space kept and dropped: between single letters, between parts of a word
 _SIGNS = regex.escape("".join(LEET))
 _EDGE = "\"'`,;:?!.()[]{}<>«»…*#%&|+-_="
 _NOISY = regex.compile(rf"\p{{L}}[{_SIGNS}{regex.escape(BREAKS)}]+\p{{L}}|[{_SIGNS}]{{1,2}}\p{{L}}|\p{{L}}[{_SIGNS}]|(\p{{L}})\1\1")
-_APART = regex.compile(r"(?<![\p{L}\p{N}])\p{L}([ .\-_*])(?:\p{L}\1){2,}\p{L}(?![\p{L}\p{N}])")
+_DOUBLE = regex.compile(r"(\p{L})\1")
+_LETTER = rf"[\p{{L}}{_SIGNS}]"
+_APART = regex.compile(rf"(?<![\p{{L}}\p{{N}}]){_LETTER}(?:[ .\-_*·]{_LETTER}){{2,}}(?![\p{{L}}\p{{N}}])")
 _WORD = regex.compile(r"\p{L}+")
 
 
@@ -82,14 +93,17 @@ def language_model(docs: DataFrame) -> np.ndarray:
     return -np.log(counts / counts.sum(axis=1, keepdims=True)).ravel()
 
 
-def lattice(token: str) -> list[list[tuple[str, float]]]:
+def lattice(token: str, space: tuple[float, float] | None = None) -> list[list[tuple[str, float]]]:
     """For each place of a token the letters it may stand for ('': none)
-    and what the channel asks for each."""
+    and what the channel asks for each.  With ``space`` (its costs kept and
+    dropped) the breaks in a token are word edges or nothing."""
     out: list[list[tuple[str, float]]] = []
     run = 0
     for i, c in enumerate(token):
         run = run + 1 if i and c == token[i - 1] else 1
-        if c.isalpha():
+        if space and c in " .-_*·":
+            out.append([(" ", space[0]), ("", space[1])])
+        elif c.isalpha():
             cost = MINUS_LOG["plain"]
             out.append([(c, cost), ("", MINUS_LOG["repeat"])] if run > 1 else [(c, cost)])
         elif c in LEET:
@@ -100,15 +114,15 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
     return out
 
 
-def viterbi(token: str, cost: np.ndarray | list[float]) -> str:
+def viterbi(token: str, cost: np.ndarray | list[float], space: tuple[float, float] | None = None) -> str:
     """The likeliest letters behind a token: states are the last two
     classes, so at most ``CLASSES ** 2`` live at a place (few do)."""
     def code(c: str) -> int:
         k = ord(c) - 96
-        return k if 1 <= k <= 26 else 27
+        return 0 if c == " " else k if 1 <= k <= 26 else 27
 
     paths: dict[int, tuple[float, tuple]] = {0: (0.0, ())}
-    for place in lattice(token):
+    for place in lattice(token, space):
         after: dict[int, tuple[float, tuple]] = {}
         for state, (spent, path) in paths.items():
             for c, channel in place:
@@ -133,28 +147,62 @@ class Restorer:
 
     def __init__(self, cost: np.ndarray) -> None:
         self.cost = cost.tolist()
-        self.known: dict[str, str] = {}
+        self.known: dict[tuple, str] = {}
+
+    def decode(self, token: str, space: tuple[float, float] | None = None) -> str:
+        if (token, space) not in self.known:
+            if len(self.known) > MEMO:
+                self.known.clear()
+            self.known[token, space] = viterbi(token, self.cost, space)
+        return self.known[token, space]
 
-    def token(self, token: str) -> str:
+    def token(self, token: str, doubles: bool = False) -> str:
         """A token with its core restored; signs around it stay, but for one
-        or two at its end that often stand for letters."""
+        or two at its end that often stand for letters.  With ``doubles`` also
+        a core whose only disguise may be a doubled letter."""
         core = token.strip(_EDGE)
-        if not core or core.isalpha() and not _NOISY.search(core):
+        if not core or not (_NOISY.search(core) or doubles and _DOUBLE.search(core)):
             return token
         at = token.find(core)
-        lead, tail = token[:at], token[at + len(core):]
-        if not _NOISY.search(core):
-            return token
-        if core not in self.known:
-            if len(self.known) > MEMO:
-                self.known.clear()
-            self.known[core] = viterbi(core, self.cost)
-        return lead + self.known[core] + tail
+        return token[:at] + self.decode(core) + token[at + len(core):]
+
+    def apart(self, text: str) -> list[tuple[str, str]]:
+        """Runs of single letters (signs among them, if letters are not fewer)
+        and what they stand for."""
+        return [(m[0], self.decode(m[0], APART)) for m in _APART.finditer(text)
+                if 2 * sum(map(str.isalpha, m[0])) > len(m[0]) // 2]
+
+    def joined(self, first: str, second: str) -> str:
+        """Two tokens as one word, if that is likelier than two."""
+        return self.decode(f"{first} {second}", CUT)
 
     def text(self, text: str) -> str:
         """A lower-case text with its disguised words restored."""
-        text = _APART.sub(lambda m: "".join(_WORD.findall(m[0])), text)
-        return " ".join(map(self.token, text.split()))
+        for run, word in self.apart(text):
+            text = text.replace(run, word, 1)
+        tokens, out = [self.token(t, doubles=True) for t in text.split()], []
+        for t in tokens:
+            word = self.joined(out[-1], t) if out and _part(out[-1], t) else " "
+            if " " in word:
+                out.append(t)
+            else:
+                out[-1] = word
+        return " ".join(out)
+
+
+def _part(first: str, second: str) -> bool:
+    """Whether two tokens may be a word that was cut in two: letters alone,
+    and the first no longer than three."""
+    return len(first) <= 3 and first.isalpha() and second.isalpha() and 4 <= len(first) + len(second) <= 20
+
+
+def undoubled(word: str) -> list[str]:
+    """The spellings of a word with some doubled letters written once."""
+    forms = [""]
+    for run in regex.finditer(r"(\p{L})\1*|[^\p{L}]+", word):
+        ways = [run[0]] if run[1] is None or len(run[0]) == 1 else [run[1], run[1] * 2]
+        forms = [f + w for f in forms for w in ways][:64]
+    return forms
 
 
 def word_features(word: str) -> list[str]:
@@ -166,8 +214,8 @@ def features(text: str, restorer: Restorer, memo: dict[str, tuple[str, ...]]) ->
     """All features of a text's restored words (each once)."""
     found: set[str] = set()
     text = text.lower()
-    if _APART.search(text):
-        text = _APART.sub(lambda m: "".join(_WORD.findall(m[0])), text)
+    for _, words in restorer.apart(text):
+        found.update(f for w in words.split() for f in word_features(w))
     for c in set(text.split()):
         got = memo.get(c)
         if got is None:
@@ -189,6 +237,44 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
+class Scorer:
+    """Scores texts by the weights of their restored words; what a token adds
+    is remembered within a task."""
+
+    def __init__(self, model: Model, cost: np.ndarray) -> None:
+        self.model, self.restorer = model, Restorer(cost)
+        self.memo: dict[str, tuple[str, ...]] = {}
+
+    def weighed(self, words: list[str]) -> set[str]:
+        return {f for w in words for f in word_features(w) if f in self.model.weights}
+
+    def of_token(self, token: str) -> tuple[str, ...]:
+        found = self.weighed(_WORD.findall(token))
+        restored = self.restorer.token(token)
+        if restored != token:
+            found |= self.weighed(_WORD.findall(restored))
+        elif _DOUBLE.search(token) and any(self.weighed(_WORD.findall(w)) - found for w in undoubled(token)):
+            found |= self.weighed(_WORD.findall(self.restorer.token(token, doubles=True)))
+        return tuple(found)
+
+    def score(self, text: str) -> float:
+        """Of a lower-case text."""
+        tokens = text.split()
+        several = set(tokens)
+        if len(self.memo) > MEMO:
+            self.memo.clear()
+        for t in several.difference(self.memo):
+            self.memo[t] = self.of_token(t)
+        found = set(chain.from_iterable(map(self.memo.__getitem__, several)))
+        for _, words in self.restorer.apart(text):
+            found |= self.weighed(words.split())
+        weights = self.model.weights
+        for a, b in {(a, b) for a, b in zip(tokens, tokens[1:]) if len(a) <= 3 and a + b in weights}:
+            if _part(a, b) and " " not in self.restorer.joined(a, b):
+                found |= self.weighed([a + b])
+        return self.model.score(found)
+
+
 def fit(rows: list[list[int]], y: np.ndarray, width: int, steps: int = 800, l2: float = 1e-5) -> tuple[np.ndarray, float]:
     """Logistic weights (none negative: a feature only raises the score)."""
     at = np.fromiter(chain.from_iterable(rows), np.int64)
@@ -209,13 +295,18 @@ def fit(rows: list[list[int]], y: np.ndarray, width: int, steps: int = 800, l2:
 def train(docs: DataFrame, labels: DataFrame, cost: np.ndarray, train_rows: int = 12_000, least: int = 3) -> Model:
     """Features that mark toxic rows of the sample, and their weights."""
     spark = docs.sparkSession
-    ids = label_sample(labels.select("doc_id").distinct(), labels, "toxic", 3, 1, train_rows).limit(2 * train_rows)
+    ids = label_sample(labels.select("doc_id").distinct(), labels, "toxic", 3, 1, train_rows)
+    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * train_rows)
     chosen = {r["doc_id"]: float(r["y"] >= 0.5) for r in ids.collect()}
     if not chosen:
         return Model({}, 0.0)
     shared = spark.sparkContext.broadcast((chosen, cost))
     wanted = F.broadcast(spark.createDataFrame([(i,) for i in chosen], "doc_id long"))     # at most 2 * train_rows
-    sample = id_text(docs).join(wanted, "doc_id", "left_semi")
+    once = Window.partitionBy("doc_id", "text").orderBy("doc_id")
+    few = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
+    sample = written(id_text(docs).join(wanted, "doc_id", "left_semi")
+                     .withColumn("k", F.row_number().over(once)).filter("k = 1")
+                     .withColumn("k", F.row_number().over(few)).filter(F.col("k") <= TEXTS).drop("k"), "toxic_sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels, cost = shared.value
@@ -234,7 +325,7 @@ def train(docs: DataFrame, labels: DataFrame, cost: np.ndarray, train_rows: int
     ranked = (sample.mapInArrow(count, "feature string, bad long, good long").groupBy("feature")
               .agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
               .filter((F.col("bad") >= least) & (p > 4 * q)).withColumn("gain", F.col("bad") * F.log(p / q))
-              .orderBy(F.desc("gain"), "feature").limit(FEATURES))
+              .orderBy(F.desc("gain"), "feature"))
     names = [r["feature"] for r in ranked.collect()]
     code = {f: k for k, f in enumerate(names)}
     shared_code = spark.sparkContext.broadcast(code)
@@ -245,6 +336,7 @@ def train(docs: DataFrame, labels: DataFrame, cost: np.ndarray, train_rows: int
             rows = [sorted(code[f] for f in features(t.decode(), restorer, memo) if f in code) for t in texts(b)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.int32()))], ["doc_id", "on"])
 
+    # at most TEXTS rows of 2 * train_rows ids, and features of their words
     rows = sorted((r["doc_id"], r["on"]) for r in sample.mapInArrow(active, "doc_id long, on array<int>").collect())
     y = np.array([chosen[i] for i, _ in rows])
     w, bias = fit([on for _, on in rows], y, len(names))
@@ -258,29 +350,17 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = 12_000,
     NULL and empty texts have no feature and get the lowest score.  A NULL
     ``doc_id`` is not held out and not learned from; repeated rows give
     repeated results; an empty table gives an empty result, and without any
-    label every score is 0.5.  Other columns are not read.
+    label every score is 0.5.  A very long text is scored whole.  Other columns
+    are not read.
     """
     cost = language_model(docs)
     model = train(docs, labels, cost, train_rows)
     shared = docs.sparkSession.sparkContext.broadcast((model, cost))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, cost = shared.value
-        restorer, memo = Restorer(cost), {}
-        weights = model.weights
+        scorer = Scorer(*shared.value)
         for b in slices(batches, most=SLICE):
-            scores = []
-            for raw in texts(b):
-                text = raw.decode().lower()
-                if _APART.search(text):
-                    text = _APART.sub(lambda m: "".join(_WORD.findall(m[0])), text)
-                chunks = set(text.split())
-                if len(memo) > MEMO:
-                    memo.clear()
-                for c in chunks.difference(memo):
-                    words = chain(_WORD.findall(restorer.token(c)), _WORD.findall(c))
-                    memo[c] = tuple({f for w in words for f in word_features(w) if f in weights})
-                scores.append(model.score(set(chain.from_iterable(map(memo.__getitem__, chunks)))))
+            scores = [scorer.score(raw.decode().lower()) for raw in texts(b)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(scores, pa.float64())],
                                              ["doc_id", "held_out", "score"])
 

@@ -74,10 +74,13 @@ def cost_of(texts):
 
 def test_viterbi_is_the_best_path():
     cost = cost_of(english())
-    code = lambda c: ord(c) - 96 if "a" <= c <= "z" else 27
-    for token in ("1d10t", "m0r0n", "l0s3r", "st.u.pid", "iddiot", "sc|_|m", "$cum"):
+    code = lambda c: 0 if c == " " else ord(c) - 96 if "a" <= c <= "z" else 27
+    tokens = [(t, None) for t in ("1d10t", "m0r0n", "l0s3r", "st.u.pid", "iddiot", "sc|_|m", "$cum", "stuupid")]
+    tokens += [("i d 1 o t", toxicity.APART), ("u i-d i 0 t", toxicity.APART), ("id iot", toxicity.CUT),
+               ("good man", toxicity.CUT), ("st uupid", toxicity.CUT)]
+    for token, space in tokens:
         best = None
-        for path in product(*toxicity.lattice(token)):
+        for path in product(*toxicity.lattice(token, space)):
             state, total = 0, 0.0
             for c, channel in path:
                 total += channel
@@ -88,7 +91,7 @@ def test_viterbi_is_the_best_path():
             word = "".join(c for c, _ in path)
             if best is None or total < best[0] - 1e-12:
                 best = (total, word)
-        assert toxicity.viterbi(token, cost.tolist()) == best[1]
+        assert toxicity.viterbi(token, cost.tolist(), space) == best[1]
 
 
 def test_disguised_words_are_restored():
@@ -98,6 +101,34 @@ def test_disguised_words_are_restored():
     assert r.text("plain words, 42 of them (fine)!! a@b.example") .startswith("plain words, 42 of them (fine)!!")
 
 
+@pytest.mark.parametrize("text,restored", [
+    ("i d 1 o t", "idiot"), ("m o r 0 n", "moron"), ("id iot", "idiot"), ("st upid", "stupid"), ("idioot", "idiot"),
+    ("stuupid", "stupid"), ("y o u i d i o t", "you idiot"), ("s t u p 1 d l o s e r", "stupid loser"),
+    ("you st upid l0ser", "you stupid loser"), ("an i.d.1.o.t and a l-0-s-3-r", "an idiot and a loser"),
+    ("such an idiot of all the people in this town", "such an idiot of all the people in this town"),
+    ("what a good day", "what a good day"), ("1 2 3 4 5 of all", "1 2 3 4 5 of all")])
+def test_mixed_disguises(text, restored):
+    assert toxicity.Restorer(cost_of(english())).text(text) == restored
+
+
+def test_a_spelling_with_fewer_doubles_is_found():
+    assert set(toxicity.undoubled("stuupid")) == {"stupid", "stuupid"}
+    assert set(toxicity.undoubled("aabbc")) == {"abc", "aabc", "abbc", "aabbc"}
+    assert toxicity.undoubled("plain") == ["plain"]
+
+
+def test_one_repeated_id_does_not_outweigh_the_sample(spark):
+    """A labelled id in most rows, with one text and with very many texts."""
+    rng = random.Random(8)
+    plain = "river stone bird quiet tree house water field road hill".split()
+    rows = [(i, " ".join(rng.choices(plain, k=20)) + (" idiot" if i % 3 == 0 else "")) for i in range(120)]
+    rows += [(0, "the very same toxic text")] * 2000 + [(3, f"text number {k} of one id") for k in range(2000)]
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(120)], LABELS)
+    got = toxicity.score_toxicity(table(spark, [*rows, (9000, "a road and an idiot")]), labels).collect()
+    score = {r["doc_id"]: r["predicted"] for r in got}
+    assert score[9000] == 1 and score[1] == 0 and score[2] == 0
+
+
 def test_disguised_toxic_texts_are_caught(spark):
     rng = random.Random(4)
     plain = "the river runs over stones and birds sing in every quiet tree by some old house near water".split()
@@ -110,9 +141,11 @@ def test_disguised_toxic_texts_are_caught(spark):
         rows.append((i, " ".join(words)))
         labels.append((i, 1, int(toxic)))
     rows += [(1000, "the river runs over an 1d10t by some old house"), (1001, "birds sing m o r o n in the tree"),
-             (1002, "stones and l000ser water"), (1003, "birds sing in every quiet tree")]
+             (1002, "stones and l000ser water"), (1003, "birds sing in every quiet tree"),
+             (1004, "the river runs over an i d 1 o t by the tree"), (1005, "water near an idioot and birds"),
+             (1006, "some old id iot near water"), (1007, "some old bird near wa ter")]
     got = {r["doc_id"]: r for r in toxicity.score_toxicity(table(spark, rows), spark.createDataFrame(labels, LABELS)).collect()}
-    assert [got[i]["predicted"] for i in (1000, 1001, 1002, 1003)] == [1, 1, 1, 0]
+    assert [got[i]["predicted"] for i in range(1000, 1008)] == [1, 1, 1, 0, 1, 1, 1, 0]
     assert all(got[i]["predicted"] == t for i, _, t in labels)
 
 
