@@ -6,13 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.skew import find_hot_keys, salted_join
+from ..session import shuffle_partitions
 from .common import written
 
 
-def _with_least(edges: DataFrame, node: str, least: DataFrame) -> DataFrame:
-    """Every edge with ``m``, the smallest node next to its ``node`` (NULL if
-    ``least`` has none); a node with very many edges is spread over tasks."""
-    return salted_join(edges, least.withColumnRenamed("of", node), node, find_hot_keys(edges.select(node), node), "left")
+HUB = 100_000        # edges of a node that one task may well hold
+
+
+def _with_least(edges: DataFrame, node: str, least: DataFrame, n: int) -> DataFrame:
+    """Every one of ``n`` edges with ``m``, the smallest node next to its
+    ``node`` (NULL if ``least`` has none); a node with more than ``HUB`` edges
+    and than an even share of them is spread over tasks."""
+    share = max(HUB, n // shuffle_partitions(edges.sparkSession))
+    hubs = find_hot_keys(edges.select(node), node, share) if n > share else None
+    return salted_join(edges, least.withColumnRenamed("of", node), node, hubs, "left")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -31,9 +38,9 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         least = now.groupBy(F.col("hi").alias("of")).agg(F.min("lo").alias("m"))
         # an edge's lower end passes the upper one on to its own smallest neighbour, if it has a smaller one
-        large = written(_with_least(now, "lo", least).select("hi", F.coalesce("m", "lo").alias("lo")).distinct(), "edges")
+        large = written(_with_least(now, "lo", least, now.count()).select("hi", F.coalesce("m", "lo").alias("lo")).distinct(), "edges")
         low = large.groupBy(F.col("hi").alias("of")).agg(F.min("lo").alias("m"))
-        small = (_with_least(large, "hi", low).filter("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+        small = (_with_least(large, "hi", low, large.count()).filter("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
                  .unionByName(low.select(F.col("of").alias("hi"), F.col("m").alias("lo"))))
         after = written(small.distinct(), "edges")
         stats = after.agg(F.count("*").alias("n"), F.countDistinct("hi").alias("nodes")).first()

@@ -54,6 +54,16 @@ def test_links_close_all_near_pairs(spark, most):
     assert {x: got.get(x, x) for x in want} == want
 
 
+def test_a_hub_is_spread_over_tasks(spark, monkeypatch):
+    """A star of 3,000 nodes, its centre the smallest or the largest, and a chain on it."""
+    from riskbook.llm import graph
+
+    monkeypatch.setattr(graph, "HUB", 50)
+    edges = [(0, i) for i in range(1, 3000)] + [(9000, i) for i in range(5000, 8000)] + [(2999, 4000), (4000, 4001)]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(3000)}, 4000: 0, 4001: 0, **{i: 5000 for i in range(5000, 8000)}, 9000: 5000}
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1001 + i) for i in range(500)] + [(3, 3)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
