@@ -58,14 +58,6 @@ def held_out(buckets: int, held: int):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % buckets == held, F.lit(False))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` into the shared checkpoint folder and go on from the copy."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(checkpoint_root(df.sparkSession))
-    return df.checkpoint()
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared checkpoint folder: smaller than
     a checkpoint and with statistics, so later joins can prune columns."""

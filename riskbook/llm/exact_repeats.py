@@ -13,7 +13,9 @@ The digits are chosen by content, so that few rows move:
    about ninety suffixes is one row (*stretch*).  A gram that no other stretch
    has ends all suffixes of the run at once.
 2. The second digit is the hash of all bytes of the stretch: stretches that
-   are equal as a whole are repeated as a whole (copies end here).
+   are equal as a whole are repeated as a whole (copies end here).  Where a
+   text repeats one period, its equal stretches follow each other and are one
+   row, so a long run of one byte is a few rows.
 3. Different stretches under one gram are dealt by the gram with their bytes,
    and their windows are compared within the task.  A gram with more than
    ``GROUP`` different stretches is dealt by its windows' hashes instead,
@@ -36,6 +38,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.skew import HotKeys, salted_join
+from ..session import shuffle_partitions
 from .common import slices, texts, written
 
 GROUP = 4096
@@ -81,10 +85,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def stretches(raw: list[bytes], length: int, powers: _Powers) -> dict[str, np.ndarray]:
     """Runs of suffixes of some texts that share their first digit: ``doc``,
     ``lo`` and ``hi`` (first and last suffix, in the text), ``at`` (place of
-    the gram), ``gram`` and ``body`` (the two digits)."""
+    the gram), ``gram`` and ``body`` (the two digits), ``times``.  Where a text
+    repeats one period, equal stretches follow each other; they are one entry,
+    with the first ``lo``, the last ``hi`` and their number as ``times``."""
     sizes = np.fromiter(map(len, raw), np.int64, len(raw))
     none = np.zeros(0, np.int64)
-    out = dict.fromkeys(("doc", "lo", "hi", "at"), none) | dict.fromkeys(("gram", "body"), none.astype(_U))
+    out = dict.fromkeys(("doc", "lo", "hi", "at", "times"), none) | dict.fromkeys(("gram", "body"), none.astype(_U))
     n = int(sizes.sum())
     if n < length:
         return out
@@ -112,13 +118,18 @@ def stretches(raw: list[bytes], length: int, powers: _Powers) -> dict[str, np.nd
     with np.errstate(over="ignore"):
         body = _mix(powers.between(prefix, lo, hi + length) + _U(0xD6E8FEB86659FD93) * (at - lo).astype(_U)
                     + _U(0xA0761D6478BD642F) * (hi - lo).astype(_U))
-    return {"doc": d, "lo": lo - starts[d], "hi": hi - starts[d], "at": at - starts[d], "gram": gram[at],
-            "body": body}
+    digit = gram[at]
+    again = (digit[1:] == digit[:-1]) & (body[1:] == body[:-1]) & (d[1:] == d[:-1]) & (lo[1:] == hi[:-1] + 1)
+    first = np.flatnonzero(np.r_[True, ~again])
+    last = np.r_[first[1:], len(d)] - 1
+    d, lo, hi, at = d[first], lo[first], hi[last], at[first]
+    return {"doc": d, "lo": lo - starts[d], "hi": hi - starts[d], "at": at - starts[d], "gram": digit[first],
+            "body": body[first], "times": last - first + 1}
 
 
 def _stretch_rows(rows: DataFrame, length: int, placed: bool) -> DataFrame:
     """Stretches of all texts: the digits and the row's id; ``placed``: with
-    the places."""
+    the places, else with ``times``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = _Powers()
         for b in slices(batches, most=SLICE):
@@ -126,13 +137,13 @@ def _stretch_rows(rows: DataFrame, length: int, placed: bool) -> DataFrame:
             cols = [pa.array(s["gram"].view(np.int64)), pa.array(s["body"].view(np.int64)),
                     pa.array(b.column(0).to_numpy()[s["doc"]])]
             names = ["gram", "body", "did"]
-            if placed:
-                cols += [pa.array(s[c].astype(np.int32)) for c in ("lo", "hi")]
-                names += ["lo", "hi"]
+            more = ["lo", "hi"] if placed else ["times"]
+            cols += [pa.array(s[c].astype(np.int32)) for c in more]
+            names += more
             yield pa.RecordBatch.from_arrays(cols, names)
 
     return rows.select("did", "text").mapInArrow(
-        run, "gram long, body long, did long" + ", lo int, hi int" * placed)
+        run, "gram long, body long, did long" + (", lo int, hi int" if placed else ", times int"))
 
 
 def _windows(pieces: list[bytes], length: int, powers: _Powers) -> tuple[np.ndarray, np.ndarray]:
@@ -204,6 +215,24 @@ def _compare_large(pieces: DataFrame, length: int) -> DataFrame:
             .select("did", "a", (F.col("a") + length).alias("b")))
 
 
+def _join_digits(placed: DataFrame, marked: DataFrame, equal: DataFrame) -> DataFrame:
+    """Stretches with their marks, by both digits.  Stretches that hold more
+    than an even share of the rows (a passage in a third of all texts) are
+    spread over tasks by a salt."""
+    total = equal.agg(F.sum("n").alias("n")).first()["n"] or 0
+    share = max(1, total // shuffle_partitions(placed.sparkSession))
+    key = F.struct("gram", "body").alias("digits")
+    hot = written(equal.filter(F.col("n") > share).select(key, F.ceil(F.col("n") / share).cast("int").alias("_fan")),
+                  "hot_stretches")
+    n = hot.count()
+    if not n:
+        return placed.join(marked, ["gram", "body"])
+    marked = marked.withColumnRenamed("gram", "g").withColumnRenamed("body", "b")
+    return salted_join(placed.withColumn("digits", F.struct("gram", "body")),
+                       marked.withColumn("digits", F.struct(F.col("g").alias("gram"), F.col("b").alias("body"))),
+                       "digits", HotKeys(hot, n)).drop("g", "b", "digits")
+
+
 def remove_repeats(docs: DataFrame, length: int = 200, keep_text: bool = False) -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``n_bytes``, ``n_removed``,
     ``n_spans``, ``kept_sha256`` and, with ``keep_text``, ``kept`` (binary).
@@ -217,13 +246,13 @@ def remove_repeats(docs: DataFrame, length: int = 200, keep_text: bool = False)
         F.monotonically_increasing_id().alias("did"), F.col("doc_id").cast("long").alias("doc_id"),
         F.col("text").cast("string").alias("text")), "repeat_texts")
     rows = rows.withColumn("did", F.coalesce("did", F.lit(-1)))       # never NULL: no filter for it parts the shared shuffle
-    equal = _stretch_rows(rows, length, False).groupBy("gram", "body").agg(
-        F.count("*").alias("n"), F.min("did").alias("holder"))
+    equal = written(_stretch_rows(rows, length, False).groupBy("gram", "body").agg(
+        F.sum("times").alias("n"), F.min("did").alias("holder")), "stretches")
     several = equal.groupBy("gram").agg(F.count("*").alias("bodies"), F.sum("n").alias("all")).filter("all > 1")
     marked = equal.join(several, "gram").select(
         "gram", "body", (F.col("n") > 1).alias("whole"), "holder",
         (F.col("bodies") > 1).alias("mixed"), (F.col("bodies") > GROUP).alias("large"))
-    placed = _stretch_rows(rows, length, True).join(marked, ["gram", "body"]).select(
+    placed = _join_digits(_stretch_rows(rows, length, True), marked, equal).select(
         "did", F.struct("gram", "lo", "hi", "whole", (F.col("mixed") & (~F.col("whole") | (
             F.col("did") == F.col("holder")))).alias("compare"), "large").alias("s"))
     found = written(placed.groupBy("did").agg(F.collect_set("s").alias("s")), "repeats")    # one text's stretches

@@ -84,3 +84,38 @@ def test_texts_without_id_whose_short_hashes_collide_stay_apart(spark):
     for some in (rows, [rows[0], rows[1], (1, f"x {passage}")]):
         got = Counter(tuple(r) for r in exact_repeats.remove_repeats(table(spark, some), 100).collect())
         assert got == brute(some, 100)
+
+
+@pytest.mark.parametrize("unit", ["x", "ab", "abc ", "é", "one two three four five six seven eight nine ten, "])
+def test_a_repeated_period_is_a_few_rows(unit):
+    raw = (unit * (40_000 // len(unit))).encode()
+    s = exact_repeats.stretches([b"a start " + raw + b" an end", raw], 200, exact_repeats._Powers())
+    assert len(s["lo"]) < 40 and s["times"].sum() > 400 // len(unit)
+    for d, n in ((0, len(raw) + 15), (1, len(raw))):             # every suffix is in one entry
+        covered = sorted((lo, hi) for lo, hi, of in zip(s["lo"].tolist(), s["hi"].tolist(), s["doc"].tolist()) if of == d)
+        assert covered[0][0] == 0 and covered[-1][1] == n - 200
+        assert all(a[1] + 1 == b[0] for a, b in zip(covered, covered[1:]))
+
+
+def test_periods_match_brute_force(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(40):
+        unit = "".join(rng.choice("abé ") for _ in range(rng.randint(1, 30)))
+        rows.append((i, "".join(rng.choice("abcdef") for _ in range(rng.randint(0, 60))) + unit * rng.randint(1, 20)
+                     + "".join(rng.choice("abcdef") for _ in range(rng.randint(0, 60)))))
+    rows += [(90, rows[3][1]), (91, "x" * 500), (92, "y" + "x" * 300)]
+    got = Counter(tuple(r) for r in exact_repeats.remove_repeats(table(spark, rows), 30).collect())
+    assert got == brute(rows, 30)
+
+
+def test_a_million_equal_bytes_and_a_passage_in_a_third_of_the_rows(spark):
+    rng = random.Random(13)
+    passage = " ".join(f"passage{i}" for i in range(30))
+    own = [" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(40)) for _ in range(300)]
+    rows = [(i, f"{t} {passage} {t[::-1]}" if i % 3 == 0 else t) for i, t in enumerate(own)]
+    got = Counter(tuple(r) for r in exact_repeats.remove_repeats(table(spark, rows), 100).collect())
+    assert got == brute(rows, 100)
+    big = [(1, "x" * 1_000_000), (2, "a quiet text " + "y" * 150)]
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in exact_repeats.remove_repeats(table(spark, big), 200).collect()}
+    assert got == {1: (1_000_000, 1), 2: (0, 0)}
