@@ -28,8 +28,8 @@ from ..plans.skew import HotKeys, find_hot_keys
 from . import lookups, readers, roles, schemas
 
 REQUIRED = ("customers", "accounts", "loans", "transactions", "branches")
-# Layouts re-aimed from the published index definitions: directories, and the
-# composite range that files and rows are sorted by.
+# Layouts (re-aimed from the published index definitions, and that of the month
+# rollup): directories, and the composite range that files and rows are sorted by.
 LAYOUTS = {
     "loans": (["LoanStatusID"], ["AccountID", "LoanID"]),
     "transactions_clean": (["TxMonth"], ["AccountOriginID", "TransactionID"]),
