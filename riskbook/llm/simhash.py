@@ -143,7 +143,7 @@ def links(distinct: DataFrame, max_bits: int = 2, crowded: int = 64) -> DataFram
         raise ValueError("max_bits must be 0, 1 or 2: the segment balls have radius 1")
     if max_bits == 0:
         return distinct.select(F.col("fp").alias("a"), F.col("fp").alias("b")).filter(F.lit(False))
-    dealt = distinct.repartition(shuffle_partitions(distinct.sparkSession), "fp")      # the balls fill every core
+    dealt = distinct.repartition(shuffle_partitions(distinct.sparkSession), F.xxhash64("fp"))   # the balls fill every core
     entries, probes = _entries(dealt), _probes(dealt, max_bits // _SEGMENTS)
     large = written(entries.groupBy("k", "v").agg(F.count("*").alias("n")).filter(F.col("n") > crowded)
                     .select("k", "v"), "crowded_entries")
@@ -208,4 +208,5 @@ def drop_copies(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFra
     nodes = found.groupBy("fp").agg(first.alias("first"))
     kept = (linked(nodes, max_bits).groupBy(F.coalesce("root", "fp").alias("group"))
             .agg(F.min("first").alias("first")).select(F.col("first.row").alias("__row")))
-    return rows.join(kept, "__row", "left_semi").select(*[F.col("__doc")[c].alias(c) for c in columns])
+    # texts move the same way at every size: dealt by row id, next to the ids that stay
+    return rows.join(kept.hint("shuffle_hash"), "__row", "left_semi").select(*[F.col("__doc")[c].alias(c) for c in columns])
