@@ -46,7 +46,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every stage in turn, each but the last written as Parquet and read again."""
+    """Every stage in turn, each but the last written as Parquet and read again.
+
+    A NULL or empty text fails the quality rules and goes in the first stage.
+    Very long texts go through whole.  Rows with a NULL or repeated ``doc_id``
+    are rows of their own; of copies, repeated rows among them, the one with
+    the smallest id stays (no id counts as the largest, the first written row
+    decides ties).  An empty table gives an empty result.  Columns that
+    ``documents`` has besides its own are carried to the last stage, whatever
+    their names.
+    """
     docs = documents(spark, sf_dir)
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
