@@ -265,7 +265,8 @@ def test_transactions_are_reduced_once(book, name):
 
 
 def _files_read(spark, df) -> dict[str, int]:
-    """Files opened per scanned table, from the metrics of an executed plan."""
+    """Files opened per scanned table, from the metrics of an executed plan
+    (they count before other buckets are left out; a bucket is one file)."""
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
         execution = df._jdf.queryExecution()
@@ -275,7 +276,10 @@ def _files_read(spark, df) -> dict[str, int]:
             leaf = leaves.apply(i)
             if leaf.metrics().contains("numFiles"):
                 table = leaf.nodeName().rsplit(".", 1)[-1]
-                found[table] = found.get(table, 0) + int(leaf.metrics().apply("numFiles").value())
+                files, buckets = int(leaf.metrics().apply("numFiles").value()), leaf.optionalBucketSet()
+                if buckets.isDefined():
+                    files = min(files, buckets.get().cardinality())
+                found[table] = found.get(table, 0) + files
         return found
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
