@@ -23,6 +23,7 @@ whole texts without a shuffle.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -196,13 +197,14 @@ def _part(first: str, second: str) -> bool:
     return len(first) <= 3 and first.isalpha() and second.isalpha() and 4 <= len(first) + len(second) <= 20
 
 
-def undoubled(word: str) -> list[str]:
-    """The spellings of a word with some doubled letters written once."""
-    forms = [""]
-    for run in regex.finditer(r"(\p{L})\1*|[^\p{L}]+", word):
-        ways = [run[0]] if run[1] is None or len(run[0]) == 1 else [run[1], run[1] * 2]
-        forms = [f + w for f in forms for w in ways][:64]
-    return forms
+_TWICE = re.compile(r"([^\W\d_])\1")
+_AGAIN = re.compile(r"(.)\1+", re.S)
+_BREAK = frozenset(["", *BREAKS])
+
+
+def _single(word: str) -> str:
+    """A word with every doubled letter written once."""
+    return _AGAIN.sub(r"\1", word)
 
 
 def word_features(word: str) -> list[str]:
@@ -244,19 +246,37 @@ class Scorer:
     def __init__(self, model: Model, cost: np.ndarray) -> None:
         self.model, self.restorer = model, Restorer(cost)
         self.memo: dict[str, tuple[str, ...]] = {}
+        self.single = {_single(f.rstrip("-")) for f in model.weights}
 
     def weighed(self, words: list[str]) -> set[str]:
         return {f for w in words for f in word_features(w) if f in self.model.weights}
 
     def of_token(self, token: str) -> tuple[str, ...]:
+        core = token.strip(_EDGE)
+        if core.isalpha() and not _TWICE.search(core):       # most tokens: nothing to decode
+            weights = self.model.weights
+            return tuple([f for f in (core, core[:4] + "-", core[:5] + "-", core[:6] + "-")
+                          if f in weights and (f == core or len(core) >= len(f) - 1)])
         found = self.weighed(_WORD.findall(token))
         restored = self.restorer.token(token)
         if restored != token:
             found |= self.weighed(_WORD.findall(restored))
-        elif _DOUBLE.search(token) and any(self.weighed(_WORD.findall(w)) - found for w in undoubled(token)):
+        elif _TWICE.search(token) and self.may_double(token):
             found |= self.weighed(_WORD.findall(self.restorer.token(token, doubles=True)))
+        if token[1:2] in _BREAK and len(token) > 4:
+            for _, words in self.restorer.apart(token):
+                found |= self.weighed(words.split())
         return tuple(found)
 
+    def may_double(self, token: str) -> bool:
+        """Whether some spelling of a token with fewer doubled letters may
+        have a weighed feature: then that and the token's start are the same
+        with every doubled letter written once."""
+        for word in map(_single, _WORD.findall(token)):
+            if word in self.single or any(word[:k] in self.single for k in range(2, 7)):
+                return True
+        return False
+
     def score(self, text: str) -> float:
         """Of a lower-case text."""
         tokens = text.split()
@@ -266,15 +286,30 @@ class Scorer:
         for t in several.difference(self.memo):
             self.memo[t] = self.of_token(t)
         found = set(chain.from_iterable(map(self.memo.__getitem__, several)))
-        for _, words in self.restorer.apart(text):
-            found |= self.weighed(words.split())
+        alone = [i for i, t in enumerate(tokens) if t[1:2] in _BREAK]       # single letters, or letters set apart
+        for a, b in _runs(alone):
+            for _, words in self.restorer.apart(" ".join(tokens[max(0, a - 1):b + 2])):
+                found |= self.weighed(words.split())
         weights = self.model.weights
-        for a, b in {(a, b) for a, b in zip(tokens, tokens[1:]) if len(a) <= 3 and a + b in weights}:
-            if _part(a, b) and " " not in self.restorer.joined(a, b):
-                found |= self.weighed([a + b])
+        short = [i for i, t in enumerate(tokens[:-1]) if len(t) <= 3]
+        for word, i in {tokens[i] + tokens[i + 1]: i for i in short}.items():
+            if word in weights and _part(tokens[i], tokens[i + 1]):
+                if " " not in self.restorer.joined(tokens[i], tokens[i + 1]):
+                    found |= self.weighed([word])
         return self.model.score(found)
 
 
+def _runs(places: list[int]) -> list[tuple[int, int]]:
+    """First and last of at least two places that follow each other."""
+    out, first = [], 0
+    for k in range(1, len(places) + 1):
+        if k == len(places) or places[k] != places[k - 1] + 1:
+            if k - first > 1:
+                out.append((places[first], places[k - 1]))
+            first = k
+    return out
+
+
 def fit(rows: list[list[int]], y: np.ndarray, width: int, steps: int = 800, l2: float = 1e-5) -> tuple[np.ndarray, float]:
     """Logistic weights (none negative: a feature only raises the score)."""
     at = np.fromiter(chain.from_iterable(rows), np.int64)

@@ -111,10 +111,22 @@ def test_mixed_disguises(text, restored):
     assert toxicity.Restorer(cost_of(english())).text(text) == restored
 
 
-def test_a_spelling_with_fewer_doubles_is_found():
-    assert set(toxicity.undoubled("stuupid")) == {"stupid", "stuupid"}
-    assert set(toxicity.undoubled("aabbc")) == {"abc", "aabc", "abbc", "aabbc"}
-    assert toxicity.undoubled("plain") == ["plain"]
+def test_what_a_scorer_skips_would_not_change_the_score():
+    """Scores equal those of decoding every doubled letter and every pair of tokens."""
+    cost, rng = cost_of(english()), random.Random(6)
+    model = toxicity.Model({"idiot": 2.0, "idio-": 1.0, "stupid": 1.5, "asshole": 1.0, "moron": .7, "loser": .3}, -3.0)
+    scorer, plain = toxicity.Scorer(model, cost), toxicity.Restorer(cost)
+    bits = ["idioot", "stuupid", "st upid", "id iot", "i d 1 o t", "m.o.r.o.n", "loooser", "assshole", "aashoole", "good", "all", "a",
+            "lo ser,", "i", "m o r o n!", "tree", "book keeper", "x y", "idiotss", "iidiot"]
+    for _ in range(300):
+        text = " ".join(rng.choice(bits) for _ in range(rng.randint(0, 7)))
+        words = [w for t in text.split() for w in toxicity._WORD.findall(t) + toxicity._WORD.findall(plain.token(t, doubles=True))]
+        words += [w for _, run in plain.apart(text) for w in run.split()]
+        tokens = text.split()
+        pairs = [a + b for a, b in zip(tokens, tokens[1:]) if toxicity._part(a, b) and " " not in plain.joined(a, b)
+                 and a + b in model.weights]
+        found = {f for w in words + pairs for f in toxicity.word_features(w) if f in model.weights}
+        assert scorer.score(text) == pytest.approx(model.score(found)), text
 
 
 def test_one_repeated_id_does_not_outweigh_the_sample(spark):
