@@ -44,7 +44,7 @@ from .common import slices, texts, written
 
 GROUP = 4096
 GRAM = 24
-SLICE = 1 << 20
+SLICE = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _U = np.uint64
 
