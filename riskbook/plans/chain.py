@@ -131,9 +131,10 @@ def join_accounts(book, loans: DataFrame, dim: DataFrame, how: str = "inner", th
 def build_loan_rollup(book) -> DataFrame:
     """Additive sums of loans per (account, status), NULLs being groups too:
     rows and loan ids, principal (sum, count), rate (sum, count), principal x
-    rate, and the principal that has a rate (for shifted rates)."""
+    rate, and the principal that has a rate (for shifted rates).  It reads the
+    loans as they are given: sums need no layout, so none is written for them."""
     p, r = F.col("PrincipalAmount"), F.col("InterestRate")
-    return book.loans.groupBy("AccountID", "LoanStatusID").agg(
+    return book.raw_loans.groupBy("AccountID", "LoanStatusID").agg(
         F.count(F.lit(1)).alias("rows"), F.count("LoanID").alias("ids"),
         F.sum(p).alias("p"), F.count(p).alias("pn"), F.sum(r).alias("r"), F.count(r).alias("rn"),
         F.sum(p * r).alias("pr"), F.sum(F.when(r.isNotNull(), p)).alias("p_rated"),

@@ -5,28 +5,41 @@ shared folder named by ``spark.checkpoint.dir``: a lost executor costs a
 re-read of written files, not a replay of the plan, and ``drop`` removes
 tables and files together.  ``localCheckpoint`` is never used.
 
-Buckets and shuffle partitions have one size: a bucketed table has as many
-buckets as the session has shuffle partitions, so a join or aggregate on the
-bucket key reads the buckets where they are.  Rows are dealt by the key
-before a bucketed write, which gives one file a bucket.
+All bucketed tables of a store have one bucket count, so a join or aggregate
+on the bucket key reads the buckets where they are: as many as the session
+has shuffle partitions, and more if the input is so large that the rows of a
+bucket would not fit a task's memory.  Rows are dealt by the key before a
+bucketed write, which gives one file a bucket.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path, shuffle_partitions
+from ..session import input_bytes, scratch_path, shuffle_partitions, size_in_bytes
+
+# A task that builds a bucketed table gets so many bytes: of input per bucket,
+# of files per scan, of shuffled rows per aggregate.  Rows with eight sums take
+# ten times their input in memory, so these stay in a task's share of an
+# executor, and nothing is spilled, whatever the size of the input.
+INPUT_PER_BUCKET = 16 * 1024 * 1024
+SMALL_TASKS = {"spark.sql.files.maxPartitionBytes": 8 * 1024 * 1024,
+               "spark.sql.adaptive.advisoryPartitionSizeInBytes": 16 * 1024 * 1024}
 
 
 class Store:
-    def __init__(self, spark: SparkSession, name: str | None = None) -> None:
+    def __init__(self, spark: SparkSession, name: str | None = None, inputs: Sequence[str] = ()) -> None:
         """``name``: a lasting database to write to (created if missing);
-        without one a scratch database is made, for ``drop`` to remove."""
+        without one a scratch database is made, for ``drop`` to remove.
+        ``inputs``: the files that the tables come from, for their size."""
         self.spark = spark
+        self.inputs = list(inputs)
+        self._least_buckets: int | None = None
         self.name = name or f"riskbook_{uuid.uuid4().hex[:12]}"
         place = "" if name else f" LOCATION '{scratch_path(spark, self.name)}'"
         spark.sql(f"CREATE DATABASE IF NOT EXISTS {self.name}{place}")
@@ -42,14 +55,38 @@ class Store:
     def plain(self, df: DataFrame, table: str) -> DataFrame:
         return self._save(df.write, table, df.columns)
 
+    def buckets(self) -> int:
+        """The bucket count: one per shuffle partition, and at least one per
+        ``INPUT_PER_BUCKET`` of input (found once, from the file listing)."""
+        if self._least_buckets is None:
+            size = input_bytes(self.spark, self.inputs) if self.inputs else 0
+            self._least_buckets = -(-size // INPUT_PER_BUCKET)
+        return max(shuffle_partitions(self.spark), self._least_buckets)
+
+    @contextmanager
+    def _small_tasks(self, partitions: int) -> Iterator[None]:
+        """Shuffles into ``partitions`` and tasks of at most ``SMALL_TASKS``
+        bytes while a table is written."""
+        conf = self.spark.conf
+        before = {k: conf.get(k) for k in ("spark.sql.shuffle.partitions", *SMALL_TASKS)}
+        try:
+            conf.set("spark.sql.shuffle.partitions", str(partitions))
+            for k, most in SMALL_TASKS.items():
+                conf.set(k, f"{min(most, size_in_bytes(before[k]))}b")
+            yield
+        finally:
+            for k, v in before.items():
+                conf.set(k, v)
+
     def bucketed(self, df: DataFrame, table: str, key: str) -> DataFrame:
         """One row per ``key`` (a dimension): bucketed and sorted on it."""
-        n = shuffle_partitions(self.spark)
-        return self._save(df.repartition(n, key).write.bucketBy(n, key).sortBy(key), table, df.columns)
+        n = self.buckets()
+        with self._small_tasks(n):
+            return self._save(df.repartition(n, key).write.bucketBy(n, key).sortBy(key), table, df.columns)
 
     def append_bucketed(self, df: DataFrame, table: str, key: str) -> None:
         """More rows for a table that ``bucketed`` wrote."""
-        n, columns = shuffle_partitions(self.spark), self.table(table).columns
+        n, columns = self.buckets(), self.table(table).columns
         writer = df.select(*columns).repartition(n, key).write.bucketBy(n, key).sortBy(key)
         writer.mode("append").format("parquet").saveAsTable(f"{self.name}.{table}")
 

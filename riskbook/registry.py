@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from .operators import integrity, layout, portfolio, quality, ranking, scenario, scoring, solvency, trend
 from .sources.book import Book
+from .sources.roles import input_paths  # noqa: F401 - the bench takes it from here
 
 # Query parameters for the generated data.
 AS_OF = "2001-06-01"          # date anomalies: "today"
@@ -42,11 +43,6 @@ def book_for(spark: SparkSession, sf_dir: str) -> Book:
     return _BOOKS[key]
 
 
-def input_paths(sf_dir: str) -> list[str]:
-    """The generated tables that the role mapping reads."""
-    return [f"{sf_dir.rstrip('/')}/{name}.parquet" for name in ("customer", "orders", "lineitem", "events", "part")]
-
-
 def _q(fn: Callable[[Book], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return fn(book_for(spark, sf_dir))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -41,6 +42,12 @@ def input_bytes(spark: SparkSession, paths: list[str]) -> int:
     return files.selectExpr("sum(length) AS n").first()["n"] or 0
 
 
+def size_in_bytes(text: str) -> int:
+    """The bytes that a size setting of Spark names ("128MB", "16m", "64b", "4096")."""
+    number, unit = re.fullmatch(r"\s*(\d+)\s*([kmgtp]?)i?b?\s*", text.lower()).groups()
+    return int(number) << 10 * " kmgtp".index(unit or " ")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -61,6 +61,8 @@ class Book:
     tx_tiebreak: tuple[str, ...] = ("SourceRow",)
     # Where a prepared Book writes its tables (None: they stay plans).
     store: Store | None = field(default=None, repr=False)
+    # The files that the tables are read from, if they are files.
+    inputs: tuple[str, ...] = ()
     # Hot keys, by "table.column" (see plans.skew).
     hot: dict = field(default_factory=dict)
     hot_key_rows: int | None = None
@@ -72,7 +74,7 @@ class Book:
         t = roles.read_driver_tables(spark, sf_dir)
         codes = {n: lookups.lookup(spark, n) for n in CODE_TABLES}
         return cls(spark, t["customers"], t["accounts"], t["loans"], t["transactions"],
-                   t["branches"], codes)
+                   t["branches"], codes, inputs=tuple(roles.input_paths(sf_dir)))
 
     @classmethod
     def from_csv(cls, spark: SparkSession, data_dir: str, customers: DataFrame | None = None,
@@ -86,7 +88,7 @@ class Book:
             customers if customers is not None else _empty(spark, "customers"),
             accounts if accounts is not None else _empty(spark, "accounts"),
             t["loans"], t["transactions"], t["branches"], {n: t[n] for n in CODE_TABLES},
-            fixed_codes=False, tx_tiebreak=(),
+            fixed_codes=False, tx_tiebreak=(), inputs=(data_dir,),
         )
 
     @classmethod
@@ -99,7 +101,7 @@ class Book:
         if missing:
             raise ValueError(f"tables missing: {', '.join(missing)}")
         frames = {name: readers.read_table(spark, name, path) for name, path in paths.items()}
-        return cls.from_frames(spark, **frames)
+        return replace(cls.from_frames(spark, **frames), inputs=tuple(paths.values()))
 
     @classmethod
     def from_frames(cls, spark: SparkSession, **frames: DataFrame) -> "Book":
@@ -124,7 +126,7 @@ class Book:
     def prepared(self, database: str | None = None) -> "Book":
         """This Book with a store for its written tables (``database``: a
         lasting one, whose tables keep their names)."""
-        return replace(self, store=Store(self.spark, database), hot={}, _cache={})
+        return replace(self, store=Store(self.spark, database, self.inputs), hot={}, _cache={})
 
     def load(self) -> "Book":
         """Write every table now (each is otherwise written at first use)."""

@@ -141,9 +141,18 @@ def branches(part: DataFrame) -> DataFrame:
     return _cast_all(out, schemas.BRANCHES)
 
 
+def driver_path(sf_dir: str, name: str) -> str:
+    return f"{sf_dir.rstrip('/')}/{name}.parquet"
+
+
+def input_paths(sf_dir: str) -> list[str]:
+    """The generated tables that the role mapping reads."""
+    return [driver_path(sf_dir, name) for name in ("customer", "orders", "lineitem", "events", "part")]
+
+
 def read_driver_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     def rd(name: str) -> DataFrame:
-        return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+        return spark.read.parquet(driver_path(sf_dir, name))
 
     return {
         "customers": customers(rd("customer")),
